@@ -28,6 +28,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataflow.llm.sharding import lpt_shards
 
@@ -36,6 +42,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.simhash import simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"), radius=3, shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataflow.llm.token_files import token_file_report
 
@@ -49,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_mixing, op6_sharding, op9_token_files, op10_token_counts]
+    found = [op1_sentencepiece, op2_mixing, op5_quality, op6_sharding, op8_simhash, op9_token_files, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
