@@ -42,6 +42,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.tiff import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataflow.llm.simhash import simhash_components
 
@@ -62,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_mixing, op5_quality, op6_sharding, op8_simhash, op9_token_files, op10_token_counts]
+    found = [op1_sentencepiece, op2_mixing, op5_quality, op6_sharding, op7_media, op8_simhash, op9_token_files, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
