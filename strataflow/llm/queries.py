@@ -28,6 +28,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.cws import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataflow.llm.wrapper import extract_pages
 
@@ -74,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_mixing, op4_html, op5_quality, op6_sharding, op7_media, op8_simhash, op9_token_files, op10_token_counts]
+    found = [op1_sentencepiece, op2_mixing, op3_fingerprints, op4_html, op5_quality, op6_sharding, op7_media, op8_simhash, op9_token_files, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
