@@ -9,8 +9,8 @@ and the sample is the term of smallest a with its t. Two documents agree in a sa
 generalised Jaccard similarity, sum of min(weights) over sum of max(weights). A sample is kept as 16 bits of its (term, t),
 so different ones agree by chance once in 65,536.
 
-Every sample is one minimum of a long: ln a in the upper bits, the 16 bits below. So a document's fingerprint is a
-single aggregation over its terms.
+Every sample is one minimum of a long: ln a in the upper bits, the 16 bits below. So a document's fingerprint is an
+aggregation over its terms, WIDTH samples to a row.
 """
 
 from __future__ import annotations
@@ -20,24 +20,43 @@ from pyspark.sql import functions as F
 
 #: Samples in a fingerprint, and rows that a bucket of neighbouring ids has on average.
 SAMPLES, BUCKET = 64, 512
-#: ln a lies in (-2**FLOOR_BITS, 2**FLOOR_BITS); it is scaled so that the sum of all fits 63 bits.
+#: Samples that one row of a term yields at once.
+WIDTH = 2
+#: ln a plus the shift is positive; scaled and with 16 bits below it fits 63 bits.
 _SHIFT, _SCALE = 512.0, float(1 << 36)
 
 
-def _sample(term: str, weight: str, k: int) -> Column:
-    """One sample's key of a term as SQL, smallest first. Four uniforms come from 26 bits each of two hashes, b from the rest."""
-    x, y = f"xxhash64({term}, {2 * k})", f"xxhash64({term}, {2 * k + 1})"
-    u1 = f"(((shiftrightunsigned({x}, 38)) + 0.5D) / 67108864D)"
-    u2 = f"(((shiftrightunsigned({x}, 12) & 67108863L) + 0.5D) / 67108864D)"
-    u3 = f"(((shiftrightunsigned({y}, 38)) + 0.5D) / 67108864D)"
-    u4 = f"(((shiftrightunsigned({y}, 12) & 67108863L) + 0.5D) / 67108864D)"
-    b = f"(((({x} & 4095L) * 4096L + ({y} & 4095L)) + 0.5D) / 16777216D)"
-    r = f"(-ln({u1} * {u2}))"
-    c = f"(-ln({u3} * {u4}))"
-    t = f"floor({weight} / {r} + {b})"  # weight: its logarithm
-    a = f"(ln({c}) - {r} * ({t} - {b} + 1D))"
-    low = f"(shiftrightunsigned(xxhash64({term}, {t}), 48))"
-    return F.expr(f"min(cast(({a} + {_SHIFT}D) * {_SCALE}D as bigint) * 65536L + {low})")
+def _keys(terms: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """terms(keep..., _term, _weight (logarithm), _group) with _k0 ...: the keys of the group's samples, smallest first.
+
+    Four uniforms come from 26 bits each of two hashes, b from the rest. The steps are projections of their own, so each
+    value is computed once and the generated methods stay small.
+    """
+    each, base = range(width), ["_term", "_weight", "_group", *keep]
+
+    def uniform(h: str, shift: int) -> str:
+        return f"((shiftrightunsigned({h}, {shift}) & 67108863L) + 0.5D)"
+
+    step = terms.selectExpr(
+        *base, *[f"xxhash64(_term, _group, {2 * j}) as _x{j}" for j in each], *[f"xxhash64(_term, _group, {2 * j + 1}) as _y{j}" for j in each]
+    )
+    scale = 2 * 26 * 0.6931471805599453  # the logarithm of the product of two divisors
+    step = step.selectExpr(
+        *base,
+        *[f"{scale}D - ln({uniform(f'_x{j}', 38)} * {uniform(f'_x{j}', 12)}) as _r{j}" for j in each],
+        *[f"{scale}D - ln({uniform(f'_y{j}', 38)} * {uniform(f'_y{j}', 12)}) as _c{j}" for j in each],
+        *[f"((((_x{j} & 4095L) * 4096L + (_y{j} & 4095L)) + 0.5D) / 16777216D) as _b{j}" for j in each],
+    )
+    step = step.selectExpr(*base, *[f"_{v}{j}" for v in "rcb" for j in each], *[f"floor(_weight / _r{j} + _b{j}) as _t{j}" for j in each])
+    return step.selectExpr(
+        *keep,
+        "_group",
+        *[
+            f"cast((ln(_c{j}) - _r{j} * (_t{j} - _b{j} + 1D) + {_SHIFT}D) * {_SCALE}D as bigint) * 65536L"
+            f" + shiftrightunsigned(xxhash64(_term, _t{j}), 48) as _k{j}"
+            for j in each
+        ],
+    )
 
 
 def ordered_neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,15 +117,25 @@ def sampled(texts: DataFrame, keys: list[str], carried: list[str], body: str, sa
     keys are unique. If texts is partitioned by some of them, nothing is shuffled: terms are counted and sampled where the
     text lies.
     """
-    words = texts.select(*keys, *carried, F.explode(F.split(F.concat(F.lit(" "), F.col(body)), r"[\x20\x09-\x0D]+")).alias("_word"))
-    # The empty word before the first stands for the text itself: one without words has a row too, and it carries the rest.
+    # One white-space character: a split by a single character needs no regular expression.
+    plain = F.translate(F.concat(F.lit(" "), F.col(body)), "\t\n\x0b\x0c\r", "     ")
+    words = texts.select(*keys, *carried, F.explode(F.split(plain, " ")).alias("_word"))
+    # The empty words, the one before the first among them, stand for the text itself: one without words has a row too,
+    # and they carry the rest.
     own = F.col("_word") == ""
     words = words.select(*keys, *[F.when(own, F.col(c)).alias(c) for c in carried], F.when(~own, F.xxhash64("_word")).alias("_term"))
     terms = words.groupBy(*keys, "_term").agg(F.ln(F.count("*").cast("double")).alias("_weight"), *[F.max(c).alias(c) for c in carried])
-    columns = [_sample("_term", "_weight", k).alias(f"_s{k}") for k in range(samples)]
-    found = terms.groupBy(*keys).agg(*columns, *[F.max(c).alias(c) for c in carried])
-    one = [F.coalesce(F.col(f"_s{k}").bitwiseAND(F.lit(65535)), F.lit(-1)).cast("int") for k in range(samples)]
-    return found.select(*keys, *carried, F.array(*one).alias("samples"))
+    width = min(samples, WIDTH)
+    if samples % width:
+        raise ValueError(f"samples must be a multiple of {width}")
+    groups = terms.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(samples // width - 1))))
+    found = _keys(groups, [*keys, *carried], width).groupBy(*keys, "_group").agg(
+        *[F.min(f"_k{j}").alias(f"_k{j}") for j in range(width)], *[F.max(c).alias(c) for c in carried]
+    )
+    one = [F.coalesce(F.col(f"_k{j}").bitwiseAND(F.lit(65535)), F.lit(-1)).cast("int") for j in range(width)]
+    parts = found.select(*keys, *carried, "_group", F.array(*one).alias("_part"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_group", "_part"))), lambda x: x["_part"]))
+    return parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], whole.alias("samples"))
 
 
 def likeness(a: Column, b: Column) -> Column:
