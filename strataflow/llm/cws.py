@@ -124,7 +124,9 @@ def sampled(texts: DataFrame, keys: list[str], carried: list[str], body: str, sa
     # and they carry the rest.
     own = F.col("_word") == ""
     words = words.select(*keys, *[F.when(own, F.col(c)).alias(c) for c in carried], F.when(~own, F.xxhash64("_word")).alias("_term"))
-    terms = words.groupBy(*keys, "_term").agg(F.ln(F.count("*").cast("double")).alias("_weight"), *[F.max(c).alias(c) for c in carried])
+    # A hash of NULL is a number, so it is the weight that keeps the row of the text itself from being a term.
+    weight = F.ln(F.count(F.col("_term")).cast("double"))
+    terms = words.groupBy(*keys, "_term").agg(weight.alias("_weight"), *[F.max(c).alias(c) for c in carried])
     width = min(samples, WIDTH)
     if samples % width:
         raise ValueError(f"samples must be a multiple of {width}")
