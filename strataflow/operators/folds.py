@@ -91,3 +91,70 @@ def baseflow(df: DataFrame, keys: list[str], order: str, flow: str, alpha: float
         series = series.withColumn("_p", pairs).withColumn("_b", turn(F.aggregate("_p", first, fold, lambda acc: acc["out"]))).drop("_p")
     zipped = F.arrays_zip(F.transform("_series", lambda x: x[order]).alias(order), F.col("_q").alias(flow), F.col("_b").alias("baseflow"))
     return series.select(*keys, F.inline(zipped).alias(order, flow, "baseflow"))
+
+
+def coupled_budget(
+    df: DataFrame, keys: list[str], order: str, liquid: str, pet: str, wp: float, fc: float, sat: float, wt0: float,
+    root_m: float = 1.0, sy: float = 0.30, recession: float = 6.0, cap_max: float = 30.0, fringe: float = 1.0, drain: float = 0.6,
+) -> DataFrame:
+    """keys, order, runoff, recharge, aet, cap_rise, baseflow, theta, wt_depth: soil store and water table, monthly steps.
+
+    Fluxes in order: capillary rise from the table before, saturation runoff, evaporation, drainage, recharge, recession.
+    """
+    z = 1000 * root_m
+    low, high, field = wp * z, sat * z, fc * z
+    zero = F.lit(0.0)
+    outputs = ("runoff", "recharge", "aet", "cap_rise", "baseflow", "theta", "wt_depth")
+    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, liquid, pet))).alias("_series"))
+    empty = F.array().cast("array<struct<" + ",".join(f"{o}:double" for o in outputs) + ">>")
+    start = F.struct(F.lit(float(field)).alias("s"), zero.alias("h"), empty.alias("out"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        s, h, p, e = acc["s"], acc["h"], x[liquid].cast("double"), x[pet].cast("double")
+        depth = wt0 - h
+        reach = clip((root_m + fringe - depth) / (root_m + fringe), 0.0, 1.0)
+        rise = F.least(s + cap_max * reach * clip((high - s) / (high - low), 0.0, 1.0), F.lit(high)) - s
+        s1 = s + rise
+        direct = F.greatest(p - 1000 * F.greatest(sy * depth, zero), zero)
+        s2 = s1 + p - direct
+        over = F.greatest(s2 - high, zero)
+        s3 = s2 - over
+        aet = F.least(e, F.greatest(s3 - low, zero))
+        s4 = s3 - aet
+        recharge = F.greatest(s4 - field, zero) * drain
+        s5 = clip(s4 - recharge, low, high)
+        h1 = h + recharge / 1000 / sy
+        drop = h1 * min(1 / recession, 1.0)
+        values = (direct + over, recharge, aet, rise, F.greatest(drop, zero) * sy * 1000, s5 / z, wt0 - (h1 - drop))
+        row = F.struct(*[v.cast("double").alias(o) for o, v in zip(outputs, values)])
+        return F.struct(s5.cast("double").alias("s"), (h1 - drop).cast("double").alias("h"), F.array_append(acc["out"], row).alias("out"))
+
+    done = series.select(*keys, "_series", F.aggregate("_series", start, fold, lambda acc: acc["out"]).alias("_r"))
+    zipped = F.zip_with("_series", "_r", lambda a, b: F.struct(a[order].alias(order), *[b[o].alias(o) for o in outputs]))
+    return done.select(*keys, F.inline(zipped).alias(order, *outputs))
+
+
+def hysteretic_suction(df: DataFrame, keys: list[str], order: str, se: str, alpha_d: float, n: float, ratio: float = 2.0) -> DataFrame:
+    """Suction along a path of saturations between the drying and the wetting curve, turning at reversals; starts drying."""
+    m = 1 - 1 / n
+
+    def curve(x: Column, alpha: float) -> Column:
+        return (1 / alpha) * F.pow(F.pow(clip(x, 1e-3, 1 - 1e-6), F.lit(-1 / m)) - 1, F.lit(1 / n))
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        now = clip(x[se], 1e-3, 1 - 1e-6)
+        first = acc["prev"] < 0
+        turn = F.when(first, F.lit(-1.0)).when(now > acc["prev"] + 1e-12, 1.0).when(now < acc["prev"] - 1e-12, -1.0).otherwise(acc["dir"])
+        reverse = ~first & (turn != acc["dir"])
+        ser = F.when(first, now).when(reverse, acc["prev"]).otherwise(acc["ser"])
+        hr = F.when(first, curve(now, alpha_d)).when(reverse, acc["h"]).otherwise(acc["hr"])
+        dry, wet = curve(ser, alpha_d), curve(ser, ratio * alpha_d)
+        anchor = clip((hr - wet) / F.greatest(dry - wet, F.lit(1e-12)), 0.0, 1.0)
+        falling = 1 - (1 - anchor) * clip(now / ser, 0.0, 1.0)
+        rising = anchor * clip((1 - now) / F.greatest(1 - ser, F.lit(1e-9)), 0.0, 1.0)
+        lam = F.when(turn < 0, falling).otherwise(rising)
+        h = curve(now, ratio * alpha_d) + lam * (curve(now, alpha_d) - curve(now, ratio * alpha_d))
+        return {"prev": now, "dir": turn, "ser": ser, "hr": hr, "h": h}, h
+
+    state = {"prev": F.lit(-1.0), "dir": F.lit(-1.0), "ser": F.lit(1.0), "hr": F.lit(0.0), "h": F.lit(0.0)}
+    return ordered_fold(df, keys, order, [se], state, step, "suction")

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-for p in (ROOT, ROOT / "tests"):
+for p in (ROOT, ROOT / "tests", ROOT / "tests" / "llm"):
     sys.path.insert(0, str(p))
 
 
