@@ -36,13 +36,14 @@ def predict_with_spread(model, assembler, df: DataFrame) -> DataFrame:
 
 def permutation_importance(model, assembler, df: DataFrame, features: list[str], label: str) -> DataFrame:
     """feature, rise of the squared error when the feature's values are dealt anew (by a hash order joined by rank)."""
+    n_buckets = max(1, min(997, df.count() // 8))  # so that hardly a bucket is without a donor
     base = model.transform(assembler.transform(df)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
     found = []
     for f in features:
         # every row takes the value of a row drawn by a hash bucket: same distribution, no relation to the label
-        keyed = df.withColumn("_k", F.pmod(F.xxhash64(*df.columns), F.lit(997)))
+        keyed = df.withColumn("_k", F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)))
         donors = keyed.groupBy("_k").agg(F.min_by(f, F.xxhash64(F.lit(f), *df.columns)).alias("_v"))
-        mixed = keyed.withColumn("_k", F.pmod(F.xxhash64(F.lit(f), *df.columns), F.lit(997))).join(donors, "_k").withColumn(f, F.col("_v")).drop("_k", "_v")
+        mixed = keyed.withColumn("_k", F.pmod(F.xxhash64(F.lit(f), *df.columns), F.lit(n_buckets))).join(donors, "_k").withColumn(f, F.col("_v")).drop("_k", "_v")
         err = model.transform(assembler.transform(mixed)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
         found.append((f, float(err - base)))
     return df.sparkSession.createDataFrame(found, "feature string, importance double")
