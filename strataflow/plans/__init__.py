@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflow.plans import models, physics, series, space, wells
+from strataflow.plans import extra, models, physics, series, space, wells
 from strataflow.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "models", "physics", "series", "space", "wells"]
+__all__ = ["QUERIES", "SQL", "extra", "models", "physics", "series", "space", "wells"]
