@@ -240,7 +240,10 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, id_co
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns of docs: the one of the smallest id; of several, one row of that id."""
+    """One row of each component, with the columns of docs: the one of the smallest id; of several, one row of that id.
+
+    A row without an id stands for nothing that a later stage could name, and goes.
+    """
     scored = materialize(
         add_fingerprint(docs.withColumn("_sim_text", F.col(f"`{text_col}`")), "_sim_text", "_sim_fp", shingle).drop("_sim_text"), "simhash-docs"
     )
