@@ -167,8 +167,9 @@ def mix_documents(docs: DataFrame, **kw: object) -> DataFrame:
     id_col = str(kw.get("id_col", "doc_id"))
     plan = mix_plan(docs, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("unit").alias("_mix_unit"), "copies")
     keyed = docs.withColumn("_mix_own", row_hash(docs))
+    # The plan grows with the documents, so both sides are shuffled at every size, not one broadcast while it is small.
     joined = keyed.join(
-        plan.withColumnRenamed("copies", "_mix_copies"),
+        plan.withColumnRenamed("copies", "_mix_copies").hint("shuffle_hash"),
         keyed[f"`{id_col}`"].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_unit")),
     )
     return joined.withColumn("_mix_no", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
