@@ -28,23 +28,31 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TABLE = bytes(_LOWER[b] for b in _WORD_BYTES)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the XXH64 hashes of the text's word shingles, repeats included; none: 0."""
+def word_line(text: str) -> bytes:
+    """The text's words in lower case (of ASCII), one space between."""
+    return b" ".join(w for w in text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ") if w)
+
+
+def shingle_hashes(line: bytes, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of so many words of a word_line(), repeats included; of the whole line if it is shorter; none if empty."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ")
-    line = b" ".join(w for w in words if w)
     if not line:
-        return 0
+        return []
     stops = [i for i, b in enumerate(line) if b == 32] if len(line) < 64 else np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
-    n = len(stops) + 1
     digest = xxhash.xxh64_intdigest
-    if n <= shingle:
-        hashes = [digest(line, seed)]
-    else:
-        starts = [0, *(s + 1 for s in stops)]
-        ends = [*stops, len(line)]
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+    if len(stops) + 1 <= shingle:
+        return [digest(line, seed)]
+    starts = [0, *(s + 1 for s in stops)]
+    ends = [*stops, len(line)]
+    return [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """A bit is 1 if it is set in over half the XXH64 hashes of the text's word shingles, repeats included; none: 0."""
+    hashes = shingle_hashes(word_line(text), shingle, seed)
+    if not hashes:
+        return 0
     raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(raw), 1 << 14):
