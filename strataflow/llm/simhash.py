@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import materialize
+from strataflow.llm.common import materialize, row_hash
 
 BITS, TILE = 64, 4096
 _WORD_BYTES = bytes(b if b not in b"\t\n\x0b\x0c\r" else 32 for b in range(256))
@@ -241,24 +241,34 @@ def simhash_components(docs: DataFrame, radius: int = 3, shingle: int = 3, id_co
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = materialize(add_fingerprint(rows, "text", "fp", shingle).drop("text"), "simhash-prints")
-    labels = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-labels")
-    known = labels.filter("label is not null")
-    found = materialize(components(links(known.select("fp"), radius), known), "simhash-components")
-    return prints.join(found, "fp", "left").select("doc_id", "fp", F.col("label").alias("component_id"))
+    # Every fingerprint is a node, named by itself, so rows without an id carry links like any other.
+    smallest = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-smallest")
+    found = materialize(_named_by_itself(smallest, radius), "simhash-components")
+    ids = smallest.join(found, "fp").groupBy("label").agg(F.min("id").alias("component_id"))
+    named = materialize(found.join(ids, "label").select("fp", "component_id"), "simhash-named")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _named_by_itself(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, label (the smallest fingerprint of its component) of the distinct fingerprints of prints(fp)."""
+    return components(links(prints.select("fp"), radius), prints.select("fp", F.col("fp").alias("label")))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns of docs: the one of the smallest id; of several, one row of that id.
+    """One row of each component that has an id, with the columns of docs: of the smallest id, then by a hash of the row.
 
-    A row without an id stands for nothing that a later stage could name, and goes.
+    Rows without an id carry links, but a component of these alone has no row here; near.drop_near_copies(), which the
+    pipeline uses, keeps one.
     """
     scored = materialize(
-        add_fingerprint(docs.withColumn("_sim_text", F.col(f"`{text_col}`")), "_sim_text", "_sim_fp", shingle).drop("_sim_text"), "simhash-docs"
+        add_fingerprint(docs.withColumn("_sim_text", F.col(f"`{text_col}`")), "_sim_text", "_sim_fp", shingle)
+        .drop("_sim_text")
+        .withColumn("_sim_row", F.monotonically_increasing_id()),
+        "simhash-docs",
     )
     ids = F.col(f"`{id_col}`").cast("long")
-    labels = materialize(scored.groupBy(F.col("_sim_fp").alias("fp")).agg(F.min(ids).alias("label")), "simhash-labels")
-    known = labels.filter("label is not null")
-    found = components(links(known.select("fp"), radius), known)
-    best = found.groupBy("label").agg(F.min("label").alias("kept")).select("kept")
-    kept = scored.join(best, scored[f"`{id_col}`"].cast("long") == F.col("kept"), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*[f"`{c}`" for c in docs.columns])
+    key = F.struct(ids.isNull().alias("none"), ids.alias("id"), row_hash(docs).alias("hash"), "_sim_row")
+    best = materialize(scored.groupBy(F.col("_sim_fp").alias("fp")).agg(F.min(key).alias("key")), "simhash-best")
+    found = _named_by_itself(best, radius)
+    kept = best.join(found, "fp").groupBy("label").agg(F.min("key").alias("key")).filter("not key.none").select(F.col("key._sim_row").alias("_sim_row"))
+    return scored.join(kept, "_sim_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
