@@ -3,9 +3,10 @@
 The model is an interpolated modified Kneser-Ney model for each language, trained on all trusted documents (labelled of
 good quality, or a list the caller gives). Its counts are tables: raw counts of the highest order, continuation counts
 below, and for each context how many continuations were seen once, twice, more often. These are shuffled by n-gram
-(sharded) and joined level by level into probabilities and back-off weights. The finished tables hold MAX_GRAMS entries
-of the highest order at most, rarer ones being left to back-off, so they have a size bound and are sent to all workers, and
-a document is scored where it lies.
+(sharded) and joined level by level into probabilities and back-off weights. The finished tables are dealt by language and
+the two characters before the last into shards of about SHARD entries, so all that a character's score needs is in one of
+them (entries of the lowest orders are in all). Each shard is sent to all workers, which hold one at a time: a document is
+scored where it lies, by each shard in turn, and none of the model is left out however large it is.
 
 A document's score is its mean negative log-likelihood a character, drawn towards its language's median as if PRIOR more
 characters of median score had been read. One trusted document in HELD_OUT is kept out of the training, and these give
@@ -29,8 +30,10 @@ from pyspark.sql import types as T
 from strataflow.llm.common import materialize
 
 ORDER, UNIFORM = 4, 1 / 4096
-MAX_GRAMS, PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 1 << 21, 64, 2.0, (0.4, 0.9), 0.2, 5
+SHARD, PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 1 << 21, 64, 2.0, (0.4, 0.9), 0.2, 5
 START = "\x02"
+#: Bytes of documents scored together where a model has several shards.
+GATHER = 1 << 25
 #: Characters counted at once, the multiplier of the rolling hash, and what sets contexts apart from n-grams.
 _STEP, _MIX, _CONTEXT = 1 << 22, np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
@@ -137,13 +140,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
                 .withColumn("p", F.col("own") + F.col("weight") * F.col("lower"))
             )
         below = materialize(probs.select("lang", "gram", "n", "p"), f"probs{k}")
-        rows = below
-        if k == ORDER:
-            often = 1
-            while rows.count() > MAX_GRAMS:  # leave the rarest to back-off
-                often *= 2
-                rows = below.filter(F.col("n") >= often)
-        found = rows.select(F.lit("gram").alias("kind"), "lang", "gram", F.log("p").alias("value")).unionByName(
+        found = below.select(F.lit("gram").alias("kind"), "lang", "gram", F.log("p").alias("value")).unionByName(
             contexts.select(F.lit("context").alias("kind"), "lang", F.col("context").alias("gram"), F.log(F.least(F.lit(1.0), "weight")).alias("value"))
         )
         out = found if out is None else out.unionByName(found)
@@ -202,28 +199,49 @@ class Lookup:
         return out, found
 
 
+def _encoded(batch: pa.RecordBatch, shards: int) -> pa.RecordBatch:
+    """key, value, shard (-1: all) of rows of kneser_ney()'s table."""
+    kinds, langs, grams = (batch.column(c).to_pylist() for c in ("kind", "lang", "gram"))
+    keys, shard = np.empty(len(kinds), np.uint64), np.full(len(kinds), -1, np.int32)
+    groups: dict[tuple[str, str, int], list[int]] = {}
+    for i, (kind, lang, gram) in enumerate(zip(kinds, langs, grams)):
+        groups.setdefault((kind, lang, len(gram)), []).append(i)
+    for (kind, lang, size), rows in groups.items():
+        codes = np.frombuffer("".join(grams[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), size)
+        found = np.broadcast_to(_hash([codes[:, k] for k in range(size)], _seed(lang)), len(rows))
+        keys[rows] = found ^ _CONTEXT if kind == "context" else found
+        before = codes if kind == "context" else codes[:, :-1]
+        if before.shape[1] >= 2:
+            shard[rows] = _shard(before[:, -2], before[:, -1], lang, shards)
+    value = batch.column("value").cast(pa.float32())
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), value, pa.array(shard, pa.int32())], names=["key", "value", "shard"])
+
+
+def keyed(model: DataFrame, shards: int) -> DataFrame:
+    """The entries of kneser_ney()'s table as _encoded()."""
+    return model.mapInArrow(lambda batches: (_encoded(b, shards) for b in batches), "key long, value float, shard int")
+
+
+def _shard(a: np.ndarray, b: np.ndarray, lang: str, shards: int) -> np.ndarray:
+    """Of entries by the two characters before the last."""
+    return ((_hash([a, b], _seed(lang)) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
 class Scorer:
-    """Scores texts under the tables of kneser_ney()."""
-
-    def __init__(self, model: pa.Table) -> None:
-        self.langs = set(model.column("lang").to_pylist())
-        kinds, langs, grams = (model.column(c).to_pylist() for c in ("kind", "lang", "gram"))
-        values = model.column("value").to_numpy()
-        keys = np.empty(len(kinds), np.uint64)
-        groups: dict[tuple[str, int], list[int]] = {}
-        for i, (lang, gram) in enumerate(zip(langs, grams)):
-            groups.setdefault((lang, len(gram)), []).append(i)
-        context = np.array([k == "context" for k in kinds], bool)
-        for (lang, size), rows in groups.items():
-            codes = np.frombuffer("".join(grams[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), size)
-            keys[rows] = np.broadcast_to(_hash([codes[:, k] for k in range(size)], _seed(lang)), len(rows))
-        keys[context] ^= _CONTEXT
-        self.lookup = Lookup(keys, values)
+    """Scores texts under one of so many shards of the tables of kneser_ney(), given as they are or as keyed()."""
+
+    def __init__(self, model: pa.Table, shard: int = 0, shards: int = 1) -> None:
+        if "key" not in model.column_names:
+            model = pa.Table.from_batches([_encoded(b, shards) for b in model.to_batches()])
+        self.lookup = Lookup(model.column("key").to_numpy().view(np.uint64), model.column("value").to_numpy())
+        self.shard, self.shards = shard, shards
 
     def score(self, lang: str, texts: list[str]) -> np.ndarray:
-        """Sum of the negative log-likelihoods of each text's characters."""
+        """Sum of the negative log-likelihoods of each text's characters that are in the shard."""
         codes, bounds = _codes(texts)
         at = _last_places(bounds)
+        if self.shards > 1:
+            at = at[_shard(codes[at - 2], codes[at - 1], lang, self.shards) == self.shard]
         total = np.zeros(len(codes))
         seed, open_ = _seed(lang), at
         for k in range(ORDER, 0, -1):
@@ -248,14 +266,17 @@ def repeat_share(text: str) -> float:
     return sum(map(str.__eq__, words, words[1:])) / (len(words) - 1) if len(words) > 1 else 0.0
 
 
-_workers: dict[str, Scorer] = {}
+_workers: dict[tuple[str, int], Scorer] = {}
 SCORES = ["_lm_chars", "_lm_nll", "_lm_repeats"]
 
 
 def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """docs with _lm_chars, _lm_nll (sum; null for a language without trusted text) and _lm_repeats."""
     spark = docs.sparkSession
-    sent, name = spark.sparkContext.broadcast(_collected(model)), uuid.uuid4().hex
+    sizes = {r.lang: r.n for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shards, known, name = max(1, -(-sum(sizes.values()) // SHARD)), frozenset(sizes), uuid.uuid4().hex
+    entries = materialize(keyed(model, shards).sortWithinPartitions("shard"), "quality-entries")
+    sent = [spark.sparkContext.broadcast(_collected(entries, s)) for s in range(shards)]
     docs = docs.select("*", F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lm_lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_lm_text"))
     keep = docs.columns[:-2]
     schema = T.StructType(
@@ -263,24 +284,41 @@ def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_c
         + [T.StructField("_lm_chars", T.LongType()), T.StructField("_lm_nll", T.DoubleType()), T.StructField("_lm_repeats", T.DoubleType())]
     )
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _workers:
+    def scorer(s: int) -> Scorer:
+        """One shard is in memory at a time."""
+        if (name, s) not in _workers:
             _workers.clear()
-            _workers[name] = Scorer(sent.value)
-        scorer = _workers[name]
+            _workers[name, s] = Scorer(sent[s].value, s, shards)
+            sent[s].__dict__.pop("_value", None)
+        return _workers[name, s]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        some: list[pa.RecordBatch] = []
         for batch in batches:
-            n = len(keep)
+            some.append(batch)
+            if shards == 1 or sum(x.nbytes for x in some) >= GATHER:
+                yield some
+                some = []
+        if some:
+            yield some
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keep)
+        for group in gathered(batches):
+            batch = pa.Table.from_batches(group).combine_chunks().to_batches()
+            batch = batch[0] if batch else group[0]
             langs, texts = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            nll: list[float | None] = [None] * len(texts)
-            for lang in set(langs) & scorer.langs:
-                rows = [i for i, x in enumerate(langs) if x == lang]
-                while rows:
-                    some, size = [], 0
-                    while rows and size < _STEP // 4:
-                        some.append(rows.pop())
-                        size += len(texts[some[-1]])
-                    for i, x in zip(some, scorer.score(lang, [texts[i] for i in some]).tolist()):
-                        nll[i] = x
+            nll: list[float | None] = [0.0 if x in known else None for x in langs]
+            for s in range(shards):
+                for lang in set(langs) & known:
+                    rows = [i for i, x in enumerate(langs) if x == lang]
+                    while rows:
+                        some, size = [], 0
+                        while rows and size < _STEP // 4:
+                            some.append(rows.pop())
+                            size += len(texts[some[-1]])
+                        for i, x in zip(some, scorer(s).score(lang, [texts[i] for i in some]).tolist()):
+                            nll[i] += x
             extra = [
                 pa.array([len(x) for x in texts], pa.int64()),
                 pa.array(nll, pa.float64()),
@@ -291,9 +329,9 @@ def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_c
     return docs.mapInArrow(scored, schema)
 
 
-def _collected(model: DataFrame) -> pa.Table:
-    """The model on the driver: MAX_GRAMS entries of the highest order at most, fewer below."""
-    return model.toArrow()
+def _collected(entries: DataFrame, shard: int) -> pa.Table:
+    """One shard on the driver: about SHARD entries, and those that are in all."""
+    return entries.filter(F.col("shard").isin(shard, -1)).select("key", "value").toArrow()
 
 
 def _held_out(id_col: str = "doc_id") -> Column:
