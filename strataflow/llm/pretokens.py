@@ -2,16 +2,17 @@
 
 Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in a row. A single space between
 two other characters always starts a pre-token, so a text splits there into words that are encoded on their own. Words
-and pre-tokens that were seen before are looked up; new pre-tokens go to the library's model. Texts with characters outside a plain set, on
-which regular expression engines might differ, go to the library whole.
+and pre-tokens that were seen before are looked up; new pre-tokens go to the library's model. Texts with characters outside
+a plain set, on which regular expression engines might differ, go to the library whole, as do texts with the string of an
+added token, and all texts if the file asks for other steps.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Callable
 
 import numpy as np
 
@@ -37,81 +38,94 @@ def _byte_characters() -> dict[int, int]:
 
 
 class _Words(dict):
-    """Ids of words; a word that is missing is encoded."""
+    """Ids of plain words with the space before them; a word that is missing is encoded."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
+    def __init__(self, owner: PretokenEncoder) -> None:
+        self.owner, self.ends = owner, {c: owner._new(c) for c in ".,"}
 
     def __missing__(self, word: str) -> bytes:
-        return self.encode(word)
+        owner, stem = self.owner, word[:-1]
+        if word.isalpha():  # one pre-token
+            if word.isascii():
+                out = array("I", [t.id for t in owner.tokenize("\u0120" + word)]).tobytes()
+            else:
+                out = owner._new(" " + word)
+        elif stem.isalpha() and word[-1] in self.ends:
+            out = self[stem] + self.ends[word[-1]]
+        else:
+            out = owner._by_pattern(" " + word)
+        owner.missed += 1
+        if len(self) < WORDS and len(word) <= LONGEST:
+            self[word] = out
+        elif owner.missed > AGED * WORDS:  # the corpus has moved on
+            self.clear()
+            owner.pretokens.clear()
+            owner.missed = 0
+        return out
+
+
+def _splits_as_expected(path: str) -> bool:
+    """Whether the file's steps are those of PRETOKEN and nothing else: no normaliser, byte-level pre-tokens, plain BPE."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    before, model = found.get("pre_tokenizer") or {}, found.get("model") or {}
+    return (
+        not found.get("normalizer")
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback"))
+    )
 
 
 class PretokenEncoder:
-    """ids(text) gives a text's ids as little-endian unsigned 32-bit integers."""
+    """ids(text) gives a text's ids as little-endian unsigned 32-bit integers: those of the library with the file as it is."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.plain = PLAIN.fullmatch if _splits_as_expected(path) else lambda text: None
+        #: Strings that the library takes out of a text before anything else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.characters = _byte_characters()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Bytes of each id: a byte-level piece has one character per byte.
+        #: Bytes of each id: a byte-level piece has one character per byte, an added token is text.
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
-            self.n_bytes[i] = len(piece)
-        self.words = _Words(self._word)
+            self.n_bytes[i] = len(piece.encode()) if piece in self.added else len(piece)
         self.pretokens: dict[str, bytes] = {}
         self.missed = 0
+        self.words = _Words(self)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _new(self, pretoken: str) -> bytes:
-        tokens = self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.characters))
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of plain letters with the space before it: one pre-token."""
-        if word.isascii():
-            return array("I", [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
-        return self._new(" " + word)
+        if pretoken.isascii() and pretoken.isprintable():  # only the space has another character
+            shown = pretoken.replace(" ", "\u0120")
+        else:
+            shown = pretoken.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def _by_pattern(self, text: str) -> bytes:
-        known, out = self.pretokens, []
+        known, out = self.pretokens, b""
         for x in PRETOKEN.findall(text):
             got = known.get(x)
             if got is None:
                 got = self._new(x)
                 if len(known) < PRETOKENS and len(x) <= LONGEST:
                     known[x] = got
-            out.append(got)
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a plain word with the space before it."""
-        words = self.words
-        if word.isalpha():
-            out = self._letters(word)
-        elif word[:-1].isalpha() and word[-1] in ".,":
-            out = words[word[:-1]] + self._by_pattern(word[-1])
-        else:
-            out = self._by_pattern(" " + word)
-        self.missed += 1
-        if len(words) < WORDS and len(word) <= LONGEST:
-            words[word] = out
-        elif self.missed > AGED * WORDS:  # the corpus has moved on
-            words.clear()
-            self.pretokens.clear()
-            self.missed = 0
+            out += got
         return out
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not PLAIN.fullmatch(text):
+        if not self.plain(text) or any(x in text for x in self.added):
             return self.library(text)
         if "  " in text:
             return self._by_pattern(text)

@@ -15,7 +15,7 @@ import numpy as np
 
 MAGIC = b"RPG1"
 #: Slots in which pairs are counted, and the odd multiplier that deals them.
-_SLOTS, _MIX = 1 << 18, np.int64(0x1E3779B97F4A7C15)
+_SLOTS, _SHIFT, _MIX = 1 << 19, np.uint64(45), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -27,32 +27,25 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2", n).astype(np.int64) | (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16)
 
 
-def _frequent(keys: np.ndarray, inside: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs, in order, and each position's rank among them (their number where there is none).
+def _frequent(keys: np.ndarray, places: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, in order, the places (of those given) where they are, and the rank of each place's pair.
 
-    Pairs are counted in hashed slots first, so that only those of full slots are sorted; a slot takes its most frequent
-    pair, another of the same slot waits for the next round.
+    Pairs are counted in hashed slots: a slot stands for the last pair that falls into it, another pair of the same slot
+    waits for the next round.
     """
-    slot = ((keys * _MIX) >> 40) & (_SLOTS - 1)
-    load = np.bincount(slot[inside], minlength=_SLOTS)
-    full = load >= least
-    if int(full.sum()) > most:
-        full = load >= max(least, int(np.partition(load, -most)[-most]))
-    found = np.sort(keys[inside & full[slot]])
-    if not len(found):
-        return found, np.zeros(len(keys), np.int64)
-    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    counts, pairs = np.diff(np.r_[first, len(found)]), found[first]
-    keep = np.flatnonzero(counts >= least)
-    order = keep[np.lexsort((pairs[keep], -counts[keep]))]
-    pairs = pairs[order]
-    _, earliest = np.unique(((pairs * _MIX) >> 40) & (_SLOTS - 1), return_index=True)
-    pairs = pairs[np.sort(earliest)][:most]
-    none = len(pairs)
-    rank_of, key_of = np.full(_SLOTS, none), np.full(_SLOTS, -1)
-    slots = ((pairs * _MIX) >> 40) & (_SLOTS - 1)
-    rank_of[slots], key_of[slots] = np.arange(none), pairs
-    return pairs, np.where(inside & (key_of[slot] == keys), rank_of[slot], none)
+    here = keys[places]
+    slot = ((here * _MIX) >> _SHIFT).astype(np.int32)
+    key_of = np.zeros(_SLOTS, np.uint64)
+    key_of[slot] = here
+    held = key_of[slot] == here
+    load = np.bincount(slot[held], minlength=_SLOTS)
+    full = np.flatnonzero(load >= least)
+    order = full[np.lexsort((key_of[full], -load[full]))][:most]
+    rank_of = np.full(_SLOTS, -1, np.int32)
+    rank_of[order] = np.arange(len(order), dtype=np.int32)
+    rank = np.where(held, rank_of[slot], -1)
+    chosen = np.flatnonzero(rank >= 0)
+    return key_of[order], places[chosen], rank[chosen]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, per_round: int = 4096, least: int = 6) -> bytes:
@@ -60,37 +53,37 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, p
 
     At most `per_round` rules a round, each for a pair that occurs `least` times or more; fewer when none is left.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint64)
     ends = np.cumsum(lengths.astype(np.int64))
     owner_last = np.zeros(len(seq), bool)  # the last symbol of a document begins no pair
     owner_last[ends[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
+    spans = np.ones(base, np.int64)  # rules are made of ids and earlier rounds' rules
     n_symbols = base
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
-        inside = ~owner_last[:-1]
-        pairs, rank = _frequent(keys, inside, least, per_round)
-        none = len(pairs)
-        if not none:
+        pairs, places, rank = _frequent((seq[:-1] << np.uint64(32)) | seq[1:], np.flatnonzero(~owner_last[:-1]), least, per_round)
+        if not len(pairs):
             break
-        left = np.r_[none, rank[:-1]]
-        right = np.r_[rank[1:], none]
-        chosen = np.flatnonzero((rank < none) & (rank < left) & (rank <= right))
-        used, new = np.unique(rank[chosen], return_inverse=True)
-        made = pairs[used]
+        # Of overlapping occurrences the more frequent pair's goes first; of equals the one to the left.
+        after = np.r_[places[1:] == places[:-1] + 1, False]
+        loses_right = after & (rank > np.r_[rank[1:], 0])
+        loses_left = np.r_[False, after[:-1] & (rank[1:] >= rank[:-1])]
+        stays = ~(loses_right | loses_left)
+        chosen = places[stays]
+        used = np.bincount(rank[stays], minlength=len(pairs)) > 0
+        made = pairs[used].astype(np.int64)
         rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
-        seq[chosen] = n_symbols + new
+        spans = np.r_[spans, spans[rules[-1]].sum(1)]
+        seq[chosen] = (n_symbols + np.cumsum(used) - 1).astype(np.uint64)[rank[stays]]
         owner_last[chosen] = owner_last[chosen + 1]
         stay = np.ones(len(seq), bool)
         stay[chosen + 1] = False
         seq, owner_last = seq[stay], owner_last[stay]
-        n_symbols += len(used)
+        n_symbols += len(made)
+    seq = seq.astype(np.int64)
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    spans = np.ones(n_symbols, np.int64)
-    for k, (a, b) in enumerate(grammar.tolist()):
-        spans[base + k] = spans[a] + spans[b]
     begins = np.searchsorted(np.cumsum(spans[seq]), np.r_[0, ends], side="left") + np.r_[0, np.ones(len(ends), np.int64)] if len(seq) else np.zeros(len(ends) + 1)
     begins = np.where(np.r_[0, ends] == 0, 0, begins)
     head = struct.pack("<4sIIII", MAGIC, base, len(grammar), len(lengths), len(seq))
