@@ -14,8 +14,9 @@ import struct
 import numpy as np
 
 MAGIC = b"RPG1"
-#: Slots in which pairs are counted, and the odd multiplier that deals them.
-_SLOTS, _SHIFT, _MIX = 1 << 19, np.uint64(45), np.uint64(0x9E3779B97F4A7C15)
+#: Slots in which pairs are counted (a power of two), and the odd multipliers that deal them.
+_SLOT_BITS = 18
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -27,25 +28,34 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2", n).astype(np.int64) | (np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.int64) << 16)
 
 
-def _frequent(keys: np.ndarray, places: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs, in order, the places (of those given) where they are, and the rank of each place's pair.
+def _frequent(seq: np.ndarray, ends: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs in order, the places where they are and the rank of each place's pair; none spans an end.
 
-    Pairs are counted in hashed slots: a slot stands for the last pair that falls into it, another pair of the same slot
-    waits for the next round.
+    Pairs are counted in hashed slots, and only the fullest slots are looked into. A slot stands for its last pair; another
+    pair of the same slot waits for the next round.
     """
-    here = keys[places]
-    slot = ((here * _MIX) >> _SHIFT).astype(np.int32)
-    key_of = np.zeros(_SLOTS, np.uint64)
-    key_of[slot] = here
-    held = key_of[slot] == here
-    load = np.bincount(slot[held], minlength=_SLOTS)
+    slots = 1 << _SLOT_BITS
+    slot = (seq[:-1] * _MIX[0]) ^ (seq[1:] * _MIX[1])
+    slot >>= np.uint32(32 - _SLOT_BITS)
+    slot[ends[(ends > 0) & (ends < len(seq))] - 1] = slots
+    load = np.bincount(slot, minlength=slots + 1)[:slots]
     full = np.flatnonzero(load >= least)
-    order = full[np.lexsort((key_of[full], -load[full]))][:most]
-    rank_of = np.full(_SLOTS, -1, np.int32)
-    rank_of[order] = np.arange(len(order), dtype=np.int32)
-    rank = np.where(held, rank_of[slot], -1)
-    chosen = np.flatnonzero(rank >= 0)
-    return key_of[order], places[chosen], rank[chosen]
+    if len(full) > most:
+        full = full[np.argpartition(-load[full], most)[:most]]
+    rank_of = np.full(slots + 1, -1, np.int32)
+    rank_of[full] = np.arange(len(full), dtype=np.int32)
+    rank = rank_of[slot]
+    places = np.flatnonzero(rank >= 0)
+    rank = rank[places]
+    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    pairs = np.zeros(len(full), np.uint64)
+    pairs[rank] = pair
+    counts = np.bincount(rank[pairs[rank] == pair], minlength=len(full))
+    order = np.lexsort((pairs, -counts))[: int((counts >= least).sum())]
+    new_rank = np.full(len(full), -1, np.int32)
+    new_rank[order] = np.arange(len(order), dtype=np.int32)
+    keep = np.flatnonzero((pairs[rank] == pair) & (new_rank[rank] >= 0))
+    return pairs[order], places[keep], new_rank[rank[keep]]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, per_round: int = 4096, least: int = 6) -> bytes:
@@ -53,47 +63,40 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, p
 
     At most `per_round` rules a round, each for a pair that occurs `least` times or more; fewer when none is left.
     """
-    seq = ids.astype(np.uint64)
-    ends = np.cumsum(lengths.astype(np.int64))
-    owner_last = np.zeros(len(seq), bool)  # the last symbol of a document begins no pair
-    owner_last[ends[lengths > 0] - 1] = True
+    seq = ids.astype(np.uint32)
+    starts = np.r_[0, np.cumsum(lengths.astype(np.int64))]
+    begins = starts.copy()  # of the documents among the symbols, and where the last one ends
     rules: list[np.ndarray] = []
     spans = np.ones(base, np.int64)  # rules are made of ids and earlier rounds' rules
-    n_symbols = base
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs, places, rank = _frequent((seq[:-1] << np.uint64(32)) | seq[1:], np.flatnonzero(~owner_last[:-1]), least, per_round)
+        pairs, places, rank = _frequent(seq, begins[1:], least, per_round)
         if not len(pairs):
             break
         # Of overlapping occurrences the more frequent pair's goes first; of equals the one to the left.
-        after = np.r_[places[1:] == places[:-1] + 1, False]
-        loses_right = after & (rank > np.r_[rank[1:], 0])
-        loses_left = np.r_[False, after[:-1] & (rank[1:] >= rank[:-1])]
-        stays = ~(loses_right | loses_left)
-        chosen = places[stays]
-        used = np.bincount(rank[stays], minlength=len(pairs)) > 0
+        after = places[1:] == places[:-1] + 1
+        stays = np.ones(len(places), bool)
+        stays[:-1] &= ~(after & (rank[:-1] > rank[1:]))
+        stays[1:] &= ~(after & (rank[1:] >= rank[:-1]))
+        chosen, rank = places[stays], rank[stays]
+        used = np.bincount(rank, minlength=len(pairs)) > 0
         made = pairs[used].astype(np.int64)
         rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
+        seq[chosen] = (len(spans) + np.cumsum(used) - 1).astype(np.uint32)[rank]
         spans = np.r_[spans, spans[rules[-1]].sum(1)]
-        seq[chosen] = (n_symbols + np.cumsum(used) - 1).astype(np.uint64)[rank[stays]]
-        owner_last[chosen] = owner_last[chosen + 1]
         stay = np.ones(len(seq), bool)
         stay[chosen + 1] = False
-        seq, owner_last = seq[stay], owner_last[stay]
-        n_symbols += len(made)
-    seq = seq.astype(np.int64)
+        seq = seq[stay]
+        begins = begins - np.searchsorted(chosen + 1, begins, side="left")
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    begins = np.searchsorted(np.cumsum(spans[seq]), np.r_[0, ends], side="left") + np.r_[0, np.ones(len(ends), np.int64)] if len(seq) else np.zeros(len(ends) + 1)
-    begins = np.where(np.r_[0, ends] == 0, 0, begins)
-    head = struct.pack("<4sIIII", MAGIC, base, len(grammar), len(lengths), len(seq))
     return b"".join(
         [
-            head,
+            struct.pack("<4sIIII", MAGIC, base, len(grammar), len(lengths), len(seq)),
             grammar.astype("<u4").tobytes(),
             spans[base:].astype("<u4").tobytes(),
             begins.astype("<u4").tobytes(),
-            np.r_[0, ends].astype("<u4").tobytes(),
+            starts.astype("<u4").tobytes(),
             _pack(seq),
         ]
     )
@@ -135,7 +138,9 @@ class Block:
         """Every rule is written out once; the symbols then copy from there."""
         if not len(self.symbols):
             return self.symbols
-        used, which = np.unique(self.symbols, return_inverse=True)
+        held = np.bincount(self.symbols) > 0
+        used = np.flatnonzero(held)
+        which = (np.cumsum(held) - 1)[self.symbols]
         text, spans = self._expand(used), np.where(used < self.base, 1, self.spans[np.maximum(used - self.base, 0)] if len(self.spans) else 1)
         begin, length = (np.cumsum(spans) - spans)[which], spans[which]
         at = np.cumsum(length) - length
