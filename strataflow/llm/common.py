@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in local mode (tests), an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strataflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -30,6 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named by their places, so that no name clashes with an operator's own, and the new names of columns."""
+    return docs.toDF(*[f"column{i}" for i in range(len(docs.columns))]), [f"column{docs.columns.index(c)}" for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

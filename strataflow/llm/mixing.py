@@ -5,7 +5,8 @@ with the fractional rest as its inclusion probability. The cube method rounds th
 along the null space of the two balancing constraints (word total, document count) until a coordinate is 0 or 1. With
 two constraints and three undecided documents of sizes a, b, c the null space is spanned by (b - c, c - a, a - b). The
 flight runs in blocks, each of which leaves two undecided documents at most; these fly again in the next round, in
-blocks of blocks, until a source's rest is one block, whose last two documents are the landing problem.
+blocks of blocks, until a source's rest is one block, whose last two documents are the landing problem. Large documents
+fly first, so the two that are left to land are among the smallest.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import WORD, materialize, row_hash, stable_seed
+from strataflow.llm.common import WORD, materialize, numbered, row_hash, stable_seed
 
 #: Documents a flight block has on average, and the slack under which a probability counts as 0 or 1.
 BLOCK, EPS = 1024, 1e-9
@@ -95,12 +96,11 @@ def source_targets(
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["doc_id", "unit"], na_position="first")
+    block = block.assign(words=block["size"] * block["n"]).sort_values(["words", "doc_id", "unit"], ascending=[False, True, True], na_position="first")
     first = block.iloc[0]
     seed = stable_seed(first["source"], int(first["block"]), int(first["round"]), "cube")
-    weights = (block["size"] * block["n"]).astype(float).tolist()
-    block["prob"] = flight(weights, block["prob"].tolist(), seed, bool(first["last"]))
-    return block
+    block["prob"] = flight(block["words"].astype(float).tolist(), block["prob"].tolist(), seed, bool(first["last"]))
+    return block.drop(columns="words")
 
 
 def mix_plan(
@@ -164,15 +164,15 @@ def mix_documents(docs: DataFrame, **kw: object) -> DataFrame:
 
     The plan is joined to the rows by id and row hash; a row that is left out goes, one taken twice comes twice.
     """
-    id_col = str(kw.get("id_col", "doc_id"))
-    plan = mix_plan(docs, **kw).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("unit").alias("_mix_unit"), "copies")
-    keyed = docs.withColumn("_mix_own", row_hash(docs))
+    named = {"id_col": "doc_id", "source_col": "source", "text_col": "text"} | {k: str(v) for k, v in kw.items() if k.endswith("_col")}
+    rows, own = numbered(docs, *named.values())
+    columns = dict(zip(named, own))
+    plan = mix_plan(rows, **kw | columns).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("unit").alias("_unit"), F.col("copies").alias("_copies"))
     # The plan grows with the documents, so both sides are shuffled at every size, not one broadcast while it is small.
-    joined = keyed.join(
-        plan.withColumnRenamed("copies", "_mix_copies").hint("shuffle_hash"),
-        keyed[f"`{id_col}`"].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_unit")),
+    joined = rows.withColumn("_own", row_hash(rows)).join(
+        plan.hint("shuffle_hash"), F.col(columns["id_col"]).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_unit"))
     )
-    return joined.withColumn("_mix_no", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    return joined.withColumn("_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def mix_report(docs: DataFrame, **kw: object) -> DataFrame:
