@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import materialize
+from strataflow.llm.common import materialize, numbered
 
 ORDER, UNIFORM = 4, 1 / 4096
 SHARD, PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 1 << 21, 64, 2.0, (0.4, 0.9), 0.2, 5
@@ -335,13 +335,13 @@ def _collected(entries: DataFrame, shard: int) -> pa.Table:
 
 
 def _held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit("held out")), F.lit(HELD_OUT)) == 0
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit("held out")), F.lit(HELD_OUT)) == 0
 
 
 def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The tables of the model of the documents whose ids are in trusted(doc_id), but for those held out. Null texts count as empty."""
     rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
     # The trusted ids grow with the corpus, so they are shuffled at every size, not broadcast while they happen to be few.
     used = trusted.select("doc_id").distinct().filter(~_held_out())
@@ -405,16 +405,17 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, with the columns of docs."""
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the classifier keeps, with the columns of docs, whatever their names.
+
+    Null languages are the language ''. Empty and null texts, rows of a language without trusted text and, with no labels,
+    all rows are kept. Rows with a null id are judged like others but train nothing. Repeated rows share one verdict. An
+    empty table gives none.
+    """
+    rows, (id_, lang, text) = numbered(docs, id_col, lang_col, text_col)
     trusted = materialize(trusted_ids(labels), "trusted")
-    model = materialize(train(docs, trusted), "kneser-ney")
-    scored = materialize(add_scores(docs, model), "quality-docs")
-    keys = scored.select(F.col("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), *SCORES)
-    bounds = materialize(limits(keys, trusted), "quality-limits")
-    own = scored.withColumn("_limit_own", F.coalesce("lang", F.lit("")))
-    named = bounds.select(F.col("lang").alias("_limit_lang"), F.col("median").alias("_q_median"), F.col("limit").alias("_q_limit"), F.col("repeat_limit").alias("_q_repeat"))
-    found = own.join(named, F.col("_limit_own") == F.col("_limit_lang"), "left")
-    score = (F.col("_lm_nll") + PRIOR * F.col("_q_median")) / (F.col("_lm_chars") + PRIOR)
-    bad = (score > F.col("_q_limit")) | (F.col("_lm_repeats") > F.col("_q_repeat"))
-    return found.filter(~F.coalesce(bad, F.lit(False))).select(*[f"`{c}`" for c in docs.columns])
+    model = materialize(train(rows, trusted, id_, lang, text), "kneser-ney")
+    scored = materialize(add_scores(rows, model, lang, text).withColumn("_lm_lang", F.coalesce(lang, F.lit(""))), "quality-docs")
+    bounds = materialize(limits(scored.select(F.col(id_).cast("long").alias("doc_id"), F.col("_lm_lang").alias("lang"), *SCORES), trusted), "quality-limits")
+    found = judged(scored.withColumn("lang", F.col("_lm_lang")), bounds)
+    return found.filter("keep").select(*rows.columns).toDF(*docs.columns)
