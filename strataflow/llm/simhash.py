@@ -3,14 +3,15 @@
 Fingerprints are compared by exclusive-or and bit counts in numpy, tile against tile. A tile holds fingerprints in the
 order of their bit counts, and two tiles whose bit counts lie further apart than the radius are skipped: fingerprints
 that differ in r bits have bit counts that differ by r at most. To keep the comparisons local, tiles are made within
-buckets: of radius + 1 blocks of bits, fingerprints within the radius agree on one at least, so equal blocks are buckets
-and no link is lost. Large buckets are cut into tiles of TILE fingerprints, and each pair of tiles that is not skipped is
+buckets: of 2 r blocks of bits, fingerprints within r bits agree on r at least, so each choice of r blocks (20 of 3 out of
+6, of some 32 bits each) makes buckets of its own and no link is lost. Large buckets are cut into tiles of TILE fingerprints, and each pair of tiles that is not skipped is
 a task's work. What a tile pair finds is thinned to a forest before it leaves the task; components follow by rounds of
 label passing over the forest.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import materialize, row_hash
+from strataflow.llm.common import materialize, numbered, row_hash
 
 BITS, TILE = 64, 4096
 _WORD_BYTES = bytes(b if b not in b"\t\n\x0b\x0c\r" else 32 for b in range(256))
@@ -126,14 +127,21 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     return both[forest.roots(child)], both[child]
 
 
+def masks(radius: int) -> list[int]:
+    """Masks (signed) of the bits on which fingerprints are bucketed: any two within the radius agree on one of them.
+
+    Up to a radius of 3 these are all choices of as many out of twice as many blocks; beyond, single blocks of radius + 1.
+    """
+    blocks, together = (2 * radius, radius) if 1 <= radius <= 3 else (radius + 1, 1)
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    found = [sum(chosen) for chosen in itertools.combinations(parts, together)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in found]
+
+
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """a, b: a forest of links between the distinct fingerprints of prints(fp) whose components are those of all links."""
-    blocks = radius + 1
-    width = BITS // blocks
-    bounds = [(k * width, BITS - k * width if k == blocks - 1 else width) for k in range(blocks)]
-    keyed = prints.select(
-        "fp", F.posexplode(F.array(*[F.expr(f"shiftrightunsigned(fp, {at})").bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)) for at, n in bounds])).alias("block", "value")
-    )
+    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("block", "value"))
     counts = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
     joined = keyed.join(counts, ["block", "value"])
     small = joined.filter(F.col("n") <= TILE)
@@ -258,8 +266,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, id_
     """One row of each component that has an id, with the columns of docs: of the smallest id, then by a hash of the row.
 
     Rows without an id carry links, but a component of these alone has no row here; near.drop_near_copies(), which the
-    pipeline uses, keeps one.
+    pipeline uses, keeps one. Columns may have any names; an empty table gives none.
     """
+    given = docs.columns
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     scored = materialize(
         add_fingerprint(docs.withColumn("_sim_text", F.col(f"`{text_col}`")), "_sim_text", "_sim_fp", shingle)
         .drop("_sim_text")
@@ -271,4 +281,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 5, id_
     best = materialize(scored.groupBy(F.col("_sim_fp").alias("fp")).agg(F.min(key).alias("key")), "simhash-best")
     found = _named_by_itself(best, radius)
     kept = best.join(found, "fp").groupBy("label").agg(F.min("key").alias("key")).filter("not key.none").select(F.col("key._sim_row").alias("_sim_row"))
-    return scored.join(kept, "_sim_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return scored.join(kept, "_sim_row", "left_semi").select(*docs.columns).toDF(*given)
