@@ -2,18 +2,21 @@
 
 Groups (rows with equal texts) are the jobs, their bytes the processing times. Sorted by size, largest first, each
 group goes to the least loaded shard of a heap; ties go to the lower shard number. Groups of one size are
-interchangeable, so the driver schedules the histogram (size, number of groups) rather than the groups: the histogram
-has at most sqrt(2 x total bytes) entries, because distinct sizes 1, 2, ..., D already sum to D(D+1)/2. A run of many
-equal groups is placed in closed form, which gives what the heap would give.
+interchangeable, so the histogram (size, number of groups) is scheduled rather than the groups: it has at most
+sqrt(2 x total bytes) entries, because distinct sizes 1, 2, ..., D already sum to D(D+1)/2. One task reads it in order and
+holds nothing but the shards' loads. A run of many equal groups is placed in closed form, which gives what the heap would
+give.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataflow.llm.common import materialize
 
@@ -52,16 +55,33 @@ def place_run(loads: list[int], size: int, count: int) -> list[int]:
     return taken
 
 
+def scheduled(histogram: Iterable[tuple[int, int]], n_shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, cumulative numbers of its groups up to each shard) for each size of the histogram, which comes largest first."""
+    loads = [0] * n_shards
+    for size, count in histogram:
+        yield size, list(itertools.accumulate(place_run(loads, size, count)))
+
+
 def schedule(histogram: list[tuple[int, int]], n_shards: int) -> list[tuple[int, list[int]]]:
-    """(size, cumulative numbers of its groups up to each shard) for each size of the histogram."""
-    loads, plan = [0] * n_shards, []
-    for size, count in sorted(histogram, reverse=True):
-        ends, total = [], 0
-        for k in place_run(loads, size, count):
-            total += k
-            ends.append(total)
-        plan.append((size, ends))
-    return plan
+    return list(scheduled(sorted(histogram, reverse=True), n_shards))
+
+
+def _schedules(histogram: DataFrame, n_shards: int) -> DataFrame:
+    """group_size, ends of histogram(group_size, count), by one task that holds a batch at a time."""
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[tuple[int, int]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+        plan = scheduled(entries(), n_shards)
+        while some := list(itertools.islice(plan, 10_000)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int64()))], names=["group_size", "ends"]
+            )
+
+    ordered = histogram.select("group_size", "count").repartition(1).sortWithinPartitions(F.desc("group_size"))
+    return ordered.mapInArrow(planned, "group_size long, ends array<long>")
 
 
 def lpt_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,15 +102,10 @@ def lpt_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text
         "shard-rows",
     )
     groups = materialize(rows.groupBy("text_key").agg(F.sum("size").alias("group_size")), "shard-groups")
-    spark = docs.sparkSession
-    histogram = [(r[0], r[1]) for r in groups.groupBy("group_size").count().collect()]
-    plan = spark.createDataFrame(
-        schedule(histogram, n_shards),
-        T.StructType([T.StructField("group_size", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))]),
-    )
+    plan = materialize(_schedules(groups.groupBy("group_size").count(), n_shards), "shard-plan")
     # A group's rank among those of its size: offset of its bucket plus its place in the bucket, so that a size which
     # most groups share is ranked by many tasks.
-    n_buckets = 64 + sum(c for _, c in histogram) // 1_000_000
+    n_buckets = 64 + groups.count() // 1_000_000
     bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(n_buckets)))
     before = Window.partitionBy("group_size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
