@@ -1,12 +1,17 @@
 """HTML main text by wrapper induction.
 
-Pages of a host share a template. Some pages of each host (SAMPLE, the smallest by a hash of their source, so copies count
-once) are aligned by simple tree matching: nodes match if their signatures are equal, and the children of matched nodes
-are matched in order so that most nodes match. The aligned trees grow into the host's wrapper. Block texts that are the
-same on nearly all aligned pages are constant: template. Slots whose text varies are content; the wrapper's main slot is the
-one below which most of the varying running text lies, apart from menus, adverts and the like, which vary too but are known
-by their elements, names and links. Every page of the host is then aligned with the wrapper, and its main slot gives the
-text. A page that does not fit, or whose host has no wrapper, is judged by its own tree in the same way.
+Pages of a host share a template. Some different pages of each host (SAMPLE, the smallest by a hash of their source) are
+aligned by simple tree matching: nodes match if their signatures are equal, and the children of matched nodes are matched
+in order so that most nodes match. The aligned trees grow into the host's wrapper. Block texts that are the same on nearly
+all different pages of a host, or of the host's pages with one outline, are constant: template. All pages are counted for
+this, each source once; a group of fewer than FEWEST pages has no constants, as nothing tells its template from its
+content. Slots whose text varies are content; the wrapper's main slot is the one below which the varying running text lies,
+apart from menus, adverts and the like, which vary too but are known by their elements, names and links. Every page of the
+host is then aligned with the wrapper, and its main slot gives the text. A page that does not fit, or whose host has no
+wrapper, is judged by its own tree in the same way. Main and article elements come first: all of them that do not lie in
+one another, in page order.
+
+Trees of any depth are read. Below DEEP levels of containers, trees are not aligned any more; their text is kept whole.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +30,10 @@ from strataflow.llm.html_tree import BLOCKS, Element, parse
 
 #: Pages aligned for each host, fewest for constant texts, the share that a constant text is on.
 SAMPLE, FEWEST, CONSTANT = 24, 5, 0.9
-#: A descendant slot must hold this share of the text to be taken instead of its parent.
-HOLDS = 0.6
+#: A descendant slot must hold this share of the running text, and its parent no text of its own, to be taken instead.
+HOLDS = 0.9
+#: Levels of containers that are aligned.
+DEEP = 100
 # Elements and names (of class, id or role) that are never the article's text.
 NEVER = frozenset(
     "head script style noscript template nav footer aside form button select option input textarea label iframe object embed svg canvas "
@@ -71,39 +78,43 @@ def blocks(node: Element, out: list[str], skip: bool = True) -> None:
     line: list[str] = []
 
     def close() -> None:
-        text = " ".join("".join(line).split())
-        if text:
-            out.append(text)
-        line.clear()
+        if line:
+            text = " ".join("".join(line).split())
+            if text:
+                out.append(text)
+            line.clear()
 
-    def walk(here: Element) -> None:
-        for child in here.children:
-            if isinstance(child, str):
-                line.append(child)
-            elif skip and is_boilerplate(child):
-                if child.tag in BLOCKS:
-                    close()
-            elif child.tag == "br":
-                line.append(" ")
-            elif child.tag in BLOCKS:
+    # Each open element's children still to come, and whether it ends a line when they are done.
+    todo: list[tuple[Iterator[Element | str], bool]] = [(iter(node.children), True)]
+    while todo:
+        rest, ends = todo[-1]
+        child = next(rest, None)
+        if child is None:
+            todo.pop()
+            if ends:
                 close()
-                walk(child)
+        elif isinstance(child, str):
+            line.append(child)
+        elif skip and is_boilerplate(child):
+            if child.tag in BLOCKS:
                 close()
-            else:
-                walk(child)
-
-    walk(node)
-    close()
+        elif child.tag == "br":
+            line.append(" ")
+        else:
+            block = child.tag in BLOCKS
+            if block:
+                close()
+            todo.append((iter(child.children), block))
 
 
 class Slot:
     """A node of a page's outline or of a wrapper: an element with blocks below it, or a run of leaf blocks of one kind."""
 
-    __slots__ = ("children", "count", "id", "node", "nodes", "sign", "text")
+    __slots__ = ("children", "count", "id", "nodes", "own", "sign", "text")
 
     def __init__(self, sign: str, nodes: list[Element]) -> None:
         self.sign, self.nodes, self.children, self.id = sign, nodes, [], -1
-        self.text = 0.0  # characters of running text outside links, here and below
+        self.own = self.text = 0.0  # characters of running text outside links: here, and here and below
         self.count = 1
 
 
@@ -119,34 +130,39 @@ def _weigh(node: Element) -> float:
     return total
 
 
-def outline(node: Element) -> Slot:
-    """The tree of containers; neighbouring leaf blocks of one signature are one slot."""
-    slot = Slot(signature(node), [node])
-    own = 0.0
-    for child in node.children:
-        if isinstance(child, str):
-            own += len(child.strip())
-            continue
-        if child.tag in ("script", "style", "head") or child.tag not in BLOCKS:
-            if child.tag not in NEVER and child.tag != "a":
-                own += _weigh(child)
-            continue
-        if child.tag in LEAVES:
-            sign = signature(child)
-            if not slot.children or slot.children[-1].sign != sign:
-                slot.children.append(Slot(sign, []))
-            last = slot.children[-1]
-            last.nodes.append(child)
-            if not is_boilerplate(child) and child.tag not in HEADINGS:
-                last.text += _weigh(child)
-        else:
-            below = outline(child)
-            if is_boilerplate(child):
-                below.text = 0.0
-                below.children = []
-            slot.children.append(below)
-    slot.text = own + sum(c.text for c in slot.children)
-    return slot
+def outline(node: Element, seen: Callable[[Element], bool] | None = None) -> Slot:
+    """The tree of containers; neighbouring leaf blocks of one signature are one slot. Texts of leaves that seen() knows weigh nothing."""
+    top = Slot(signature(node), [node])
+    todo, made = [(top, node, 0)], []
+    while todo:
+        slot, here, depth = todo.pop()
+        made.append(slot)
+        for child in here.children:
+            if isinstance(child, str):
+                slot.own += len(child.strip())
+            elif child.tag in ("script", "style", "head") or child.tag not in BLOCKS:
+                if child.tag not in NEVER and child.tag != "a":
+                    slot.own += _weigh(child)
+            elif child.tag in LEAVES or depth == DEEP:
+                sign = signature(child)
+                if not slot.children or slot.children[-1].sign != sign or slot.children[-1].nodes[0].tag not in LEAVES:
+                    slot.children.append(Slot(sign, []))
+                last = slot.children[-1]
+                last.nodes.append(child)
+                if not is_boilerplate(child) and child.tag not in HEADINGS and not (seen and seen(child)):
+                    last.own += _weigh(child)
+            else:
+                below = Slot(signature(child), [child])
+                slot.children.append(below)
+                if not is_boilerplate(child):
+                    todo.append((below, child, depth + 1))
+    for slot in reversed(made):  # a slot comes before those below it
+        slot.text = slot.own + sum(c.text if c.children else c.own for c in slot.children)
+    for slot in made:
+        for c in slot.children:
+            if not c.children:
+                c.text = c.own
+    return top
 
 
 def signature(node: Element) -> str:
@@ -200,32 +216,55 @@ def _body(root: Element) -> Element:
     return root
 
 
+def articles(body: Element) -> list[Element]:
+    """The main element, or else all article elements, that are outermost and not boilerplate, in page order."""
+    found: dict[str, list[Element]] = {"main": [], "article": []}
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        if node.tag in found:
+            found[node.tag].append(node)
+            if node.tag == "article":
+                continue
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Element) and not is_boilerplate(c))
+    inside = [x for x in found["article"] if _weigh(x)]
+    return inside or found["article"][:1] or found["main"][:1]
+
+
 def main_slot(root: Slot) -> Slot:
-    """From the root down to where the running text lies; an article or main element ends the way."""
+    """From the root down to where the running text lies, as long as next to none is left behind."""
     here = root
-    while here.sign.split(".")[0].split("#")[0] not in ("article", "main"):
+    while True:
         inner = [c for c in here.children if c.nodes and c.nodes[0].tag not in LEAVES]
         best = max(inner, key=lambda c: c.text, default=None)
-        if best is None or best.text < HOLDS * here.text or not best.text:
-            break
+        left = here.own + sum(c.text for c in here.children if c not in inner)
+        if best is None or left or best.text < HOLDS * here.text or not best.text:
+            return here
         here = best
-    if here is root:  # short articles: the element alone decides
-        todo = list(root.children)
-        while todo:
-            slot = todo.pop(0)
-            if slot.sign.split(".")[0].split("#")[0] in ("article", "main"):
-                return slot
-            todo.extend(slot.children)
-    return here
 
 
 def _crc(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def induce(sources: list[str]) -> dict:
+def _text_crc(node: Element) -> int:
+    lines: list[str] = []
+    blocks(node, lines)
+    return _crc(" ".join(lines))
+
+
+def page_blocks(source: str) -> tuple[int, list[int]]:
+    """A number for the page's outline near the root, and the crc32 of its block texts, each once."""
+    body = _body(parse(source))
+    lines: list[str] = []
+    blocks(body, lines)
+    near = [signature(c) for c in body.children if isinstance(c, Element) and c.tag in BLOCKS]
+    return _crc(" ".join(sorted(set(near)))), sorted({_crc(x) for x in lines})
+
+
+def induce(sources: list[str], constant: frozenset[int]) -> dict:
     """A host's wrapper: its outline, the place of the main slot, and the crc32 of its constant block texts."""
-    pages = [outline(_body(parse(s))) for s in sources]
+    pages = [outline(_body(parse(s)), lambda node: _text_crc(node) in constant) for s in sources]
     wrapper = pages[0]
     for page in pages[1:]:
         memo: dict = {}
@@ -234,6 +273,7 @@ def induce(sources: list[str]) -> dict:
             for a, b in grown:
                 a.count += 1
                 a.text += b.text
+                a.own += b.own
             known = {id(b) for _, b in grown}
             for a, b in grown:  # what only this page has becomes optional
                 names_here = {c.sign for c in a.children}
@@ -241,13 +281,6 @@ def induce(sources: list[str]) -> dict:
                     if id(c) not in known and c.sign not in names_here:
                         a.children.insert(min(k, len(a.children)), c)
                         names_here.add(c.sign)
-    seen: dict[int, int] = {}
-    for source in sources:
-        lines: list[str] = []
-        blocks(_body(parse(source)), lines)
-        for text in {_crc(x) for x in lines}:
-            seen[text] = seen.get(text, 0) + 1
-    constant = [t for t, n in seen.items() if len(sources) >= FEWEST and n >= CONSTANT * len(sources)]
     chosen = main_slot(wrapper)
     place: list[int] = []
 
@@ -259,7 +292,7 @@ def induce(sources: list[str]) -> dict:
 
     count = [0]
     tree = stored(wrapper)
-    return {"tree": tree, "main": place[0], "constant": constant}
+    return {"tree": tree, "main": place[0], "constant": sorted(constant)}
 
 
 def _loaded(tree: list, count: list[int]) -> Slot:
@@ -277,7 +310,8 @@ def load(raw: str) -> tuple[Slot, int, frozenset[int]]:
 
 def extract(source: str, wrapper: tuple[Slot, int, frozenset[int]] | None) -> tuple[str, bool]:
     """The main text, and whether the wrapper gave it."""
-    page = outline(_body(parse(source)))
+    body = _body(parse(source))
+    page = outline(body)
     node, constant, fits = None, frozenset(), False
     if wrapper is not None:
         tree, main, constant = wrapper
@@ -285,10 +319,8 @@ def extract(source: str, wrapper: tuple[Slot, int, frozenset[int]] | None) -> tu
         if match(tree, page, memo):
             node = next((b for a, b in matched(tree, page, memo) if a.id == main), None)
             fits = node is not None
-    if node is None:
-        node = main_slot(page)
     lines: list[str] = []
-    for x in node.nodes:
+    for x in articles(body) or (node or main_slot(page)).nodes:
         blocks(x, lines)
     kept = [x for x in lines if _crc(x) not in constant] if constant else lines
     return "\n".join(kept), fits
@@ -310,20 +342,37 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html")
     ).withColumn("host", host_of(F.col("url")))
-    # Each task keeps SAMPLE pages of a host at most before the shuffle.
-    order = Window.partitionBy("host").orderBy("hash", "page_id")
-    picked = (
-        rows.filter(F.length("html") > 0)
-        .select("host", "page_id", "html", F.xxhash64("html").alias("hash"))
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= SAMPLE)
-    )
+    filled = rows.filter(F.length("html") > 0).select("host", "page_id", "html", F.xxhash64("html").alias("hash"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page_blocks(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))],
+                names=["host", "hash", "kind", "crcs"],
+            )
+
+    # Copies of a source count once. A host may hold most pages, so its rows are combined before each shuffle.
+    once = filled.select("host", "hash", "html").mapInArrow(counted, "host string, hash long, kind long, crcs array<long>").dropDuplicates(["host", "hash"])
+    once = materialize(once, "page-blocks")
+    groups = once.select("host", "crcs", F.explode(F.array(F.lit(None).cast("long"), "kind")).alias("kind"))
+    sizes = groups.groupBy("host", "kind").agg(F.count("*").alias("pages")).filter(F.col("pages") >= FEWEST)
+    shares = groups.select("host", "kind", F.explode("crcs").alias("crc")).groupBy("host", "kind", "crc").agg(F.count("*").alias("n"))
+    same = (shares["host"] == sizes["host"]) & shares["kind"].eqNullSafe(sizes["kind"])
+    constants = shares.join(sizes, same).filter(F.col("n") >= CONSTANT * F.col("pages")).groupBy(shares["host"]).agg(F.collect_set("crc").alias("constant"))
+    constants = materialize(constants, "page-constants")
+    # Each task keeps the smallest of its different sources only, before the shuffle and after.
+    order = Window.partitionBy("host").orderBy("hash")
+    first = once.select("host", "hash").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE).drop("n")
+    picked = filled.join(materialize(first, "page-sample"), ["host", "hash"]).groupBy("host", "hash").agg(F.min("html").alias("html"))
+    picked = picked.join(constants, "host", "left").select("host", "html", "constant")
 
     def induced(group: pa.Table) -> pa.Table:
-        found = sorted(set(group.column("html").to_pylist()))
-        return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(induce(found))], pa.string())})
+        constant = frozenset(group.column("constant")[0].as_py() or ())
+        found = induce(sorted(set(group.column("html").to_pylist())), constant)
+        return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(found)], pa.string())})
 
-    wrappers = materialize(picked.select("host", "html").groupBy("host").applyInArrow(induced, "host string, wrapper string"), "wrappers")
+    wrappers = materialize(picked.groupBy("host").applyInArrow(induced, "host string, wrapper string"), "wrappers")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
