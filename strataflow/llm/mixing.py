@@ -5,8 +5,12 @@ with the fractional rest as its inclusion probability. The cube method rounds th
 along the null space of the two balancing constraints (word total, document count) until a coordinate is 0 or 1. With
 two constraints and three undecided documents of sizes a, b, c the null space is spanned by (b - c, c - a, a - b). The
 flight runs in blocks, each of which leaves two undecided documents at most; these fly again in the next round, in
-blocks of blocks, until a source's rest is one block, whose last two documents are the landing problem. Large documents
-fly first, so the two that are left to land are among the smallest.
+blocks of blocks, until a source's rest is one block, whose last LANDING documents are the landing problem: there only the
+words are held, until one document is left, which is drawn.
+
+While more than that (three in blocks that fly again) are undecided, the move is the one that takes the largest of them
+along and the others against it, each by its p (1 - p) and so that both totals hold. So large documents are decided first,
+and those that are left to land are among the smallest.
 """
 
 from __future__ import annotations
@@ -21,15 +25,55 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.common import WORD, materialize, numbered, row_hash, stable_seed
 
-#: Documents a flight block has on average, and the slack under which a probability counts as 0 or 1.
-BLOCK, EPS = 1024, 1e-9
+#: Documents a flight block has on average, those of a source that are landed together, and the slack under which a
+#: probability counts as 0 or 1.
+BLOCK, LANDING, EPS = 1024, 12, 1e-9
+
+
+def _largest_first(sizes: list[float], probs: list[float], draw: Iterator[float], until: int, number: bool = True) -> list[int]:
+    """Moves that hold the words, and the number unless told otherwise, and decide the largest documents first; changes probs and returns who is left, `until` mostly."""
+    live = np.array(sorted((i for i, x in enumerate(probs) if 0 < x < 1), key=lambda i: (sizes[i], i)), np.int64)
+    p, s = np.array(probs)[live], np.array(sizes)[live]
+    s = s / max(1.0, float(s.mean()) if len(s) else 1.0)
+    while len(p) > until:
+        w = p[:-1] * (1 - p[:-1])
+        n, first, second = w.sum(), (w * s[:-1]).sum(), (w * s[:-1] ** 2).sum()
+        det = n * second - first * first
+        if not number:
+            u = np.r_[-w * s[-1] / first, 1.0] if first else np.r_[np.zeros(len(w)), 1.0]
+        elif det > EPS * n * second:
+            u = np.r_[-w * ((second - first * s[-1]) + (n * s[-1] - first) * s[:-1]) / det, 1.0]
+        elif abs(s[-1] - s[0]) < EPS:
+            u = np.r_[-w / n, 1.0]
+        else:
+            break  # all others are equal: no move of the largest holds both totals
+        room = np.where(u > 0, 1 - p, p), np.where(u > 0, p, 1 - p)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up, down = (np.where(u != 0, x / np.abs(u), np.inf) for x in room)
+        forward = next(draw) * (up.min() + down.min()) < down.min()
+        ends = up if forward else down
+        p = p + (ends.min() if forward else -ends.min()) * u
+        hit = int(ends.argmin())
+        p[hit] = float((u[hit] > 0) == forward)
+        p[p < EPS], p[p > 1 - EPS] = 0.0, 1.0
+        for i in np.flatnonzero((p == 0) | (p == 1)).tolist():
+            probs[live[i]] = float(p[i])
+        open_ = (p > 0) & (p < 1)
+        live, p, s = live[open_], p[open_], s[open_]
+    for i, x in zip(live.tolist(), p.tolist()):
+        probs[i] = x
+    return live.tolist()
 
 
 def flight(sizes: list[float], probs: list[float], seed: int, land: bool) -> list[float]:
     """The cube method over one block: probabilities that are 0 or 1 but for two at most; with land, none is left."""
     p = [0.0 if x < EPS else 1.0 if x > 1 - EPS else x for x in probs]
-    draw = iter(np.random.Generator(np.random.PCG64(seed)).random(len(p) + 4).tolist())
-    waiting = [i for i, x in enumerate(p) if 0 < x < 1][::-1]
+    draw = iter(np.random.Generator(np.random.PCG64(seed)).random(2 * len(p) + 4).tolist())
+    waiting = _largest_first(sizes, p, draw, LANDING if land else 3)
+    if land:
+        for i in _largest_first(sizes, p, draw, 1, number=False):
+            p[i] = 1.0 if next(draw) < p[i] else 0.0
+        return p
     live: list[int] = []
 
     def move(units: list[int], direction: list[float]) -> None:
@@ -49,13 +93,6 @@ def flight(sizes: list[float], probs: list[float], seed: int, land: bool) -> lis
         a, b, c = (sizes[i] for i in live)
         scale = max(abs(b - c), abs(c - a), abs(a - b))
         move(live, [(b - c) / scale, (c - a) / scale, (a - b) / scale] if scale else [1.0, -1.0, 0.0])
-    if land:
-        # Two documents are left at most: the count stays balanced as long as there are two, then one is drawn.
-        if len(live) == 2:
-            move(live, [1.0, -1.0])
-            live = [i for i in live if 0 < p[i] < 1]
-        for i in live:
-            p[i] = 1.0 if next(draw) < p[i] else 0.0
     return p
 
 
