@@ -49,14 +49,18 @@ def measurement_target(
 
 
 def domain_class(hand: Column, lithology: Column, coast: Column, buffer_m: float = 2000.0, coast_hand: float = 10.0, valley_hand: float = 8.0) -> Column:
-    """Hydrogeologic domain 0 valley, 1 basin, 2 fractured, 3 volcanic, 4 confined basalt, 5 coastal; 255 without lithology."""
+    """Hydrogeologic domain 0 valley, 1 basin, 2 fractured, 3 volcanic, 4 confined basalt, 5 coastal; 255 without lithology.
+
+    A missing height above drainage is neither low nor near the coast.
+    """
+    near_coast = F.coalesce((coast <= buffer_m) & (hand <= coast_hand), F.lit(False))
     return (
-        F.when(lithology.isNull() | hand.isNull(), 255)
-        .when((coast <= buffer_m) & (hand <= coast_hand), 5)
+        F.when(lithology.isNull(), 255)
+        .when(near_coast, 5)
         .when(lithology == 3, 4)
         .when(lithology == 2, 3)
         .when(lithology == 1, 2)
-        .when((lithology == 0) & (hand <= valley_hand), 0)
+        .when((lithology == 0) & F.coalesce(hand <= valley_hand, F.lit(False)), 0)
         .when(lithology == 0, 1)
         .otherwise(255)
         .cast("smallint")

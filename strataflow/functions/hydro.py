@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.core import clip, col
 
-RHO_W, GRAVITY = 1000.0, 9.81
+RHO_W, GRAVITY = 1000.0, 9.80665
 
 
 def saxton_rawls(sand_pct: str | Column, clay_pct: str | Column, om_pct: float | Column = 2.5) -> dict[str, Column]:
@@ -139,3 +139,189 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     rho = a * F.sqrt(big - n * q) / n
     theta = n * F.radians(lon + 96.0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+# -- state conversions
+
+
+#: What a specific yield may be.
+SPECIFIC_YIELD_RANGE = (0.005, 0.6)
+
+
+def checked_specific_yield(sy: Column) -> Column:
+    """sy; a value outside SPECIFIC_YIELD_RANGE ends the query."""
+    return F.when(sy.isNull() | sy.between(*SPECIFIC_YIELD_RANGE), sy).otherwise(
+        F.raise_error(F.concat(F.lit("specific yield out of range: "), sy.cast("string"))).cast("double")
+    )
+
+
+def depth_to_water(surface: Column, head: Column) -> Column:
+    return surface - head
+
+
+def water_table_elevation(surface: Column, depth: Column) -> Column:
+    return surface - depth
+
+
+def depth_anomaly(head_anomaly: Column) -> Column:
+    return -head_anomaly
+
+
+def head_anomaly(depth_anomaly: Column) -> Column:
+    return -depth_anomaly
+
+
+def hydraulic_head(p: Column, z: Column) -> Column:
+    return z + pressure_head(p)
+
+
+def topmodel_depth(mean_depth: Column, scale: float, twi: Column, mean_twi: Column) -> Column:
+    """Water-table depth by wetness index about its mean, never above ground."""
+    return F.greatest(mean_depth - scale * (twi - mean_twi), F.lit(0.0))
+
+
+# -- soil hydraulics
+
+MM_H_TO_M_DAY = 24 / 1000
+
+
+def ksat_texture_m_day(sand_pct: Column, clay_pct: Column, om_pct: float | Column = 2.5) -> Column:
+    return saxton_rawls(sand_pct, clay_pct, om_pct)["ksat_mm_h"] * MM_H_TO_M_DAY
+
+
+def saturated_conductivity(method: str, **given: Column) -> Column:
+    """Saturated conductivity by saxton_rawls (sand_pct, clay_pct), solus_pedotransfer (ph, clay_pct, silt_pct, cec) or as provided (ksat_field)."""
+    needs = {"saxton_rawls": ("sand_pct", "clay_pct"), "solus_pedotransfer": ("ph", "clay_pct", "silt_pct", "cec"), "provided": ("ksat_field",)}
+    if method not in needs:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(needs)}")
+    missing = [k for k in needs[method] if given.get(k) is None]
+    if missing:
+        raise ValueError(f"{method} needs {missing}")
+    if method == "saxton_rawls":
+        return ksat_texture_m_day(given["sand_pct"], given["clay_pct"], given.get("om_pct", 2.5))
+    if method == "solus_pedotransfer":
+        return ksat_pedotransfer(given["ph"], given["clay_pct"], given["silt_pct"], given["cec"], given.get("unit_scale", 1.0))
+    return given["ksat_field"].cast("double")
+
+
+def transmissivity_by(method: str, ksat: Column, thickness: Column, anisotropy: float = 2.5, decay_depth: Column | None = None) -> Column:
+    """ksat_x_thickness, ksat_x_thickness_anisotropy or topmodel_exponential (decay depth; the thickness where there is none)."""
+    found = {
+        "ksat_x_thickness": lambda: ksat * thickness,
+        "ksat_x_thickness_anisotropy": lambda: ksat * thickness * anisotropy,
+        "topmodel_exponential": lambda: ksat * (thickness if decay_depth is None else decay_depth),
+    }
+    if method not in found:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(found)}")
+    return found[method]()
+
+
+def soil_hydraulics(method: str, transmissivity_method: str = "ksat_x_thickness", thickness: Column | None = None, **given: Column) -> dict[str, Column]:
+    """ksat and, with a thickness, transmissivity."""
+    extra = {k: given.pop(k) for k in ("anisotropy", "decay_depth") if k in given}
+    ksat = saturated_conductivity(method, **given)
+    return {"ksat": ksat} | ({} if thickness is None else {"transmissivity": transmissivity_by(transmissivity_method, ksat, thickness, **extra)})
+
+
+#: Deviations of the pedotransfer moisture and of the wetness (as a share of the available water).
+PTF_SIGMA, WETNESS_SIGMA = 0.03, 0.12
+
+
+def moisture_from_wetness(w: Column, wp: Column, fc: Column, sat: Column) -> tuple[Column, Column]:
+    """Moisture at relative wetness w, and its deviation."""
+    w = clip(w, 0.0, 1.0)
+    awc = F.greatest(fc - wp, F.lit(1e-6))
+    var = F.pow((1 - w) * PTF_SIGMA, 2) + F.pow(w * PTF_SIGMA, 2) + F.pow(WETNESS_SIGMA * awc, 2)
+    return F.least(wp + w * (fc - wp), sat), F.sqrt(var)
+
+
+# -- velocity changes
+
+#: Relative velocity change per metre of head, and per unit of moisture (of the material).
+HEAD_SENSITIVITY, MOISTURE_SENSITIVITY = 5.0e-4, -1.0
+
+
+def van_genuchten_of(sand_pct: Column, clay_pct: Column) -> tuple[Column, Column]:
+    """alpha and n by texture."""
+    s, c = sand_pct / 100, clay_pct / 100
+    return clip(0.02 + 0.13 * s - 0.05 * c, 0.005, 0.25), clip(1.2 + 1.3 * s - 0.4 * c, 1.1, 2.8)
+
+
+def vadose_velocity(theta: Column, wp: Column, sat: Column, alpha: Column, n: Column) -> Column:
+    """Shear velocity at moisture theta, by the suction of the drying curve."""
+    se = clip((theta - wp) / F.greatest(sat - wp, F.lit(1e-6)), 1e-3, 1.0)
+    pc = (1 / alpha) * F.pow(F.pow(se, -1 / (1 - 1 / n)) - 1, 1 / n)
+    return shear_velocity(theta, se, pc, sat)
+
+
+def saturated_change(depth_anomaly: Column, k: float = HEAD_SENSITIVITY) -> Column:
+    return -k * -depth_anomaly
+
+
+def velocity_changes(depth_anomaly: Column, theta: Column, theta_ref: Column, wp: Column, sat: Column, alpha: Column, n: Column) -> tuple[Column, Column]:
+    """Relative changes of the low (saturated) and the high (vadose) band."""
+    now, before = vadose_velocity(theta, wp, sat, alpha, n), vadose_velocity(theta_ref, wp, sat, alpha, n)
+    return saturated_change(depth_anomaly), (now - before) / before
+
+
+def states_of_changes(low: Column, high: Column, depth0: Column, theta_ref: Column, wp: Column, sat: Column, alpha: Column, n: Column, steps: int = 41) -> tuple[Column, Column]:
+    """Water-table depth and moisture that explain the changes; moisture is the best of evenly spaced ones, the driest of equals."""
+    before = vadose_velocity(theta_ref, wp, sat, alpha, n)
+
+    def tried(k: Column) -> Column:
+        theta = wp + k / (steps - 1) * (sat - wp)
+        return F.struct(F.abs((vadose_velocity(theta, wp, sat, alpha, n) - before) / before - high).alias("gap"), k.alias("k"), theta.alias("theta"))
+
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), tried))
+    return depth0 + low / HEAD_SENSITIVITY, best["theta"]
+
+
+def head_change_of(dvv: Column, std: Column, k: float = HEAD_SENSITIVITY) -> tuple[Column, Column]:
+    return dvv / k, F.abs(std / k)
+
+
+def moisture_change_of(dvv: Column, std: Column, sensitivity: float = MOISTURE_SENSITIVITY) -> tuple[Column, Column]:
+    return dvv / sensitivity, F.abs(std / sensitivity)
+
+
+def vs30_change_of(dvv: Column, std: Column | None = None) -> tuple[Column, Column]:
+    return dvv.cast("double"), F.lit(None).cast("double") if std is None else F.abs(std)
+
+
+def intensity_2d(r_km: Column, t_s: float | Column, diffusivity: float = 8.0) -> Column:
+    """Diffuse energy density in the plane."""
+    t = F.greatest(col(t_s), F.lit(1e-6))
+    return F.exp(-r_km * r_km / (4 * diffusivity * t)) / (4 * math.pi * diffusivity * t)
+
+
+# -- priors and observation streams
+
+#: Days over which a state forgets.
+MEMORY_DAYS = {"soil_moisture": 5.0, "gwl": 120.0}
+
+
+def converted_range(length: float, nu: float, to: str = "lindgren") -> float:
+    """A Matern length as twice itself ('lindgren') or as an inverse length ('kappa')."""
+    if not (math.isfinite(length) and length > 0):
+        raise ValueError(f"length must be positive and finite, not {length!r}")
+    if to not in ("lindgren", "kappa"):
+        raise ValueError(f"no convention {to!r}")
+    return 2.0 * length if to == "lindgren" else math.sqrt(2 * nu) / length
+
+
+def microergodic(sigma: float, length: float, nu: float) -> float:
+    return sigma**2 * converted_range(length, nu, "kappa") ** (2 * nu)
+
+
+def temporal_resolution(revisit_days: Column, tau: float | Column) -> Column:
+    return F.pow(ou_correlation(revisit_days, tau), 2)
+
+
+def lagged_observation(g: Column, lag_days: Column, tau: float | Column, state_var: Column, noise_var: Column) -> tuple[Column, Column]:
+    """A footprint weight and the noise variance of an observation that is lag_days old."""
+    rho = ou_correlation(lag_days, tau)
+    return rho * g, state_var * (1 - rho * rho) + noise_var
+
+
+def effective_observability(spatial: Column, revisit_days: Column, state: str) -> Column:
+    return spatial * temporal_resolution(revisit_days, MEMORY_DAYS[state])

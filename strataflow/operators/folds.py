@@ -48,7 +48,7 @@ def snow_liquid(df: DataFrame, keys: list[str], order: str, precip: str, temp: s
     """Liquid input after snow storage and degree-day melt."""
 
     def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
-        frozen = clip((hi - x[temp]) / (hi - lo), 0.0, 1.0)
+        frozen = clip((hi - x[temp]) / max(hi - lo, 0.1), 0.0, 1.0)
         swe = acc["swe"] + frozen * x[precip]
         melt = F.least(swe, ddf * F.greatest(x[temp] - melt_t, F.lit(0.0)) * days)
         return {"swe": swe - melt}, (1 - frozen) * x[precip] + melt

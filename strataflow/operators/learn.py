@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,16 +34,25 @@ def predict_with_spread(model, assembler, df: DataFrame) -> DataFrame:
     return out.withColumn("tree_sd", F.sqrt(var)).drop("_features", *names)
 
 
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """df with 1 ... n in the order of a hash: numbers within buckets of it plus the sizes of the buckets before."""
+    n_buckets = max(1, df.count() // 200_000)
+    keyed = df.withColumn("_h", order).withColumn("_b", F.floor((F.shiftrightunsigned("_h", 33).cast("double") / 2.0**31) * n_buckets))
+    sizes = keyed.groupBy("_b").count()  # one row a bucket
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_b", before.alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
+    return keyed.withColumn("_place", place).join(starts, "_b").withColumn(name, F.col("_start") + F.col("_place")).drop("_h", "_b", "_start", "_place")
+
+
 def permutation_importance(model, assembler, df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """feature, rise of the squared error when the feature's values are dealt anew (by a hash order joined by rank)."""
-    n_buckets = max(1, min(997, df.count() // 8))  # so that hardly a bucket is without a donor
+    """feature, rise of the squared error when the feature's values are permuted over the rows (each value is used once)."""
     base = model.transform(assembler.transform(df)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
-    found = []
+    columns, found = df.columns, []
+    takers = numbered(df, F.xxhash64(F.lit("taker"), *columns), "_n")
     for f in features:
-        # every row takes the value of a row drawn by a hash bucket: same distribution, no relation to the label
-        keyed = df.withColumn("_k", F.pmod(F.xxhash64(*df.columns), F.lit(n_buckets)))
-        donors = keyed.groupBy("_k").agg(F.min_by(f, F.xxhash64(F.lit(f), *df.columns)).alias("_v"))
-        mixed = keyed.withColumn("_k", F.pmod(F.xxhash64(F.lit(f), *df.columns), F.lit(n_buckets))).join(donors, "_k").withColumn(f, F.col("_v")).drop("_k", "_v")
+        givers = numbered(df, F.xxhash64(F.lit("giver"), F.lit(f), *columns), "_n").select("_n", F.col(f).alias("_v"))
+        mixed = takers.join(givers, "_n").withColumn(f, F.col("_v")).drop("_n", "_v")
         err = model.transform(assembler.transform(mixed)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
         found.append((f, float(err - base)))
     return df.sparkSession.createDataFrame(found, "feature string, importance double")

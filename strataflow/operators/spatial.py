@@ -65,8 +65,8 @@ def drain_to(graph: DataFrame, materialize, most: int = 64) -> DataFrame:
         moved = new.filter("moved").limit(1).count()
         state = new.select("node", "next")
         if not moved:
-            break
-    return state.withColumnRenamed("next", "root")
+            return state.withColumnRenamed("next", "root")
+    raise ValueError(f"some nodes have no end within {most} doublings: next has a cycle")
 
 
 def anchor(pairs: DataFrame, keys: list[str], residual: str, length: float, prior_sigma: float, obs_sigma: float = 0.02) -> DataFrame:

@@ -35,7 +35,7 @@ def regex_month(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "SELECT a.event_id, arg_min(b.value, (abs(epoch_us(a.ts) - epoch_us(b.ts)), b.ts, b.value)) AS nearest_value FROM "
     "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') a LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view') b "
-    "ON a.user_id = b.user_id AND abs(date_diff('day', CAST(a.ts AS DATE), CAST(b.ts AS DATE))) <= 1 GROUP BY a.event_id"
+    "ON a.user_id = b.user_id GROUP BY a.event_id"
 )
 def nearest_asof(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")

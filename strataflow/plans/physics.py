@@ -47,7 +47,7 @@ def hargreaves_pet(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey AS cell, round(9810.0::DOUBLE * greatest(100 - z, 0), 6) AS pressure, round(9810.0::DOUBLE * greatest(100 - z, 0) * power(cos(b), 2), 6) AS slope_pressure, "
+    "SELECT p_partkey AS cell, round(9806.65::DOUBLE * greatest(100 - z, 0), 6) AS pressure, round(9806.65::DOUBLE * greatest(100 - z, 0) * power(cos(b), 2), 6) AS slope_pressure, "
     "round(greatest(100 - z, 0) + 0.0::DOUBLE, 6) AS head_m, round(z + greatest(100 - z, 0), 6) AS hydraulic_head FROM (SELECT p_partkey, 80.0::DOUBLE + p_size AS z, radians(p_size / 2.0::DOUBLE) AS b FROM part)"
 )
 def pore_pressure(spark: SparkSession, sf: str) -> DataFrame:

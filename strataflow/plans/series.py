@@ -37,12 +37,17 @@ def rolling3(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"WITH m AS ({MONTHLY}), s AS (SELECT site, year, month, CASE WHEN count(quantity) OVER w = 3 THEN sum(quantity) OVER w END AS s3 FROM m WINDOW w AS "
     "(PARTITION BY site ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), v AS (SELECT * FROM s WHERE s3 IS NOT NULL), "
-    "r AS (SELECT month, site, year, rank() OVER (PARTITION BY month ORDER BY s3) + (count(*) OVER (PARTITION BY month, s3) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY month) AS n FROM v) "
-    "SELECT site, year, month, CASE WHEN n >= 10 THEN round((rk - 1) / (n - 1), 9) END AS p FROM r"
+    "r AS (SELECT month, site, year, rank() OVER (PARTITION BY site, month ORDER BY s3) + (count(*) OVER (PARTITION BY site, month, s3) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY site, month) AS n FROM v) "
+    "SELECT site, year, month, CASE WHEN n >= 4 THEN round((rk - 1) / (n - 1), 9) END AS p FROM r"
 )
 def spi3_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = series.rolling_sum(months(spark, sf), ["site"], ["year", "month"], "quantity", 3, "s3").filter("s3 IS NOT NULL")
-    return series.average_rank(rows, ["month"], "s3", "p", 10).select("site", "year", "month", F.round("p", 9).alias("p"))
+    return series.average_rank(rows, ["site", "month"], "s3", "p", 4).select("site", "year", "month", F.round("p", 9).alias("p"))
+
+
+@query()
+def spi3(spark: SparkSession, sf: str) -> DataFrame:
+    return series.standardised_index(months(spark, sf), ["site"], ["year", "month"], "month", "quantity", "spi3", rows=3, least=4).select("site", "year", "month", "spi3")
 
 
 @query(

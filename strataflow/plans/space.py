@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataflow.operators import spatial
 from strataflow.plans.registry import query, read
+from strataflow.session import checkpointed
 
 GRID = "SELECT CAST(p_partkey // 40 AS INT) AS row, CAST(p_partkey % 40 AS INT) AS col, p_retailprice AS z, p_size AS hand, p_partkey AS cell FROM part"
 POINTS = "SELECT s_suppkey AS pid, ((s_suppkey * 37) % 100) * 0.4::DOUBLE AS px, ((s_suppkey * 53) % 100) * 0.5::DOUBLE AS py, s_acctbal / 1000 AS v FROM supplier"
@@ -66,14 +67,7 @@ def d8_next(spark: SparkSession, sf: str) -> DataFrame:
 def drainage_roots(spark: SparkSession, sf: str) -> DataFrame:
     d8 = spatial.steepest_neighbour(grid(spark, sf), "z")
     graph = d8.select((F.col("row") * 40 + F.col("col")).alias("node"), (F.col("nrow") * 40 + F.col("ncol")).alias("next"))
-    spark_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark_dir:
-        import tempfile
-
-        spark_dir = tempfile.mkdtemp(prefix="strataflow-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark_dir)
-    return spatial.drain_to(graph, lambda df: df.checkpoint())
+    return spatial.drain_to(graph, checkpointed)
 
 
 @query(f"SELECT cell, count(*) AS n, round(min(d), 9) AS d_min, arg_min(pid, (d, pid)) AS nearest FROM ({PAIRS}) WHERE d <= 8 GROUP BY cell")

@@ -17,15 +17,15 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def steps() -> dict[str, Column]:
-    return {"status": ~F.col("status").isin("R"), "date": F.col("date") >= F.lit("1996-01-01").cast("date"), "value": F.col("value") >= 2000}
+    return {"status": ~F.coalesce(F.col("status").isin("R"), F.lit(False)), "date": F.col("date") >= F.lit("1996-01-01").cast("date"), "value": F.col("value") >= 2000}
 
 
 @query(
     "SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events "
-    "WHERE event_type NOT IN ('click', 'error') AND value > 1"
+    "WHERE coalesce(event_type NOT IN ('click', 'error'), true) AND value > 1"
 )
 def qc_status_filter(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").filter(~F.col("event_type").isin("click", "error") & (F.col("value") > 1))
+    e = read(spark, sf, "events").filter(~F.coalesce(F.col("event_type").isin("click", "error"), F.lit(False)) & (F.col("value") > 1))
     return e.select("event_id", "user_id", "value", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
@@ -68,12 +68,12 @@ def flowing_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 MONTHLY = (
     "SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, median(l_extendedprice) AS value, "
-    "median(l_quantity) AS quantity, count(*) AS n_obs FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL"
+    "median(l_quantity) AS quantity, count(*) AS n_obs FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'R' GROUP BY ALL"
 )
 
 
 def months(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "lineitem").filter("l_returnflag <> 'R'")
+    rows = read(spark, sf, "lineitem").filter("not l_returnflag <=> 'R'")
     return wells.monthly(rows.withColumnRenamed("l_suppkey", "site"), "site", "l_shipdate", {"value": "l_extendedprice", "quantity": "l_quantity"})
 
 

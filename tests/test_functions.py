@@ -94,7 +94,7 @@ def test_envelope_and_pressure(spark):
     rows = df.select(*[v.alias(k) for k, v in hydro.saxton_rawls("s", "c").items()]).collect()
     assert all(r.theta_wp < r.theta_fc < r.theta_sat for r in rows) and rows[0].ksat_mm_h > rows[2].ksat_mm_h
     z = spark.createDataFrame([(102.0,), (100.0,), (99.0,), (95.0,)], "z double").select(hydro.pore_pressure(F.lit(100.0), F.col("z")).alias("p")).collect()
-    assert [r.p for r in z] == [0.0, 0.0, 9810.0, 5 * 9810.0]
+    assert [r.p for r in z] == [0.0, 0.0, 9806.65, 5 * 9806.65]  # standard gravity, 9.80665
 
 
 def test_albers_origin(spark):
