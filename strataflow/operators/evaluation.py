@@ -126,4 +126,4 @@ def same_covariances(a: DataFrame, b: DataFrame, tolerance: float = 1e-12) -> Da
     both = a.select("i", "j", F.col("cov").alias("_a")).join(b.select("i", "j", F.col("cov").alias("_b")), ["i", "j"], "full_outer")
     found = both.agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("worst"), F.count_if(F.col("_a").isNull() != F.col("_b").isNull()).alias("_alone"))
     bad = (F.col("_alone") > 0) | (F.col("worst") > tolerance)
-    return found.select(F.when(bad, F.raise_error(F.concat(F.lit("covariances differ by "), F.col("worst").cast("string"))).cast("double")).otherwise(F.col("worst")).alias("worst"))
+    return found.select(F.when(bad, F.raise_error(F.concat(F.lit("covariances differ by "), F.coalesce(F.col("worst").cast("string"), F.lit("their pairs")))).cast("double")).otherwise(F.col("worst")).alias("worst"))
