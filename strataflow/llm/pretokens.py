@@ -25,7 +25,7 @@ PRETOKEN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 #: Words and pre-tokens remembered per process, the longest that are, and the misses, in memories, after which it starts anew.
-WORDS, PRETOKENS, LONGEST, AGED = 500_000, 300_000, 64, 16
+WORDS, PRETOKENS, LONGEST, AGED = 900_000, 300_000, 64, 8
 
 _open: dict[str, PretokenEncoder] = {}
 
@@ -40,27 +40,27 @@ def _byte_characters() -> dict[int, int]:
 class _Words(dict):
     """Ids of plain words with the space before them; a word that is missing is encoded."""
 
+    __slots__ = ("by_pattern", "ends", "new", "owner", "tokenize")
+
     def __init__(self, owner: PretokenEncoder) -> None:
-        self.owner, self.ends = owner, {c: owner._new(c) for c in ".,"}
+        self.owner, self.tokenize, self.new, self.by_pattern = owner, owner.tokenize, owner._new, owner._by_pattern
+        self.ends = {c: owner._new(c) for c in ".,"}
 
     def __missing__(self, word: str) -> bytes:
-        owner, stem = self.owner, word[:-1]
         if word.isalpha():  # one pre-token
-            if word.isascii():
-                out = array("I", [t.id for t in owner.tokenize("\u0120" + word)]).tobytes()
-            else:
-                out = owner._new(" " + word)
-        elif stem.isalpha() and word[-1] in self.ends:
-            out = self[stem] + self.ends[word[-1]]
+            out = array("I", [t.id for t in self.tokenize("\u0120" + word)]).tobytes() if word.isascii() else self.new(" " + word)
+        else:
+            stem, end = word[:-1], word[-1:]
+            out = self[stem] + self.ends[end] if end in self.ends and stem.isalpha() else self.by_pattern(" " + word)
+        if len(self) < WORDS:
+            if len(word) <= LONGEST:
+                self[word] = out
         else:
-            out = owner._by_pattern(" " + word)
-        owner.missed += 1
-        if len(self) < WORDS and len(word) <= LONGEST:
-            self[word] = out
-        elif owner.missed > AGED * WORDS:  # the corpus has moved on
-            self.clear()
-            owner.pretokens.clear()
-            owner.missed = 0
+            self.owner.missed += 1
+            if self.owner.missed > AGED * WORDS:  # the corpus has moved on
+                self.clear()
+                self.owner.pretokens.clear()
+                self.owner.missed = 0
         return out
 
 

@@ -36,7 +36,7 @@ def _frequent(seq: np.ndarray, ends: np.ndarray, least: int, most: int) -> tuple
     """
     slots = 1 << _SLOT_BITS
     slot = (seq[:-1] * _MIX[0]) ^ (seq[1:] * _MIX[1])
-    slot >>= np.uint32(32 - _SLOT_BITS)
+    slot = (slot >> np.uint32(32 - _SLOT_BITS)).astype(np.intp)
     slot[ends[(ends > 0) & (ends < len(seq))] - 1] = slots
     load = np.bincount(slot, minlength=slots + 1)[:slots]
     full = np.flatnonzero(load >= least)
@@ -44,18 +44,21 @@ def _frequent(seq: np.ndarray, ends: np.ndarray, least: int, most: int) -> tuple
         full = full[np.argpartition(-load[full], most)[:most]]
     rank_of = np.full(slots + 1, -1, np.int32)
     rank_of[full] = np.arange(len(full), dtype=np.int32)
-    rank = rank_of[slot]
+    rank = rank_of.take(slot, mode="clip")
     places = np.flatnonzero(rank >= 0)
-    rank = rank[places]
-    pair = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+    rank = rank.take(places, mode="clip").astype(np.intp)
+    pair = seq.take(places, mode="clip").astype(np.uint64) << np.uint64(32)
+    pair |= seq[1:].take(places, mode="clip")
     pairs = np.zeros(len(full), np.uint64)
     pairs[rank] = pair
-    counts = np.bincount(rank[pairs[rank] == pair], minlength=len(full))
+    same = pairs.take(rank, mode="clip") == pair
+    counts = np.bincount(rank[same], minlength=len(full))
     order = np.lexsort((pairs, -counts))[: int((counts >= least).sum())]
     new_rank = np.full(len(full), -1, np.int32)
     new_rank[order] = np.arange(len(order), dtype=np.int32)
-    keep = np.flatnonzero((pairs[rank] == pair) & (new_rank[rank] >= 0))
-    return pairs[order], places[keep], new_rank[rank[keep]]
+    rank = new_rank.take(rank, mode="clip")
+    same &= rank >= 0
+    return pairs[order], places[same], rank[same]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = 6, per_round: int = 4096, least: int = 6) -> bytes:
