@@ -24,12 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Shuffle files go as soon as the write that needed them is done.
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def materialize(df: DataFrame, name: str, **conf: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    conf (with _ for the dots) holds while it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    wanted = _CLEANUP | {k.replace("_", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote of these, when nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
