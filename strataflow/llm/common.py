@@ -49,6 +49,17 @@ def materialize(df: DataFrame, name: str, **conf: str) -> DataFrame:
     return out
 
 
+#: Texts that go to a Python worker together, at most.
+TEXTS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send no more than TEXTS rows to a Python worker at a time: texts are long, a worker's memory is not."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXTS:
+        spark.conf.set(key, str(TEXTS))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote of these, when nothing reads them any more."""
     for table in tables:

@@ -35,7 +35,7 @@ START = "\x02"
 #: Bytes of documents scored together where a model has several shards.
 GATHER = 1 << 25
 #: Characters counted at once, the multiplier of the rolling hash, and what sets contexts apart from n-grams.
-_STEP, _MIX, _CONTEXT = 1 << 22, np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+_STEP, _MIX, _CONTEXT = 1 << 21, np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
