@@ -85,6 +85,8 @@ def unpack_lzw(raw: bytes) -> bytes:
         if code == END:
             break
         if previous is None:
+            if code > 255:
+                raise TiffError("an LZW strip begins with no literal")
             entry = table[code]
         else:
             if code > len(table):

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from helpers import BYTES, docs
 
-from strataflow.llm import cws, html_tree, mixing, quality, sharding, simhash, token_files, wrapper
+from strataflow.llm import cws, html_tree, mixing, quality, sharding, simhash, tiff, token_files, wrapper
 from strataflow.llm.near import drop_near_copies
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -222,3 +222,8 @@ def test_targets_are_near(spark):
     taken = {r.source: r.t for r in mixing.mix_plan(docs(spark, rows)).selectExpr("source", "size * n * copies as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "t").collect()}
     for r in plan:
         assert abs(taken[r.source] - r["max(target)"]) <= 0.01 * r["max(target)"]
+
+
+def test_lzw_that_begins_with_no_literal():
+    with pytest.raises(tiff.TiffError):
+        tiff.unpack_lzw((300 << 7).to_bytes(2, "big"))
