@@ -79,10 +79,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataflow.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece, op2_mixing, op3_fingerprints, op4_html, op5_quality, op6_sharding, op7_media, op8_simhash, op9_token_files, op10_token_counts]
+    found = [op1_sentencepiece, op2_mixing, op3_fingerprints, op4_html, op5_quality, op6_sharding, op7_media, op8_simhash, op9_token_files, op10_token_counts, op11_hard_negatives, op12_divergence, op13_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strataflow.llm import divergence, hard_negatives
+
+    return {"op11_hard_negatives": hard_negatives.SQL, "op12_divergence": divergence.SQL}
