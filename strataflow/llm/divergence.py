@@ -26,7 +26,7 @@ from strataflow.llm.common import materialize
 #: A word must be in so many documents of its language; as many words of a source are told.
 LEAST, TOLD = 10, 10
 #: Counts above zero in a bucket of words, sources in a tile, bytes of text looked at together, rows of counts that a task combines before it sends them.
-BUCKET, TILE, BYTES, ROWS = 1 << 18, 512, 1 << 22, 1 << 18
+BUCKET, TILE, BYTES, ROWS = 1 << 18, 512, 1 << 20, 1 << 17
 SCALE = 1_000_000_000
 
 _CODES = np.arange(256)
@@ -131,7 +131,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     counted = plain.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Dealt by word, so that what looks at all sources of a word needs no further shuffle.
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 # -- divergences of one bucket of words
@@ -234,20 +235,18 @@ def divergence(docs: DataFrame, least: int = LEAST) -> DataFrame:
     (value 0 where it keeps no words), part 'term' the TOLD words a source has most above its language. Ranks go by value,
     the highest first, then by item. An empty table gives no rows.
     """
-    counts = materialize(word_counts(docs), "divergence-counts")
     by_word = Window.partitionBy("lang", "term")
-    kept = (
-        counts.filter(F.col("term").isNotNull())
-        .select("lang", "source", "term", "n", F.sum("docs").over(by_word).alias("_docs"), F.sum("n").over(by_word).alias("in_lang"),
-                (F.row_number().over(by_word.orderBy("source")) == 1).cast("long").alias("_one"))
-        .filter(F.col("_docs") >= least)
+    counts = word_counts(docs).select(
+        "lang", "source", "term", "n", F.sum("docs").over(by_word).alias("_docs"), F.sum("n").over(by_word).alias("in_lang"),
+        (F.row_number().over(by_word.orderBy("source")) == 1).cast("long").alias("_one"),
     )
-    kept = materialize(kept.drop("_docs"), "divergence-kept")
+    counts = materialize(counts.filter(F.col("term").isNull() | (F.col("_docs") >= least)).drop("_docs"), "divergence-counts")
+    kept = counts.filter(F.col("term").isNotNull())
     langs = kept.groupBy("lang").agg(F.sum("_one").alias("kinds"), F.sum("n").alias("in_lang"), F.ceil(F.count("*") / BUCKET).alias("_buckets"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     sources = (
-        counts.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left")
+        counts.filter(F.col("term").isNull()).select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("total", "kinds", "in_lang")],
                 F.greatest(F.coalesce("_buckets", F.lit(1)), F.lit(1)).cast("int").alias("_buckets"), F.floor(place / TILE).cast("int").alias("tile"))
         .withColumn("_tiles", F.max("tile").over(Window.partitionBy("lang")) + 1)
