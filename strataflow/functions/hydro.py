@@ -118,29 +118,54 @@ def peak_depth_km(f_hz: Column, vs: float = 1500.0) -> Column:
     return vs / (3 * f_hz) / 1000
 
 
-def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """EPSG:5070 x, y in metres (Snyder 1987, ellipsoidal Albers equal area)."""
-    a, f = 6378137.0, 1 / 298.257222101
-    e2 = 2 * f - f * f
+# The ellipsoid (GRS 80), and the parallels, origin and central meridian of EPSG:5070.
+_AXIS, _FLATTENING = 6378137.0, 1 / 298.257222101
+_PARALLELS, _ORIGIN, _MERIDIAN = (29.5, 45.5), 23.0, -96.0
+
+
+def _cone() -> tuple[float, float, float, float, float]:
+    """e, e^2, n, C and rho0 of the conic projection (Snyder 1987)."""
+    e2 = 2 * _FLATTENING - _FLATTENING**2
     e = math.sqrt(e2)
 
-    def q_of(sin: float) -> float:
+    def q_of(phi: float) -> float:
+        sin = math.sin(phi)
         return (1 - e2) * (sin / (1 - e2 * sin * sin) - math.log((1 - e * sin) / (1 + e * sin)) / (2 * e))
 
     def m_of(phi: float) -> float:
         return math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
 
-    p1, p2, p0 = math.radians(29.5), math.radians(45.5), math.radians(23.0)
-    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_of(math.sin(p2)) - q_of(math.sin(p1)))
-    big = m_of(p1) ** 2 + n * q_of(math.sin(p1))
-    rho0 = a * math.sqrt(big - n * q_of(math.sin(p0))) / n
+    p1, p2 = map(math.radians, _PARALLELS)
+    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_of(p2) - q_of(p1))
+    big = m_of(p1) ** 2 + n * q_of(p1)
+    return e, e2, n, big, _AXIS * math.sqrt(big - n * q_of(math.radians(_ORIGIN))) / n
+
+
+def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """EPSG:5070 x, y in metres (Snyder 1987, ellipsoidal Albers equal area)."""
+    e, e2, n, big, rho0 = _cone()
     s = F.sin(F.radians(lat))
     q = (1 - e2) * (s / (1 - e2 * s * s) - F.ln((1 - e * s) / (1 + e * s)) / (2 * e))
-    rho = a * F.sqrt(big - n * q) / n
-    theta = n * F.radians(lon + 96.0)
+    rho = _AXIS * F.sqrt(big - n * q) / n
+    theta = n * F.radians(lon - _MERIDIAN)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+def albers_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of EPSG:5070 metres: the inverse of albers(), the latitude by its series in the authalic one."""
+    e, e2, n, big, rho0 = _cone()
+    up = rho0 - y
+    rho = F.sqrt(x * x + up * up)
+    q = (big - F.pow(rho * n / _AXIS, 2)) / n
+    pole = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / pole)))
+    e4, e6 = e2 * e2, e2**3
+    lat = (
+        beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
+    )
+    return _MERIDIAN + F.degrees(F.atan2(x, up) / n), F.degrees(lat)
+
+
 # -- state conversions
 
 
@@ -255,7 +280,7 @@ def vadose_velocity(theta: Column, wp: Column, sat: Column, alpha: Column, n: Co
 
 
 def saturated_change(depth_anomaly: Column, k: float = HEAD_SENSITIVITY) -> Column:
-    return -k * -depth_anomaly
+    return k * depth_anomaly
 
 
 def velocity_changes(depth_anomaly: Column, theta: Column, theta_ref: Column, wp: Column, sat: Column, alpha: Column, n: Column) -> tuple[Column, Column]:

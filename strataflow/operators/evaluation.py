@@ -15,11 +15,12 @@ GATES = {"valley_fill": (0.75, 1.5, 0.25), "basin": (1.5, 2.5, 0.5), "coastal":
 
 
 def errors(df: DataFrame, keys: list[str], y: Column, mu: Column) -> DataFrame:
-    """n, rmse, mae, bias, r2 of predictions mu of y."""
+    """n, rmse, mae, bias, r2 of predictions mu of y, over the rows that have both; a key without any has n = 0 and NULLs."""
+    y, mu = F.when(mu.isNotNull(), y), F.when(y.isNotNull(), mu)
     e = mu - y
     sst = F.var_pop(y) * F.count(y)
     return df.groupBy(*keys).agg(
-        F.count("*").alias("n"),
+        F.count(y).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e).alias("bias"),
@@ -39,9 +40,9 @@ def gate_status(report: DataFrame, domain: str, least: int = 20) -> DataFrame:
 
 
 def interval_coverage(df: DataFrame, keys: list[str], y: Column, mu: Column, sigma: Column) -> DataFrame:
-    """n and the share of y within the central intervals of N(mu, sigma)."""
-    z = F.abs((y - mu) / F.greatest(sigma, F.lit(1e-9)))
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg((z <= q).cast("double")).alias(f"cov{k}") for k, q in LEVELS.items()])
+    """n and the share of y within the central intervals of N(mu, sigma), over the rows that have all three."""
+    z = F.when(sigma.isNotNull(), F.abs((y - mu) / F.greatest(sigma, F.lit(1e-9))))
+    return df.groupBy(*keys).agg(F.count(z).alias("n"), *[F.avg((z <= q).cast("double")).alias(f"cov{k}") for k, q in LEVELS.items()])
 
 
 def quadrature(df: DataFrame, keys: list[str], sigma: str) -> DataFrame:

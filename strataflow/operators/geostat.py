@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def exponential(d: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
@@ -28,11 +29,28 @@ def krige_block(px: np.ndarray, py: np.ndarray, v: np.ndarray, gx: np.ndarray, g
     return w[:n].T @ v, np.sqrt(np.maximum((w * b).sum(0), 0))
 
 
-def krige_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, model: tuple[float, float, float], least: int = 8) -> DataFrame:
-    """keys, cell, estimate, sd: obs(keys, px, py, value) kriged to cells(keys, cell, x, y), group by group."""
+#: Side of a block of cells, in the cells' own unit.
+BLOCK = 64.0
+
+
+def by_block(cells: DataFrame, obs: DataFrame, keys: list[str], block: float):
+    """The cogroup of blocks of cells(keys, x, y) with all of their key's obs: what a task holds is bounded by a block and a network."""
+    placed = cells.withColumn("_bx", F.floor(F.col("x") / block)).withColumn("_by", F.floor(F.col("y") / block))
+    blocks = placed.select(*keys, "_bx", "_by").distinct()
+    known = obs.select(*[F.col(c).alias(c) for c in obs.columns])
+    full = [*keys, "_bx", "_by"]
+    sent = known.join(blocks, keys).select(*[F.col(c).alias(c) for c in [*obs.columns, "_bx", "_by"]])
+    return sent.alias("o").groupBy(*[F.col(f"o.{k}") for k in full]).cogroup(placed.alias("c").groupBy(*[F.col(f"c.{k}") for k in full]))
+
+
+def krige_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, model: tuple[float, float, float], least: int = 8, block: float = BLOCK) -> DataFrame:
+    """keys, cell, estimate, sd: obs(keys, px, py, value) kriged to cells(keys, cell, x, y), group by group, in blocks of cells.
+
+    Observations at one place count as their mean.
+    """
 
     def solve(key: tuple, o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        o = o.dropna(subset=[value, "px", "py"]).drop_duplicates(["px", "py"])
+        o = o.dropna(subset=[value, "px", "py"]).groupby(["px", "py"], as_index=False)[value].mean()
         if len(o) < least or c.empty:
             return pd.DataFrame({**{k: [] for k in keys}, "cell": [], "estimate": [], "sd": []})
         z, s = krige_block(o["px"].to_numpy(), o["py"].to_numpy(), o[value].to_numpy(), c["x"].to_numpy(), c["y"].to_numpy(), model)
@@ -40,7 +58,7 @@ def krige_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str,
 
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "cell long", "estimate double", "sd double"])
-    return obs.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(solve, schema)
+    return by_block(cells, obs, keys, block).applyInPandas(solve, schema)
 
 
 def matern32(d: np.ndarray, sigma: float, length: float) -> np.ndarray:
@@ -52,13 +70,14 @@ def blue(cx: np.ndarray, cy: np.ndarray, px: np.ndarray, py: np.ndarray, v: np.n
     """Best linear unbiased update of a zero-mean Matern-3/2 field by point data: mean, variance reduction, degrees of freedom for signal."""
     cross = matern32(np.hypot(cx[:, None] - px, cy[:, None] - py), sigma, length)
     prior = matern32(np.hypot(px[:, None] - px, py[:, None] - py), sigma, length)
-    gain = np.linalg.solve(prior + np.diag(noise**2), np.eye(len(px)))
-    mean = cross @ (gain @ v)
-    return mean, np.clip((cross @ gain * cross).sum(1), 0, sigma**2), float(np.trace(prior @ gain))
+    whole = prior + np.diag(noise**2)
+    weights = np.linalg.solve(whole, np.column_stack([v, cross.T, prior]))
+    per_cell = weights[:, 1 : 1 + len(cx)].T
+    return cross @ weights[:, 0], np.clip((per_cell * cross).sum(1), 0, sigma**2), float(np.trace(weights[:, 1 + len(cx) :]))
 
 
-def blue_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, noise: str, sigma: float, length: float) -> DataFrame:
-    """keys, cell, mean, reduction, dfs, group by group."""
+def blue_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, noise: str, sigma: float, length: float, block: float = BLOCK) -> DataFrame:
+    """keys, cell, mean, reduction, dfs, group by group, in blocks of cells."""
 
     def solve(key: tuple, o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         o = o.dropna(subset=[value])
@@ -69,4 +88,4 @@ def blue_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, n
 
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "cell long", "mean double", "reduction double", "dfs double"])
-    return obs.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(solve, schema)
+    return by_block(cells, obs, keys, block).applyInPandas(solve, schema)

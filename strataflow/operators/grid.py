@@ -318,7 +318,8 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 def cells_in_shapes(cells: DataFrame, shapes: DataFrame, bucket: float) -> DataFrame:
     """cells(..., x, y) with the code of the first (by rank) of shapes(code, rank, ring) that holds the centre, else NULL.
 
-    Shapes are dealt to the square buckets that their boxes touch; a cell meets those of its own bucket only.
+    Shapes are dealt to the square buckets that their boxes touch; a cell meets those of its own bucket only. Of the cells only
+    the places are shuffled twice; other columns may hold anything, a cell without a place is in no shape.
     """
 
     def touched(c: str) -> Column:
@@ -326,7 +327,7 @@ def cells_in_shapes(cells: DataFrame, shapes: DataFrame, bucket: float) -> DataF
         return F.sequence(F.floor(F.array_min(along) / bucket), F.floor(F.array_max(along) / bucket))
 
     dealt = shapes.withColumn("_bx", F.explode(touched("x"))).withColumn("_by", F.explode(touched("y")))
-    keyed = cells.withColumn("_bx", F.floor(F.col("x") / bucket)).withColumn("_by", F.floor(F.col("y") / bucket)).withColumn("_id", F.struct(*cells.columns))
+    keyed = cells.select("x", "y").distinct().withColumn("_bx", F.floor(F.col("x") / bucket)).withColumn("_by", F.floor(F.col("y") / bucket))
     hits = keyed.join(dealt, ["_bx", "_by"]).filter(in_ring(F.col("x"), F.col("y"), F.col("ring")))
-    best = hits.groupBy("_id").agg(F.min_by("code", F.struct("rank", "code")).alias("code")).select("_id.*", "code")
-    return cells.join(best, cells.columns, "left")
+    best = hits.groupBy("x", "y").agg(F.min_by("code", F.struct("rank", "code")).alias("code"))
+    return cells.join(best, ["x", "y"], "left").select(*cells.columns, "code")

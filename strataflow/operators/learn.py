@@ -56,3 +56,24 @@ def permutation_importance(model, assembler, df: DataFrame, features: list[str],
         err = model.transform(assembler.transform(mixed)).agg(F.avg((F.col("prediction") - F.col(label)) ** 2)).first()[0]
         found.append((f, float(err - base)))
     return df.sparkSession.createDataFrame(found, "feature string, importance double")
+
+
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+    """df with prediction and tree_sd, each row's by a forest that has seen no row of its fold.
+
+    Rows with a missing feature, or a null fold, have NULLs; rows without a label are predicted but teach nothing. A fold whose
+    other folds have no complete row is not predicted. There are as many forests as folds (a few).
+    """
+    complete = F.lit(True)
+    for c in [*features, fold]:
+        complete = complete & F.col(c).isNotNull()
+    folds = sorted(r[0] for r in df.filter(complete).select(fold).distinct().collect())  # a number each
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("prediction", "tree_sd")]
+    out = df.filter(~complete).select("*", *nothing)
+    for k in folds:
+        own, others = df.filter(complete & (F.col(fold) == k)), df.filter(complete & (F.col(fold) != k) & F.col(label).isNotNull())
+        if others.limit(1).count():
+            out = out.unionByName(predict_with_spread(*forest(others, features, label, trees, depth, seed), own))
+        else:
+            out = out.unionByName(own.select("*", *nothing))
+    return out

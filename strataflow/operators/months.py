@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 def regular_months(df: DataFrame, keys: list[str], month: str, value: str, most: int = 3) -> DataFrame:
     """keys, month, value of every month from a key's first to its last; of a gap the first `most` months are interpolated.
 
+    Months are given by any of their days and come as their first; rows of one month count as their mean, null values as none.
     Months come from the gap before each row, so a key's series is never gathered.
     """
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(month).alias("_m"), F.col(value).cast("double").alias("_v"))
+    known = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.trunc(month, "month").alias("_m")).agg(F.avg(F.col(value).cast("double")).alias("_v"))
     w = Window.partitionBy(*keys).orderBy("_m")
     steps = known.withColumn("_next", F.lead("_m").over(w)).withColumn("_nv", F.lead("_v").over(w))
     gap = F.coalesce(F.months_between("_next", "_m").cast("int"), F.lit(1))
@@ -69,9 +70,10 @@ def melt_out(df: DataFrame, keys: list[str], order: str, swe: str, below: float
 
 
 def losses(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """How much the value fell since the row before (from 0 before the first), never below 0."""
-    before = F.coalesce(F.lag(value).over(Window.partitionBy(*keys).orderBy(order)), F.lit(0.0))
-    return df.withColumn(out, F.greatest(before - F.col(value), F.lit(0.0)))
+    """How much the value fell since the last row that has one (from 0 before the first), never below 0; NULL where the value is."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(value, ignorenulls=True).over(earlier), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(before - F.col(value), F.lit(0.0))))
 
 
 def correlations(df: DataFrame, keys: list[str], a: Column, b: Column, least: int = 12) -> DataFrame:
@@ -137,9 +139,9 @@ def best_lag(fits: DataFrame, zone: str) -> DataFrame:
     return median.groupBy(zone).agg(F.min(F.struct("_m", "lag")).alias("_b")).select(zone, "_b.lag")
 
 
-def reconstructed(spi: Column, swe: Column, pdo: Column, b_spi: Column, b_swe: Column, b_pdo: Column, swe_scale: float = 100.0) -> Column:
-    """The anomaly that a cell's coefficients give; NULL without the index value of the month."""
-    return b_spi * spi + b_swe * F.coalesce(swe, F.lit(0.0)) / swe_scale + b_pdo * pdo
+def reconstructed(spi: Column, swe: Column, pdo: Column, b0: Column, b_spi: Column, b_swe: Column, b_pdo: Column) -> Column:
+    """The anomaly that lagged_fits()'s coefficients give for the regressors they were fitted to; NULL without an index of the month, no snow is 0."""
+    return b0 + b_spi * spi + b_swe * F.coalesce(swe, F.lit(0.0)) + b_pdo * pdo
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, log: bool = False) -> DataFrame:

@@ -21,11 +21,11 @@ def rolling_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ro
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str, least: int = 1) -> DataFrame:
-    """(average rank - 1) / (n - 1) in the key, NULL for keys of fewer than `least` values."""
-    order = Window.partitionBy(*keys).orderBy(value)
+    """(average rank - 1) / (n - 1) among the key's n values, NULL for keys of fewer than `least` of them and where the value is."""
+    order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
     n, ties = F.count(value).over(Window.partitionBy(*keys)), F.count("*").over(Window.partitionBy(*keys, value))
     rank = F.rank().over(order) + (ties - 1) / 2
-    return df.withColumn(out, F.when(n >= F.lit(max(least, 2)), (rank - 1) / (n - 1)))
+    return df.withColumn(out, F.when(F.col(value).isNotNull() & (n >= F.lit(max(least, 2))), (rank - 1) / (n - 1)))
 
 
 def standardised_index(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions import hydro, site
@@ -459,10 +459,20 @@ def confidence_blend(spark: SparkSession, sf: str) -> DataFrame:
     return part(spark, sf).select("cell", F.round(conf, 9).alias("conf"), R(depth).alias("depth"))
 
 
-@query("SELECT 0.0::DOUBLE AS worst")
+@query(
+    f"WITH p AS ({PART}), c AS (SELECT a.col AS i, b.col AS j, covar_pop(a.s, b.s) AS depth, covar_pop((a.z - a.s) - a.z, (b.z - b.s) - b.z) AS head FROM p a JOIN p b ON a.row = b.row AND a.col < 8 AND b.col < 8 GROUP BY a.col, b.col) "
+    "SELECT round(max(abs(depth - head)), 9) AS worst FROM c"
+)
 def covariance_identity(spark: SparkSession, sf: str) -> DataFrame:
-    p = part(spark, sf).select(F.col("row").alias("i"), F.col("col").alias("j"), (F.col("s") * F.col("c")).alias("cov"))
-    return evaluation.same_covariances(p, p.withColumn("cov", -F.col("cov") * -1))
+    """Covariances of depth anomalies and of the head anomalies that go with them, over the rows of the grid."""
+
+    def covariances(value: Column) -> DataFrame:
+        p = part(spark, sf).filter("col < 8").select("row", "col", value.alias("v"))
+        other = p.select("row", F.col("col").alias("j"), F.col("v").alias("u"))
+        return p.join(other, "row").groupBy(F.col("col").alias("i"), "j").agg(F.covar_pop("v", "u").alias("cov"))
+
+    heads = hydro.water_table_elevation(F.col("z"), F.col("s")) - F.col("z")
+    return evaluation.same_covariances(covariances(F.col("s")), covariances(heads), 1e-9).select(F.round("worst", 9).alias("worst"))
 
 
 SEMI = f"SELECT CAST(floor(d / (10.0 / 15)) AS INT) AS lag, avg(0.5 * (v1 - v2) * (v1 - v2)) AS gamma FROM (SELECT sqrt((a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py)) AS d, a.v AS v1, b.v AS v2 FROM ({POINTS}) a JOIN ({POINTS}) b ON a.pid < b.pid) WHERE d < 10 GROUP BY lag"
@@ -503,13 +513,6 @@ def pixel_footprints(spark: SparkSession, sf: str) -> DataFrame:
     return priors.pixel_footprints(c, 3.0, "land")
 
 
-@query()
-def resolution_map(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf).select((F.col("row") % 4).alias("zone"), "cell", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
-    feet = priors.point_footprints(c.drop("zone"), points(spark, sf), 1.0, 3.0).withColumn("zone", F.expr("cast(cell div 40 as int) % 4"))
-    return priors.resolution_groups(c, feet.select("zone", F.col("pid").alias("obs"), "cell", "w", F.lit(0.1).alias("noise")), ["zone"], 1.0, 3.0)
-
-
 @query()
 def fitted_priors(spark: SparkSession, sf: str) -> DataFrame:
     zone = F.expr("cast((pid - 1) div 50 as int)")

@@ -105,10 +105,17 @@ def matern_ou(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_E, _E2, _N, _BIG, _RHO0 = hydro._cone()
+
+
+@query(
+    f"WITH p AS (SELECT s_suppkey AS site, radians(-124 + s_suppkey / 20.0 + 96.0) AS lon, sin(radians(42 + s_suppkey / 25.0)) AS s FROM supplier), "
+    f"q AS (SELECT site, {_N!r} * lon AS theta, 6378137.0 * sqrt({_BIG!r} - {_N!r} * {1 - _E2!r} * (s / (1 - {_E2!r} * s * s) - ln((1 - {_E!r} * s) / (1 + {_E!r} * s)) / (2 * {_E!r}))) / {_N!r} AS rho FROM p) "
+    f"SELECT site, round(rho * sin(theta), 3) AS x_5070, round({_RHO0!r} - rho * cos(theta), 3) AS y_5070 FROM q"
+)
 def albers_project(spark: SparkSession, sf: str) -> DataFrame:
     x, y = hydro.albers(-124 + F.col("s_suppkey") / 20.0, 42 + F.col("s_suppkey") / 25.0)
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), x.alias("x_5070"), y.alias("y_5070"))
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.round(x, 3).alias("x_5070"), F.round(y, 3).alias("y_5070"))
 
 
 PRED = "SELECT n_name AS domain, l_extendedprice / 1000 AS y, l_quantity * 1.5 AS mu, 5.0 + l_tax * 100 AS sigma FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"
