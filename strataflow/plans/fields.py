@@ -1,4 +1,4 @@
-"""Queries of the raster prior, filled terrain, kriging with drift and covariate, regridding and out-of-fold forests."""
+"""Queries of the raster prior, filled terrain, kriging with drift and covariate, regridding, out-of-fold forests, coda and local regression."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions import hydro
-from strataflow.operators import evaluation, grid, gridprior, kriging, learn, priors, regrid, spatial, terrain, variogram
-from strataflow.plans.registry import query
+from strataflow.operators import coda, evaluation, grid, gridprior, kriging, learn, loess, months, priors, regrid, spatial, terrain, variogram
+from strataflow.plans.registry import query, read
 from strataflow.plans.space import GRID, POINTS, points
 from strataflow.plans.space import grid as cells
 from strataflow.session import checkpointed
@@ -160,3 +160,59 @@ def forest_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
     found = learn.out_of_fold(learn.spatial_fold(c.withColumn("domain", domain), "x", "y", 5.0, 3), ["x", "y", "hand"], "z", "fold", trees=8, depth=5)
     report = evaluation.gate_status(evaluation.errors(found, ["domain"], F.col("z"), F.col("prediction")), "domain")
     return report.join(evaluation.interval_coverage(found, ["domain"], F.col("z"), F.col("prediction"), F.col("tree_sd")).drop("n"), "domain")
+
+
+def _network(spark: SparkSession, sf: str) -> DataFrame:
+    """pair, ax, ay, bx, by of stations at most 8 apart, and of each with itself."""
+    p = points(spark, sf)
+    one, other = p.select(F.col("pid").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay")), p.select("pid", "px", "py")
+    near = spatial.near_pairs(one, other, 8.0, "ax", "ay").filter("a <= pid")
+    return near.select(F.concat_ws("-", "a", "pid").alias("pair"), "ax", "ay", F.col("px").alias("bx"), F.col("py").alias("by"))
+
+
+@query(
+    f"WITH p AS ({POINTS}), pr AS (SELECT a.pid AS a, b.pid AS b, a.px AS ax, a.py AS ay, b.px AS qx, b.py AS qy FROM p a JOIN p b ON a.pid <= b.pid AND (a.px-b.px)*(a.px-b.px)+(a.py-b.py)*(a.py-b.py) <= 64.0), "
+    "n AS (SELECT (i + 0.5) * 10.0 / 24 AS u FROM range(24) t(i)), "
+    f"k AS (SELECT c.cell, a, b, sum(exp(-((c.col-ax)*(c.col-ax)+(c.row-ay)*(c.row-ay))/(32*u)) / (32*pi()*u) * exp(-((c.col-qx)*(c.col-qx)+(c.row-qy)*(c.row-qy))/(32*(10-u))) / (32*pi()*(10-u))) AS k FROM ({GRID}) c, pr, n GROUP BY c.cell, a, b) "
+    "SELECT cell, round(sum(s), 9) AS sensitivity FROM (SELECT cell, k / sum(k) OVER (PARTITION BY a, b) AS s FROM k) GROUP BY cell"
+)
+def coda_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    c = cells(spark, sf).select("cell", F.col("col").alias("x"), F.col("row").alias("y"))
+    return coda.network_sensitivity(c, _network(spark, sf)).select("cell", F.round("sensitivity", 9).alias("sensitivity"))
+
+
+def _traces(spark: SparkSession, sf: str) -> DataFrame:
+    """station, epoch, samples: the prices of a station's order lines of a year, in their order."""
+    rows = read(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).alias("station"), F.year("l_shipdate").alias("epoch"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("v")).alias("s"))
+    return rows.groupBy("station", "epoch").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("samples"))
+
+
+@query()
+def velocity_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Ensemble of velocity changes of pairs of stations, by year and band."""
+    traces = coda.preprocessed(_traces(spark, sf), 20.0, 0.2, 8.0)
+    stations = traces.select("station").distinct()
+    pairs = stations.select(F.col("station").alias("a")).join(stations.select(F.col("station").alias("b")), F.col("b").between(F.col("a"), F.col("a") + 1))
+    ccfs = checkpointed(coda.correlations(traces, pairs, 20.0, 8.0))
+    found = coda.velocity_changes(ccfs, coda.stacked(ccfs), 20.0, [(0.5, 1.0), (1.0, 2.0), (2.0, 4.0)], [(1.0, 5.0), (2.0, 7.0)], steps=81)
+    sigma = coda.stretching_error(*[F.col(c) for c in ("cc", "low", "high", "coda_from", "coda_to")])
+    return coda.ensemble(found.withColumn("sigma", sigma), ["a", "b", "epoch", "low", "high"])
+
+
+@query()
+def depth_separation(spark: SparkSession, sf: str) -> DataFrame:
+    """Velocity changes by ship mode and band, told apart above and below a water table at 0.3 km."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_shipmode").alias("site"), F.col("l_linenumber").cast("int").alias("band"), (F.col("l_discount") - 0.05).alias("v"))
+    measured = rows.groupBy("site", "band").agg((F.avg("v") / 10).alias("dvv"), F.greatest(F.stddev_samp("v") / F.sqrt(F.count("*")) / 10, F.lit(1e-5)).alias("sigma"))
+    bands = spark.range(1, 8).select(F.col("id").cast("int").alias("band"), (F.lit(0.25) * F.pow(F.lit(2.0), F.col("id") - 1)).alias("f"))
+    layers = spark.range(40).select(((F.col("id") + 0.5) * 0.05).alias("depth"), F.lit(0.05).alias("thick"))
+    profiles = coda.depth_profiles(measured, coda.band_kernels(bands, layers), ["site"])
+    return coda.separated(profiles, ["site"], F.lit(0.3))
+
+
+@query()
+def seasonal_trend(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly means of a ship mode, taken apart by local regression."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_shipmode").alias("site"), F.trunc("l_shipdate", "month").alias("m"), "l_quantity")
+    means = rows.groupBy("site", "m").agg(F.avg("l_quantity").alias("value"))
+    return loess.seasonal_trend(months.regular_months(means, ["site"], "m", "value"), ["site"], "m", "value")
