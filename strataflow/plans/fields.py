@@ -201,8 +201,8 @@ def velocity_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def depth_separation(spark: SparkSession, sf: str) -> DataFrame:
-    """Velocity changes by ship mode and band, told apart above and below a water table at 0.3 km."""
-    rows = read(spark, sf, "lineitem").select(F.col("l_shipmode").alias("site"), F.col("l_linenumber").cast("int").alias("band"), (F.col("l_discount") - 0.05).alias("v"))
+    """Velocity changes by return flag and band, told apart above and below a water table at 0.3 km."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("site"), F.col("l_linenumber").cast("int").alias("band"), (F.col("l_discount") - 0.05).alias("v"))
     measured = rows.groupBy("site", "band").agg((F.avg("v") / 10).alias("dvv"), F.greatest(F.stddev_samp("v") / F.sqrt(F.count("*")) / 10, F.lit(1e-5)).alias("sigma"))
     bands = spark.range(1, 8).select(F.col("id").cast("int").alias("band"), (F.lit(0.25) * F.pow(F.lit(2.0), F.col("id") - 1)).alias("f"))
     layers = spark.range(40).select(((F.col("id") + 0.5) * 0.05).alias("depth"), F.lit(0.05).alias("thick"))
@@ -212,7 +212,7 @@ def depth_separation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def seasonal_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly means of a ship mode, taken apart by local regression."""
-    rows = read(spark, sf, "lineitem").select(F.col("l_shipmode").alias("site"), F.trunc("l_shipdate", "month").alias("m"), "l_quantity")
+    """Monthly means of a return flag, taken apart by local regression."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("site"), F.trunc("l_shipdate", "month").alias("m"), "l_quantity")
     means = rows.groupBy("site", "m").agg(F.avg("l_quantity").alias("value"))
     return loess.seasonal_trend(months.regular_months(means, ["site"], "m", "value"), ["site"], "m", "value")
