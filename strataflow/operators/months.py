@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,29 +102,44 @@ def flux_ratios(df: DataFrame, keys: list[str], flow: str, baseflow: str, precip
 def lagged_fits(df: DataFrame, keys: list[str], order: str, target: str, fixed: list[str], lagged: str, max_lag: int, least: int) -> DataFrame:
     """keys, lag, n, r2, resid_std, aic, b0 (constant), b_<name>: the target on fixed and the lagged regressor, for lags of 0 to max_lag rows.
 
-    A key's series is one Arrow group; series are bounded by time steps. Only complete rows count, `least` at least.
+    Only complete rows count, `least` at least. One window gives every row its lagged values, one aggregate the moments of each key
+    and lag about a row of the key; what is left for numpy is a small system a key and lag, many at a time. Regressors that depend
+    on each other get the shortest coefficients.
     """
     names = [*fixed, lagged]
-    out = [*keys, "lag", "n", "r2", "resid_std", "aic", "b0", *[f"b_{c}" for c in names]]
-
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame, rows = frame.sort_values(order), []
-        for lag in range(max_lag + 1):
-            part = frame.assign(**{lagged: frame[lagged].shift(lag)})[[target, *names]].dropna()
-            if len(part) < least:
-                continue
-            x, y = np.column_stack([np.ones(len(part)), part[names].to_numpy(float)]), part[target].to_numpy(float)
-            b = np.linalg.lstsq(x, y, rcond=None)[0]
-            e = y - x @ b
-            rss, sst = float(e @ e), float(((y - y.mean()) ** 2).sum())
-            aic = len(y) * math.log(rss / len(y)) + 2 * (len(names) + 1) if rss > 0 else math.inf
-            r2 = 1 - rss / sst if sst > 0 else (1.0 if rss == 0 else 0.0)
-            rows.append([*key, lag, len(y), r2, float(e.std()), aic, *b.tolist()])
-        return pd.DataFrame(rows, columns=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "lag int", "n long", *(f"`{c}` double" for c in out[len(keys) + 2 :])])
-    return df.select(*keys, order, target, *names).groupBy(*keys).applyInPandas(fit, schema)
+    w = Window.partitionBy(*keys).orderBy(order)
+    late = df.select(*keys, F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(fixed)],
+                     *[F.lag(F.col(lagged).cast("double"), k).over(w).alias(f"_l{k}") for k in range(max_lag + 1)])
+    each = late.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias("v")) for k in range(max_lag + 1)])))
+    rows = each.select(*keys, "_l.lag", "_y", *[f"_x{i}" for i in range(len(fixed))], F.col("_l.v").alias(f"_x{len(fixed)}")).dropna(subset=["_y", *[f"_x{i}" for i in range(len(names))]])
+    cols = [*[f"_x{i}" for i in range(len(names))], "_y"]
+    found = rows.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("_m"),
+                                           F.array(*[F.covar_pop(a, b) for i, a in enumerate(cols) for b in cols[i:]]).alias("_s")).filter(F.col("n") >= least)
+    m = len(names)
+    upper = [(i, j) for i in range(m + 1) for j in range(i, m + 1)]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(float)
+            mean = batch.column("_m").flatten().to_numpy().reshape(-1, m + 1)
+            flat = batch.column("_s").flatten().to_numpy().reshape(-1, len(upper))
+            s = np.zeros((len(n), m + 1, m + 1))
+            for k, (i, j) in enumerate(upper):
+                s[:, i, j] = s[:, j, i] = flat[:, k]
+            size = np.sqrt(np.maximum(np.einsum("kii->ki", s[:, :m, :m]), 0))
+            size = np.where(size > 0, size, 1)
+            b = (np.linalg.pinv(s[:, :m, :m] / size[:, :, None] / size[:, None, :], rcond=1e-12, hermitian=True) @ (s[:, :m, m] / size)[:, :, None])[:, :, 0] / size
+            left = s[:, m, m] - 2 * (b * s[:, :m, m]).sum(1) + np.einsum("ki,kij,kj->k", b, s[:, :m, :m], b)
+            whole, left = s[:, m, m], np.maximum(left, 0)
+            left = np.where(left <= 1e-13 * whole, 0.0, left)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where(whole > 0, 1 - left / whole, np.where(left == 0, 1.0, 0.0))
+                aic = np.where(left > 0, n * np.log(left) + 2 * (m + 1), np.inf)
+            out = {c: batch.column(c) for c in [*keys, "lag", "n"]} | {"r2": r2, "resid_std": np.sqrt(left), "aic": aic, "b0": mean[:, m] - (b * mean[:, :m]).sum(1)}
+            yield pa.RecordBatch.from_pydict(out | {f"b_{c}": b[:, i] for i, c in enumerate(names)})
+
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return found.mapInArrow(solve, kinds + "lag int, n long, r2 double, resid_std double, aic double, b0 double, " + ", ".join(f"`b_{c}` double" for c in names))
 
 
 def best_fit(fits: DataFrame, keys: list[str]) -> DataFrame:

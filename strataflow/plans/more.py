@@ -275,12 +275,32 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
     return months.lagged_fits(rows, ["site"], "t", "value", ["spi", "pdo"], "quantity", 3, 24)
 
 
-@query()
+_MOMENTS = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for i, a in enumerate(("u", "v", "w", "y")) for b in ("u", "v", "w", "y")[i:])
+#: Fits of y on u, v and the lagged w by their covariances (Cramer's rule), with a constant.
+FITS = (
+    f"WITH m AS ({MONTHLY}), r AS (SELECT site, year * 12 + month AS t, value AS y, sin((year * 12 + month)::DOUBLE) AS u, cos((year * 12 + month) / 3.0::DOUBLE) AS v, quantity FROM m), "
+    "l AS (SELECT site, k AS lag, y, u, v, CASE k WHEN 0 THEN quantity WHEN 1 THEN lag(quantity, 1) OVER w1 WHEN 2 THEN lag(quantity, 2) OVER w1 ELSE lag(quantity, 3) OVER w1 END AS w "
+    "FROM r, (SELECT unnest([0, 1, 2, 3]) AS k) WINDOW w1 AS (PARTITION BY site, k ORDER BY t)), "
+    f"s AS (SELECT site, lag, count(*) AS n, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, avg(w) AS mw, {_MOMENTS} FROM l WHERE y IS NOT NULL AND w IS NOT NULL GROUP BY site, lag HAVING count(*) >= 24), "
+    "d AS (SELECT *, uu * (vv * ww - vw * vw) - uv * (uv * ww - vw * uw) + uw * (uv * vw - vv * uw) AS det FROM s), "
+    "b AS (SELECT *, (uy * (vv * ww - vw * vw) - uv * (vy * ww - vw * wy) + uw * (vy * vw - vv * wy)) / det AS b1, "
+    "(uu * (vy * ww - wy * vw) - uy * (uv * ww - vw * uw) + uw * (uv * wy - vy * uw)) / det AS b2, "
+    "(uu * (vv * wy - vw * vy) - uv * (uv * wy - vy * uw) + uy * (uv * vw - vv * uw)) / det AS b3 FROM d), "
+    "e AS (SELECT *, yy - b1 * uy - b2 * vy - b3 * wy AS rss FROM b), fits AS (SELECT site, lag, n, 1 - rss / yy AS r2, sqrt(rss) AS resid_std, n * ln(rss) + 8 AS aic, my - b1 * mu - b2 * mv - b3 * mw AS b0, b1, b2, b3 FROM e) "
+)
+
+
+@query(
+    FITS + "SELECT site, lag, n, round(r2, 6) AS r2, round(resid_std, 4) AS resid_std, round(aic, 5) AS aic, round(b0, 3) AS b0, round(b1, 3) AS b_spi, round(b2, 3) AS b_pdo, round(b3, 4) AS b_quantity FROM fits "
+    "QUALIFY row_number() OVER (PARTITION BY site ORDER BY aic, lag) = 1"
+)
 def lagged_fits(spark: SparkSession, sf: str) -> DataFrame:
-    return months.best_fit(_fits(spark, sf), ["site"])
+    found = months.best_fit(_fits(spark, sf), ["site"])
+    digits = {"r2": 6, "resid_std": 4, "aic": 5, "b0": 3, "b_spi": 3, "b_pdo": 3, "b_quantity": 4}
+    return found.select("site", "lag", "n", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
-@query()
+@query(FITS + "SELECT zone, lag FROM (SELECT site % 3 AS zone, lag, median(aic) AS m FROM fits GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY zone ORDER BY m, lag) = 1")
 def zone_lag(spark: SparkSession, sf: str) -> DataFrame:
     return months.best_lag(_fits(spark, sf).withColumn("zone", F.col("site") % 3), "zone")
 

@@ -164,14 +164,34 @@ def snow_degree_day(spark: SparkSession, sf: str) -> DataFrame:
     return folds.snow_liquid(d, ["user_id"], "day", "p", "t", 1.0).withColumn("liquid", F.round("liquid", 6))
 
 
-@query()
+NUMBERED = f"d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM ({DAILY}))"
+
+
+@query(
+    f"WITH RECURSIVE {NUMBERED}, f(user_id, day, n, s, loss) AS (SELECT user_id, day, n - 1, 50.0::DOUBLE, greatest(e - p, 0.0::DOUBLE) FROM d WHERE n = 1 UNION ALL "
+    "SELECT user_id, day, n, CASE WHEN p >= e THEN filled ELSE 100 * exp(-(loss + (e - p)) / 100) END, CASE WHEN p < e THEN loss + (e - p) WHEN filled >= 100 THEN 0 ELSE -100 * ln(least(greatest(filled / 100, 1e-6), 1.0)) END FROM "
+    "(SELECT d.user_id, d.day, d.n, d.p, d.e, f.loss, least(f.s + d.p - d.e, 100.0::DOUBLE) AS filled FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n + 1)) "
+    "SELECT user_id, day, round(least(greatest(s / 100, 0.0), 1.0), 6) AS wetness FROM f WHERE n > 0"
+)
 def thornthwaite(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.thornthwaite_mather(daily(spark, sf), ["user_id"], "day", "p", "e", 100.0)
+    return folds.thornthwaite_mather(daily(spark, sf), ["user_id"], "day", "p", "e", 100.0).withColumn("wetness", F.round("wetness", 6))
 
 
-@query()
+def _filter_pass(name: str, source: str) -> str:
+    """One pass of the digital filter over source(user_id, n, c, q) in the order of n."""
+    return (
+        f"{name}(user_id, n, c, q, f) AS (SELECT user_id, n, c, q, 0.0::DOUBLE FROM {source} WHERE n = 1 UNION ALL SELECT s.user_id, s.n, s.c, s.q, 0.925::DOUBLE * {name}.f + (1 + 0.925::DOUBLE) / 2 * (s.c - {name}.c) "
+        f"FROM {name} JOIN {source} s ON s.user_id = {name}.user_id AND s.n = {name}.n + 1), {name}b AS (SELECT user_id, n, q, least(greatest(c - greatest(f, 0.0::DOUBLE), 0.0::DOUBLE), q) AS c FROM {name})"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {NUMBERED}, m AS (SELECT user_id, max(n) + 1 AS m FROM d GROUP BY user_id), s1 AS (SELECT user_id, n, p AS c, p AS q FROM d), {_filter_pass('a', 's1')}, "
+    f"s2 AS (SELECT ab.user_id, m - n AS n, c, q FROM ab JOIN m ON m.user_id = ab.user_id), {_filter_pass('b', 's2')}, s3 AS (SELECT bb.user_id, m - n AS n, c, q FROM bb JOIN m ON m.user_id = bb.user_id), {_filter_pass('g', 's3')} "
+    "SELECT d.user_id, d.day, d.p, round(gb.c, 6) AS baseflow FROM gb JOIN d ON d.user_id = gb.user_id AND d.n = gb.n"
+)
 def baseflow_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.baseflow(daily(spark, sf), ["user_id"], "day", "p")
+    return folds.baseflow(daily(spark, sf), ["user_id"], "day", "p").withColumn("baseflow", F.round("baseflow", 6))
 
 
 @query(
