@@ -70,7 +70,7 @@ def attribute_tokens(
 ) -> DataFrame:
     """doc_id, section (its place), name, start, stop, tokens, crossing (tokens over its edges), doc_tokens.
 
-    sections: array<struct<name, start, stop>> per row, ascending and apart; the lines if not given. Every section
+    sections: array<struct<name, start, stop>> per row, ascending and apart (others end the query); the lines if not given. Every section
     gives a row, those without tokens too. A null text is empty and has one line, [0, 0). Null sections give no row,
     repeated rows repeated ones, an empty table none.
     """
@@ -94,6 +94,8 @@ def attribute_tokens(
                     own = own or []
                     names = [x["name"] for x in own]
                     lo, hi = np.array([x["start"] for x in own], np.int64), np.array([x["stop"] for x in own], np.int64)
+                    if (hi < lo).any() or (lo[1:] < hi[:-1]).any():
+                        raise ValueError(f"sections of {doc_id!r} do not ascend, or overlap")
                 else:
                     hi = np.cumsum([len(x) + 1 for x in text.split("\n")])
                     lo = np.r_[0, hi[:-1]]
@@ -123,8 +125,9 @@ def attribute_tokens(
 
 
 def allocate_edges(starts: np.ndarray, stops: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """How many tokens lie across an edge of each section: inside in part, outside in part."""
+    """How many tokens lie across an edge of each section: inside in part, outside in part. One across both edges counts once."""
     at_lo = np.searchsorted(starts, lo, side="left") - np.searchsorted(np.maximum.accumulate(stops), lo, side="right") if len(starts) else np.zeros(len(lo), int)
     at_hi = np.searchsorted(starts, hi, side="left") - np.searchsorted(np.maximum.accumulate(stops), hi, side="right") if len(starts) else np.zeros(len(hi), int)
-    both = np.maximum(at_lo, 0) + np.maximum(at_hi, 0)
+    across = np.searchsorted(starts, lo, side="left") - np.searchsorted(np.maximum.accumulate(stops), hi, side="right") if len(starts) else np.zeros(len(hi), int)
+    both = np.maximum(at_lo, 0) + np.maximum(at_hi, 0) - np.maximum(across, 0)
     return np.where(hi > lo, both, 0)

@@ -370,10 +370,19 @@ def store_texts(docs: DataFrame, codec: str = "deflate", id_col: str = "doc_id",
 def decode_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """media's columns and page (0, 1, ...), width, height, samples, dtype, pixels, feature, error: one row per page.
 
-    A file that can't be decoded gives one row with its error and nulls; a null one a row of nulls.
+    A file that can't be decoded gives one row with its error and nulls; a null one a row of nulls. Repeated rows give repeated
+    rows, an empty table none. A column of media that is called as one of the new ones is renamed, with media_ before it.
     """
     at = media.columns.index(media_col)
     extra = "page int, width int, height int, samples int, dtype string, pixels binary, feature string, error string"
+    taken = {x.split()[0] for x in extra.split(", ")}
+    fresh: list[str] = []
+    for name in media.columns:
+        while name.lower() in taken:
+            name = f"media_{name}"
+        taken.add(name.lower())
+        fresh.append(name)
+    media = media.toDF(*fresh)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields), extra])
     names = [x.split()[0] for x in extra.split(", ")]
     kinds = [pa.int32()] * 4 + [pa.string(), pa.binary(), pa.string(), pa.string()]

@@ -6,10 +6,14 @@ in order so that most nodes match. The aligned trees grow into the host's wrappe
 all different pages of a host, or of the host's pages with one outline, are constant: template. All pages are counted for
 this, each source once; a group of fewer than FEWEST pages has no constants, as nothing tells its template from its
 content. Slots whose text varies are content; the wrapper's main slot is the one below which the varying running text lies,
-apart from menus, adverts and the like, which vary too but are known by their elements, names and links. Every page of the
-host is then aligned with the wrapper, and its main slot gives the text. A page that does not fit, or whose host has no
-wrapper, is judged by its own tree in the same way. Main and article elements come first: all of them that do not lie in
-one another, in page order.
+with the varying headings that stand before it and the leads between. Every page of the host is then aligned with the
+wrapper, and its main slot gives the text. A page that does not fit, or whose host has no wrapper, is judged by its own tree
+in the same way. Article elements come first: all of them that do not lie in one another, in page order, with what headings
+and paragraphs a main element has before them; then main elements.
+
+Menus, adverts, forms and comments vary too. They are known by their elements; by names only where a whole name says so
+("ad", "comment-list", not "search-results" or "related-work"), and never where such an element holds the page's only
+first heading or nearly all of its running text.
 
 Trees of any depth are read. Below DEEP levels of containers, trees are not aligned any more; their text is kept whole.
 """
@@ -50,19 +54,59 @@ LEAVES = HEADINGS | {"p", "li", "dt", "dd", "td", "th", "pre", "figcaption", "ad
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def names(node: Element) -> set[str]:
-    joined = " ".join(node.attrs.get(k, "") for k in ("class", "id", "role"))
-    return {x.lower() for x in _NAME.findall(joined)}
+# Words that say nothing of what an element is for: beside them, a name of NAMES is still the whole name.
+PLAIN = frozenset(
+    "area articles bar block body bottom box button buttons card col column container content div form group header icons inner item items left "
+    "link links list main module outer panel popular posts right row section slot small stories title top unit wrap wrapper".split()
+)
+
+
+def is_named(node: Element) -> bool:
+    """Whether a whole name of the element's says that it is boilerplate."""
+    for key in ("class", "id", "role"):
+        for name in node.attrs.get(key, "").split():
+            words = [x.lower() for x in _NAME.findall(name)]
+            if any(x in NAMES for x in words) and all(x in NAMES or x in PLAIN for x in words):
+                return True
+    return False
+
+
+def _running(node: Element) -> tuple[int, int]:
+    """Characters of text outside links and of elements that are never the article's, and the number of first headings."""
+    total, first, todo = 0, 0, [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, str):
+                total += len(child.strip())
+            elif child.tag not in NEVER and child.tag != "a":
+                first += child.tag == "h1"
+                todo.append(child)
+    return total, first
+
+
+def _holds_the_page(node: Element) -> bool:
+    """Whether a named element has nearly all of the page's running text, or its only first heading and half of the text."""
+    top = node
+    while top.parent is not None and top.tag != "body":
+        top = top.parent
+    (own, first), (whole, heads) = _running(node), _running(top)
+    return own > 0 and (own >= HOLDS * whole or (first == heads == 1 and 2 * own >= whole))
 
 
 def is_boilerplate(node: Element) -> bool:
+    if node.drop is None:
+        node.drop = _is_boilerplate(node)
+    return node.drop
+
+
+def _is_boilerplate(node: Element) -> bool:
     if node.tag in NEVER:
         return True
     attrs = node.attrs
     if attrs:
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
             return True
-        if node.tag not in ("html", "body", "article", "main") and names(node) & NAMES:
+        if node.tag not in ("html", "body", "article", "main") and is_named(node) and not _holds_the_page(node):
             return True
     if node.tag == "header" or "header" in attrs.get("role", ""):
         # a page's header goes, an article's own stays
@@ -110,12 +154,12 @@ def blocks(node: Element, out: list[str], skip: bool = True) -> None:
 class Slot:
     """A node of a page's outline or of a wrapper: an element with blocks below it, or a run of leaf blocks of one kind."""
 
-    __slots__ = ("children", "count", "id", "nodes", "own", "sign", "text")
+    __slots__ = ("children", "count", "head", "id", "nodes", "own", "sign", "text")
 
     def __init__(self, sign: str, nodes: list[Element]) -> None:
         self.sign, self.nodes, self.children, self.id = sign, nodes, [], -1
         self.own = self.text = 0.0  # characters of running text outside links: here, and here and below
-        self.count = 1
+        self.count, self.head = 1, False  # head: a heading that varies
 
 
 def _weigh(node: Element) -> float:
@@ -149,8 +193,11 @@ def outline(node: Element, seen: Callable[[Element], bool] | None = None) -> Slo
                     slot.children.append(Slot(sign, []))
                 last = slot.children[-1]
                 last.nodes.append(child)
-                if not is_boilerplate(child) and child.tag not in HEADINGS and not (seen and seen(child)):
-                    last.own += _weigh(child)
+                if not is_boilerplate(child) and not (seen and seen(child)):
+                    if child.tag in HEADINGS:
+                        last.head = True
+                    else:
+                        last.own += _weigh(child)
             else:
                 below = Slot(signature(child), [child])
                 slot.children.append(below)
@@ -216,8 +263,23 @@ def _body(root: Element) -> Element:
     return root
 
 
+def _leads(main: Element) -> list[Element]:
+    """The headings and paragraphs of a main element before its first article."""
+    found: list[Element] = []
+    todo: list[Element] = [main]
+    while todo:
+        node = todo.pop()
+        if node.tag == "article":
+            return found
+        if node is not main and node.tag in HEADINGS | {"p"}:
+            found.append(node)
+        else:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Element) and not is_boilerplate(c))
+    return found
+
+
 def articles(body: Element) -> list[Element]:
-    """The main element, or else all article elements, that are outermost and not boilerplate, in page order."""
+    """All article elements that are outermost and not boilerplate, with what a main element has before them, in page order; else the main element."""
     found: dict[str, list[Element]] = {"main": [], "article": []}
     todo = [body]
     while todo:
@@ -227,19 +289,40 @@ def articles(body: Element) -> list[Element]:
             if node.tag == "article":
                 continue
         todo.extend(c for c in reversed(node.children) if isinstance(c, Element) and not is_boilerplate(c))
-    inside = [x for x in found["article"] if _weigh(x)]
-    return inside or found["article"][:1] or found["main"][:1]
+    inside = [x for x in found["article"] if _weigh(x)] or found["article"][:1]
+    if not inside:
+        return found["main"][:1]
+    for main in found["main"]:
+        up = inside[0].parent
+        while up is not None and up is not main:
+            up = up.parent
+        if up is main:
+            return _leads(main) + inside
+    return inside
+
+
+def _has_head(slot: Slot) -> bool:
+    todo = [slot]
+    while todo:
+        here = todo.pop()
+        if here.head:
+            return True
+        todo.extend(here.children)
+    return False
 
 
-def main_slot(root: Slot) -> Slot:
-    """From the root down to where the running text lies, as long as next to none is left behind."""
-    here = root
+def main_slots(root: Slot) -> list[Slot]:
+    """From the root down to where the running text lies, as long as next to none is left behind; before it, headings that were passed and leads after them."""
+    here, before = root, []
     while True:
         inner = [c for c in here.children if c.nodes and c.nodes[0].tag not in LEAVES]
         best = max(inner, key=lambda c: c.text, default=None)
         left = here.own + sum(c.text for c in here.children if c not in inner)
         if best is None or left or best.text < HOLDS * here.text or not best.text:
-            return here
+            return [*before, here]
+        for c in here.children[: here.children.index(best)]:
+            if c.head or (c.text and before) or (c in inner and c.text and _has_head(c)):
+                before.append(c)
         here = best
 
 
@@ -274,6 +357,7 @@ def induce(sources: list[str], constant: frozenset[int]) -> dict:
                 a.count += 1
                 a.text += b.text
                 a.own += b.own
+                a.head = a.head or b.head
             known = {id(b) for _, b in grown}
             for a, b in grown:  # what only this page has becomes optional
                 names_here = {c.sign for c in a.children}
@@ -281,18 +365,18 @@ def induce(sources: list[str], constant: frozenset[int]) -> dict:
                     if id(c) not in known and c.sign not in names_here:
                         a.children.insert(min(k, len(a.children)), c)
                         names_here.add(c.sign)
-    chosen = main_slot(wrapper)
+    chosen = {id(x) for x in main_slots(wrapper)}
     place: list[int] = []
 
     def stored(slot: Slot) -> list:
-        if slot is chosen:
+        if id(slot) in chosen:
             place.append(count[0])
         count[0] += 1
         return [slot.sign, [stored(c) for c in slot.children]]
 
     count = [0]
     tree = stored(wrapper)
-    return {"tree": tree, "main": place[0], "constant": sorted(constant)}
+    return {"tree": tree, "main": place, "constant": sorted(constant)}
 
 
 def _loaded(tree: list, count: list[int]) -> Slot:
@@ -303,25 +387,27 @@ def _loaded(tree: list, count: list[int]) -> Slot:
     return slot
 
 
-def load(raw: str) -> tuple[Slot, int, frozenset[int]]:
+def load(raw: str) -> tuple[Slot, list[int], frozenset[int]]:
     found = json.loads(raw)
     return _loaded(found["tree"], [0]), found["main"], frozenset(found["constant"])
 
 
-def extract(source: str, wrapper: tuple[Slot, int, frozenset[int]] | None) -> tuple[str, bool]:
+def extract(source: str, wrapper: tuple[Slot, list[int], frozenset[int]] | None) -> tuple[str, bool]:
     """The main text, and whether the wrapper gave it."""
     body = _body(parse(source))
     page = outline(body)
-    node, constant, fits = None, frozenset(), False
+    slots, constant, fits = None, frozenset(), False
     if wrapper is not None:
         tree, main, constant = wrapper
         memo: dict = {}
         if match(tree, page, memo):
-            node = next((b for a, b in matched(tree, page, memo) if a.id == main), None)
-            fits = node is not None
+            found = {a.id: b for a, b in matched(tree, page, memo) if a.id in main}
+            fits = main[-1] in found
+            slots = [found[i] for i in main if i in found] if fits else None
     lines: list[str] = []
-    for x in articles(body) or (node or main_slot(page)).nodes:
-        blocks(x, lines)
+    for x in articles(body) or [n for slot in slots or main_slots(page) for n in slot.nodes]:
+        if not (x.tag in LEAVES and is_boilerplate(x)):
+            blocks(x, lines)
     kept = [x for x in lines if _crc(x) not in constant] if constant else lines
     return "\n".join(kept), fits
 
