@@ -32,9 +32,9 @@ def test_a_token_over_both_edges_crosses_once():
 def test_given_sections(spark):
     docs = spark.createDataFrame([(1, "hello world again")], "doc_id long, text string")
     kind = "array<struct<name:string,start:int,stop:int>>"
-    one = F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("start"), F.lit(5).alias("stop")), F.struct(F.lit("b"), F.lit(7), F.lit(9)), F.struct(F.lit("c"), F.lit(12), F.lit(17))).cast(kind)
+    one = F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("start"), F.lit(5).alias("stop")), *[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("stop")) for n, a, b in (("b", 7, 9), ("c", 12, 17))]).cast(kind)
     got = {r["name"]: r for r in attribution.attribute_tokens(docs, BYTES, one).collect()}
     assert got["b"]["crossing"] == 1 and got["a"]["crossing"] == 0
-    bad = F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("start"), F.lit(5).alias("stop")), F.struct(F.lit("b"), F.lit(4), F.lit(9))).cast(kind)
+    bad = F.array(F.struct(F.lit("a").alias("name"), F.lit(0).alias("start"), F.lit(5).alias("stop")), F.struct(F.lit("b").alias("name"), F.lit(4).alias("start"), F.lit(9).alias("stop"))).cast(kind)
     with pytest.raises(Exception, match="do not ascend"):
         attribution.attribute_tokens(docs, BYTES, bad).collect()
