@@ -7,12 +7,13 @@ one dense system. Stations at one place count as their mean.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.normal import norm_ppf
 from strataflow.operators.geostat import exponential
 
 
@@ -117,7 +118,7 @@ def cokrige(
 def score_knots(df: DataFrame, keys: list[str], value: str, knots: int = 101) -> DataFrame:
     """keys, scores, levels: the values at evenly spaced shares of each key's distribution, and the normal scores of these shares."""
     shares = [i / (knots - 1) for i in range(knots)]
-    scores = F.array(*[norm_ppf(F.lit(min(max(p, 1e-7), 1 - 1e-7))) for p in shares])
+    scores = F.array(*[F.lit(NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7))) for p in shares])
     return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in shares])).alias("levels")).select(*keys, scores.alias("scores"), "levels")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions import hydro
-from strataflow.operators import coda, evaluation, grid, gridprior, kriging, learn, loess, months, priors, regrid, spatial, terrain, variogram
+from strataflow.operators import coda, evaluation, features, grid, gridprior, kriging, learn, loess, months, priors, regrid, soil, spatial, terrain, variogram
 from strataflow.plans.registry import query, read
 from strataflow.plans.space import GRID, POINTS, points
 from strataflow.plans.space import grid as cells
@@ -216,3 +216,64 @@ def seasonal_trend(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("site"), F.trunc("l_shipdate", "month").alias("m"), "l_quantity")
     means = rows.groupBy("site", "m").agg(F.avg("l_quantity").alias("value"))
     return loess.seasonal_trend(months.regular_months(means, ["site"], "m", "value"), ["site"], "m", "value")
+
+
+@query(
+    f"WITH g AS ({GRID}), s AS (SELECT pid, CAST(floor(51.0 - py) AS INT) AS row, CAST(floor(px) AS INT) AS col FROM ({POINTS})) "
+    "SELECT s.pid, a.z AS height, CASE WHEN b.hand % 3 <> 0 THEN b.hand::DOUBLE END AS hand FROM s LEFT JOIN g a ON a.row = s.row AND a.col = s.col LEFT JOIN g b ON b.row = s.row AND b.col = s.col WHERE a.z IS NOT NULL"
+)
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations with the layers there are; complete in height."""
+    c = cells(spark, sf)
+    layers = {"height": c.select("row", "col", F.col("z").alias("value")), "hand": c.select("row", "col", F.when(F.col("hand") % 3 != 0, F.col("hand").cast("double")).alias("value")), "climate": None}
+    found, _ = features.feature_matrix(points(spark, sf), layers, 0.0, 51.0, 1.0, ["height"], "px", "py")
+    return features.complete_cases(found, ["height"]).select("pid", "height", "hand")
+
+
+@query(
+    f"SELECT CAST(floor(px / 7.0) AS BIGINT) % 2 AS zone, round(avg(px), 6) AS px, round(avg(py), 6) AS py, round(avg(v), 6) AS v, round(sqrt(sum((0.1 + pid % 5) * (0.1 + pid % 5))) / count(*), 6) AS noise, count(*) AS n FROM ({POINTS}) WHERE v IS NOT NULL GROUP BY CAST(floor(px / 7.0) AS BIGINT) % 2, floor(px / 5.0), floor(py / 5.0)"
+)
+def cell_means(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).withColumn("zone", F.floor(F.col("px") / 7) % 2).withColumn("noise", 0.1 + F.col("pid") % 5)
+    found = features.cell_means(p, ["zone"], "v", "noise", 5.0)
+    return found.select("zone", R("px").alias("px"), R("py").alias("py"), R("v").alias("v"), R("noise").alias("noise"), "n")
+
+
+WEIGHT = "CASE l_linenumber WHEN 1 THEN 0.025 WHEN 2 THEN 0.075 WHEN 3 THEN 0.125 WHEN 4 THEN 0.225 WHEN 5 THEN 0.35 WHEN 6 THEN 0.2 END"
+
+
+@query(
+    f"WITH s AS (SELECT l_orderkey AS cell, {WEIGHT}::DOUBLE AS w, l_quantity AS clay, l_discount * 100000 AS soc FROM lineitem), m AS (SELECT cell, sum(w * clay) AS clay, sum(w * soc / 1000) AS carbon FROM s WHERE w IS NOT NULL GROUP BY cell) "
+    "SELECT m.cell, round(m.clay, 6) AS clay, round(m.carbon, 6) AS carbon, round(least(greatest(m.carbon * 1.724, 0.0), 8.0), 6) AS om, round(least(greatest(CASE WHEN o_orderkey % 4 <> 0 THEN least(o_orderkey % 251, 200) ELSE 200 END / 100.0, 0.1), 2.0), 6) AS root_m "
+    "FROM m JOIN orders ON o_orderkey = m.cell"
+)
+def root_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as point depths of two properties, orders as cells."""
+    depth = F.element_at(F.array(*[F.lit(float(z)) for z in (0, 5, 15, 30, 60, 100, 150)]), F.col("l_linenumber").cast("int"))
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cell"), depth.alias("depth"), F.col("l_quantity").cast("double").alias("clay"), (F.col("l_discount") * 100000).cast("double").alias("soc"))
+    layers = rows.select("cell", "depth", F.explode(F.array(F.struct(F.lit("claytotal").alias("property"), F.col("clay").alias("value")), F.struct(F.lit("soc").alias("property"), F.col("soc").alias("value")))).alias("p")).select("cell", "depth", "p.property", "p.value")
+    single = read(spark, sf, "orders").select(F.col("o_orderkey").alias("cell"), F.lit("resdept_all_cm").alias("property"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 251).cast("double").alias("value"))
+    found = soil.root_zone(layers, single, ["cell"], [0, 5, 15, 30, 60, 100])
+    return found.select("cell", *[R(c).alias(c) for c in ("clay", "carbon", "om", "root_m")])
+
+
+@query(
+    "WITH s AS (SELECT l_suppkey % 20 AS unit, k AS candidate, corr(l_quantity, pow(l_discount, k)) AS r FROM lineitem, (SELECT unnest([0.5, 1.0, 2.0, 3.0]) AS k) GROUP BY ALL), "
+    "m AS (SELECT a.unit, a.candidate, a.r, round((sum(a.r) OVER (PARTITION BY a.candidate) - a.r) / (count(a.r) OVER (PARTITION BY a.candidate) - 1), 12) AS m FROM s a) "
+    "SELECT unit, candidate, round(r, 9) AS r FROM m QUALIFY row_number() OVER (PARTITION BY unit ORDER BY m DESC, candidate) = 1"
+)
+def leave_one_out_search(spark: SparkSession, sf: str) -> DataFrame:
+    """For each unit of suppliers, the exponent that suits all others best, and how it suits the unit."""
+    rows = read(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("unit"), F.col("l_quantity").alias("y"), F.col("l_discount").alias("x"))
+    tried = features.candidates(rows, {"k": [0.5, 1.0, 2.0, 3.0]})
+    scores = tried.groupBy("unit", F.col("k").alias("candidate")).agg(F.corr(F.col("y"), F.pow("x", "k")).alias("r"))
+    return features.leave_one_out(scores, "unit", "candidate", "r").select("unit", "candidate", F.round("r", 9).alias("r"))
+
+
+@query()
+def dynamic_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly depths of a year on the grid: heights, and the anomalies of order lines at the stations."""
+    c = cells(spark, sf).select("row", "col", (F.col("z") / 100).alias("depth"))
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.trunc("l_shipdate", "month").alias("month")).agg((F.avg("l_quantity") / 10).alias("depth"))
+    monthly = rows.join(points(spark, sf).select(F.col("pid").alias("site"), "px", "py"), "site")
+    return features.dynamic_depth(monthly, c, ("1996-01-01", "1996-12-01"), 5, (0.1, 2.0, 15.0), least=4)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions import hydro, site
+from strataflow.functions.normal import cdf_sql, ppf_sql
 from strataflow.operators import evaluation, grid, months, priors, spatial, variogram, wells
 from strataflow.plans.registry import query, read
 from strataflow.plans.space import D8_SQL, GRID, POINTS, points
@@ -121,11 +122,21 @@ def profile_vs30(spark: SparkSession, sf: str) -> DataFrame:
     return part(spark, sf).select("cell", R(site.profile_velocity(samples)).alias("vs30"))
 
 
-@query()
+_EDGES = [f"{cdf_sql(f'z{i}')} AS c{i}" for i in range(len(site.CLASS_BOUNDS))]
+_SHARES = [f"{f'c{i}' if i < len(site.CLASS_BOUNDS) else '1.0::DOUBLE'} - {f'c{i - 1}' if i else '0.0::DOUBLE'}" for i in range(len(site.CLASS_NAMES))]
+
+_LIKELIEST = " ".join(f"WHEN p_{k} = greatest({', '.join(f'p_{n}' for n in site.CLASS_NAMES)}) THEN '{k}'" for k in site.CLASS_NAMES)
+
+
+@query(
+    f"WITH g AS ({PART}), z AS (SELECT cell, {', '.join(f'({b!r}::DOUBLE - (150 + z / 2)) / (10 + s) AS z{i}' for i, b in enumerate(site.CLASS_BOUNDS))} FROM g), c AS (SELECT cell, {', '.join(_EDGES)} FROM z), "
+    f"p AS (SELECT cell, {', '.join(f'{x} AS p_{k}' for x, k in zip(_SHARES, site.CLASS_NAMES))} FROM c) "
+    f"SELECT cell, {', '.join(f'round(p_{k}, 9) AS p_{k}' for k in site.CLASS_NAMES)}, CASE {_LIKELIEST} END AS class FROM p"
+)
 def site_class_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     mean, sd = 150 + F.col("z") / 2, 10 + F.col("s")
     likely = site.likeliest_class(mean, sd)
-    return part(spark, sf).select("cell", *[p.alias(f"p_{k}") for k, p in site.class_probabilities(mean, sd).items()], likely["class"].alias("class"))
+    return part(spark, sf).select("cell", *[F.round(p, 9).alias(f"p_{k}") for k, p in site.class_probabilities(mean, sd).items()], likely["class"].alias("class"))
 
 
 @query(
@@ -510,9 +521,13 @@ def fitted_variogram(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([variogram.fit_variogram(points(spark, sf), "v", 10.0, 20)], "nugget double, sill double, range double")
 
 
-@query()
+@query(
+    f"WITH m AS ({MONTHLY}), r AS (SELECT site, year, month, rank() OVER (PARTITION BY month ORDER BY quantity) - 1 + (count(*) OVER (PARTITION BY month, quantity) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY month) AS n FROM m WHERE quantity IS NOT NULL), "
+    "p AS (SELECT site, year, month, CASE WHEN n > 1 THEN greatest(least(CAST(k AS DOUBLE) / (n - 1), 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) END AS p FROM r) "
+    f"SELECT site, year, month, round({ppf_sql('p')}, 6) AS score FROM p"
+)
 def normal_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return variogram.normal_scores(site_months(spark, sf), ["month"], "quantity", "score").select("site", "year", "month", "score")
+    return variogram.normal_scores(site_months(spark, sf), ["month"], "quantity", "score").select("site", "year", "month", R("score").alias("score"))
 
 
 @query(

@@ -167,8 +167,11 @@ def uncertainty_quadrature(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.quadrature(l, ["cell"], "s").withColumn("sigma_total", F.round("sigma_total", 6))
 
 
-@query()
+@query(
+    f"WITH p AS (SELECT domain, greatest(sigma, 1e-9) AS s, (y - mu) / greatest(sigma, 1e-9) AS z FROM ({PRED})), c AS (SELECT domain, s, z, {normal.cdf_sql('z')} AS c FROM p) "
+    "SELECT domain, round(avg(c), 9) AS pit_mean, round(stddev_pop(c), 9) AS pit_sd, round(avg(s * (z * (2 * c - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 6) AS crps FROM c GROUP BY domain"
+)
 def pit_crps(spark: SparkSession, sf: str) -> DataFrame:
     p = predictions(spark, sf)
     y, mu, s = F.col("y"), F.col("mu"), F.col("sigma")
-    return p.select("domain", normal.pit(y, mu, s).alias("pit"), normal.crps(y, mu, s).alias("crps")).groupBy("domain").agg(F.avg("pit").alias("pit_mean"), F.stddev_pop("pit").alias("pit_sd"), F.avg("crps").alias("crps"))
+    return p.select("domain", normal.pit(y, mu, s).alias("pit"), normal.crps(y, mu, s).alias("crps")).groupBy("domain").agg(F.round(F.avg("pit"), 9).alias("pit_mean"), F.round(F.stddev_pop("pit"), 9).alias("pit_sd"), F.round(F.avg("crps"), 6).alias("crps"))

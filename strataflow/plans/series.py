@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.core import month_of
 from strataflow.operators import folds, series
+from strataflow.functions.normal import ppf_sql
 from strataflow.plans.registry import query, read
 from strataflow.plans.wells import MONTHLY, months
 
@@ -45,9 +46,16 @@ def spi3_rank(spark: SparkSession, sf: str) -> DataFrame:
     return series.average_rank(rows, ["site", "month"], "s3", "p", 4).select("site", "year", "month", F.round("p", 9).alias("p"))
 
 
-@query()
+@query(
+    f"WITH m AS ({MONTHLY}), s AS (SELECT site, year, month, CASE WHEN count(quantity) OVER w = 3 THEN sum(quantity) OVER w END AS s3 FROM m WINDOW w AS "
+    "(PARTITION BY site ORDER BY year, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), v AS (SELECT * FROM s WHERE s3 IS NOT NULL), "
+    "r AS (SELECT month, site, year, rank() OVER (PARTITION BY site, month ORDER BY s3) + (count(*) OVER (PARTITION BY site, month, s3) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY site, month) AS n FROM v), "
+    "p AS (SELECT site, year, month, CASE WHEN n >= 4 THEN greatest(least(CAST((rk - 1) / (n - 1) AS DOUBLE), 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) END AS p FROM r) "
+    f"SELECT s.site, s.year, s.month, round({ppf_sql('p.p')}, 6) AS spi3 FROM s LEFT JOIN p ON p.site = s.site AND p.year = s.year AND p.month = s.month"
+)
 def spi3(spark: SparkSession, sf: str) -> DataFrame:
-    return series.standardised_index(months(spark, sf), ["site"], ["year", "month"], "month", "quantity", "spi3", rows=3, least=4).select("site", "year", "month", "spi3")
+    found = series.standardised_index(months(spark, sf), ["site"], ["year", "month"], "month", "quantity", "spi3", rows=3, least=4)
+    return found.select("site", "year", "month", F.round("spi3", 6).alias("spi3"))
 
 
 @query(

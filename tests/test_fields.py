@@ -176,3 +176,16 @@ def test_reconstruction_is_the_fitted_line(spark):
     c = F.col
     again = df.join(fits, "k").select((c("y") - months.reconstructed(c("spi"), c("swe"), c("pdo"), c("b0"), c("b_spi"), c("b_swe"), c("b_pdo"))).alias("e"))
     assert again.agg(F.max(F.abs("e"))).first()[0] < 1e-9
+
+
+def test_normal_distribution_to_the_last_digits(spark):
+    from statistics import NormalDist
+
+    from strataflow.functions import normal
+
+    z = [i / 50 for i in range(-450, 451)] + [None, 40.0, -40.0]
+    p = [10.0**-k for k in range(1, 12)] + [1 - 10.0**-k for k in range(1, 12)] + [i / 1000 for i in range(1, 1000)] + [None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(normal.norm_cdf("z")).collect()]
+    assert all(b is None if a is None else abs(b - NormalDist().cdf(a)) < 2e-15 for a, b in zip(z, got))
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in p], "p double").select(normal.norm_ppf("p")).collect()]
+    assert all(b is None if a is None else abs(b - NormalDist().inv_cdf(a)) < 1e-13 for a, b in zip(p, got))
