@@ -10,11 +10,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions.core import clip
-from strataflow.operators.spatial import block_stats, steepest_neighbour
+from strataflow.operators.spatial import TILE, block_stats, steepest_neighbour, tile_array, tiled
 
 
 @dataclass(frozen=True)
@@ -240,20 +242,28 @@ def moisture_downscaled(driver: DataFrame, envelope: DataFrame, k: int, theta: s
 # -- terrain
 
 
-def slope_degrees(grid: DataFrame, z: str, res: float) -> DataFrame:
-    """row, col, slope by the weighted differences of the eight neighbours (Horn 1981); a missing neighbour counts as the cell itself."""
+def slope_degrees(grid: DataFrame, z: str, res: float, tile: int = TILE) -> DataFrame:
+    """row, col, slope by the weighted differences of the eight neighbours (Horn 1981); a missing neighbour counts as the cell itself.
+
+    Cells are dealt to tiles with one cell around; cells without a height have no row.
+    """
     # weight of a neighbour's height in the east-west and in the north-south difference
     steps = [(i, j, j * (2 if i == 0 else 1), -i * (2 if j == 0 else 1)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-    to = F.explode(F.array(*[F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, j, a, b in steps]))
-    known = grid.filter(F.col(z).isNotNull())
-    sent = known.select(F.col(z).alias("_z"), to.alias("_t")).select("_t.row", "_t.col", "_z", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"))
-    own = known.select("row", "col", F.col(z).alias("_own"))
-    d = F.col("_z") - F.col("_own")
-    sums = own.join(sent, ["row", "col"], "left").groupBy("row", "col").agg(
-        F.coalesce(F.sum(F.col("_a") * d), F.lit(0.0)).alias("dx"), F.coalesce(F.sum(F.col("_b") * d), F.lit(0.0)).alias("dy")
-    )
-    rise = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (8 * res)
-    return sums.select("row", "col", F.degrees(F.atan(rise)).alias("slope"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        whole, r, c = tile_array(key, table, tile)
+        known = ~np.isnan(whole[r, c])
+        r, c = r[known], c[known]
+        here, dx, dy = whole[r, c], np.zeros(len(r)), np.zeros(len(r))
+        for i, j, a, b in steps:
+            d = np.nan_to_num(whole[r + i, c + j] - here, nan=0.0)
+            dx += a * d
+            dy += b * d
+        slope = np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy) / (8 * res)))
+        return pa.table({"row": r - 1 + key[0].as_py() * tile, "col": c - 1 + key[1].as_py() * tile, "slope": slope})
+
+    found = tiled(grid, z, tile).groupBy("ty", "tx").applyInArrow(run, "row long, col long, slope double")
+    return found.select(*[F.col(c).cast(grid.schema[c].dataType).alias(c) for c in ("row", "col")], "slope")
 
 
 def drainage(grid: DataFrame, z: str, cols: int, res: float = 1.0) -> DataFrame:

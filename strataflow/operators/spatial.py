@@ -6,6 +6,8 @@ buckets as wide as the reach, so a cell meets only the stations near it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,57 @@ def block_broadcast(grid: DataFrame, value: str, k: int, out: str) -> DataFrame:
 D8 = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
 
-def steepest_neighbour(grid: DataFrame, z: str, res: float = 1.0) -> DataFrame:
-    """row, col, z, nrow, ncol: where each cell drains; NULL for pits and flats. Ties go to the first of D8."""
-    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("di"), F.lit(j).alias("dj")) for k, (i, j) in enumerate(D8)])
-    asks = grid.select("row", "col", F.col(z).alias("z"), F.explode(steps).alias("s")).select(
-        "row", "col", "z", F.col("s.k").alias("k"), (F.col("row") + F.col("s.di")).alias("nrow"), (F.col("col") + F.col("s.dj")).alias("ncol"),
-        F.when(F.col("s.di") * F.col("s.dj") != 0, F.lit(2.0) ** 0.5).otherwise(1.0).alias("dist"),
-    )
-    other = grid.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col(z).alias("nz"))
-    drop = (F.col("z") - F.col("nz")) / (F.col("dist") * res)
-    found = asks.join(other, ["nrow", "ncol"]).withColumn("drop", drop).filter("drop > 0")
-    best = found.groupBy("row", "col").agg(F.max_by(F.struct("nrow", "ncol"), F.struct("drop", -F.col("k"))).alias("to"))
-    return grid.select("row", "col", F.col(z).alias("z")).join(best, ["row", "col"], "left").select("row", "col", "z", "to.nrow", "to.ncol")
+#: Cells along the side of a tile of a grid.
+TILE = 256
+
+
+def tiled(grid: DataFrame, value: str, tile: int = TILE) -> DataFrame:
+    """row, col, v, ty, tx: each cell at its tile, and cells on a tile's edge at the tiles beside it too, so that a tile sees one cell around."""
+
+    def at(c: str, step: Column | int) -> Column:
+        return F.floor((F.col(c) + step) / tile).cast("int")
+
+    beside = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct(at("row", F.floor(k / 3) - 1).alias("ty"), at("col", k % 3 - 1).alias("tx"))))
+    # Most cells lie inside their tile and go there only.
+    inner = (F.pmod("row", F.lit(tile)).between(1, tile - 2)) & (F.pmod("col", F.lit(tile)).between(1, tile - 2))
+    own = F.array(F.struct(at("row", 0).alias("ty"), at("col", 0).alias("tx")))
+    known = grid.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
+    return known.select("*", F.explode(F.when(inner, own).otherwise(beside)).alias("_t")).select("row", "col", "v", "_t.ty", "_t.tx")
+
+
+def tile_array(key: tuple, table: pa.Table, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tile with one cell around it (NaN where there is none), and the places in it of the table's own cells."""
+    r, c = (table[n].to_numpy() - k.as_py() * tile + 1 for n, k in zip(("row", "col"), key))
+    whole = np.full((tile + 2, tile + 2), np.nan)
+    whole[r, c] = table["v"].to_numpy(zero_copy_only=False)
+    own = (r >= 1) & (r <= tile) & (c >= 1) & (c <= tile)
+    return whole, r[own], c[own]
+
+
+def steepest_neighbour(grid: DataFrame, z: str, res: float = 1.0, tile: int = TILE) -> DataFrame:
+    """row, col, z, nrow, ncol: where each cell drains; NULL for pits and flats. Ties go to the first of D8.
+
+    Cells are dealt to tiles with one cell around, so the grid is shuffled once and each task looks at arrays.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        whole, r, c = tile_array(key, table, tile)
+        here = whole[r, c]
+        best, to = np.zeros(len(r)), np.full(len(r), -1)
+        for k, (i, j) in enumerate(D8):
+            drop = (here - whole[r + i, c + j]) / ((2**0.5 if i * j else 1.0) * res)
+            better = drop > best  # false for NaN
+            best[better], to[better] = drop[better], k
+        steps, none = np.array(D8), to < 0
+        row, col = r - 1 + key[0].as_py() * tile, c - 1 + key[1].as_py() * tile
+        return pa.table({
+            "row": row, "col": col, "z": pa.array(here, mask=np.isnan(here)),
+            "nrow": pa.array(row + steps[to, 0], mask=none), "ncol": pa.array(col + steps[to, 1], mask=none),
+        })
+
+    found = tiled(grid, z, tile).groupBy("ty", "tx").applyInArrow(run, "row long, col long, z double, nrow long, ncol long")
+    kinds = {"row": grid.schema["row"].dataType, "col": grid.schema["col"].dataType}
+    return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("row", "col")], "z", F.col("nrow").cast(kinds["row"]).alias("nrow"), F.col("ncol").cast(kinds["col"]).alias("ncol"))
 
 
 def drain_to(graph: DataFrame, materialize, most: int = 64) -> DataFrame:

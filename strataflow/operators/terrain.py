@@ -14,10 +14,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.operators.spatial import D8, steepest_neighbour
+from strataflow.operators.spatial import D8, steepest_neighbour, tile_array, tiled
 
 TILE = 128
 #: The labels of a cell without one and of what lies outside, and what a cell's row counts in its label.
@@ -62,10 +62,6 @@ def flood(z: np.ndarray, open_: np.ndarray, edge: np.ndarray, name: np.ndarray)
     return level, label, meets
 
 
-def _tile(c: str, tile: int) -> Column:
-    return F.floor(F.col(c) / tile).cast("int")
-
-
 def filled(grid: DataFrame, z: str, materialize: Callable[[DataFrame], DataFrame], tile: int = TILE, most: int = 4096) -> DataFrame:
     """row, col, z, level: the height at which water leaves each cell of grid(row, col, z); z where it needs no filling.
 
@@ -73,16 +69,11 @@ def filled(grid: DataFrame, z: str, materialize: Callable[[DataFrame], DataFrame
     start anywhere. A repeated cell counts once, at its lowest.
     """
     known = grid.filter(F.col(z).isNotNull()).groupBy(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.min(F.col(z).cast("double")).alias("z"))
-    # Each cell goes to its tile, those on a border to the tiles beside it too.
-    beside = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct(
-        F.floor((F.col("row") + F.floor(k / 3) - 1) / tile).cast("int").alias("ty"), F.floor((F.col("col") + k % 3 - 1) / tile).cast("int").alias("tx"))))
-    sent = known.select("*", F.explode(beside).alias("_t")).select("row", "col", "z", "_t.ty", "_t.tx")
+    sent = tiled(known, "z", tile)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ty, tx = (k.as_py() for k in key)
-        r, c = table["row"].to_numpy() - ty * tile + 1, table["col"].to_numpy() - tx * tile + 1
-        whole = np.full((tile + 2, tile + 2), np.nan)
-        whole[r, c] = table["z"].to_numpy()
+        whole, _, _ = tile_array(key, table, tile)
         there = ~np.isnan(whole)
         mine = there[1:-1, 1:-1]
         around = np.ones(mine.shape, bool)

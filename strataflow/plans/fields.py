@@ -258,7 +258,7 @@ def root_zone(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT l_suppkey % 20 AS unit, k AS candidate, corr(l_quantity, pow(l_discount, k)) AS r FROM lineitem, (SELECT unnest([0.5, 1.0, 2.0, 3.0]) AS k) GROUP BY ALL), "
+    "WITH s AS (SELECT l_suppkey % 20 AS unit, k AS candidate, corr(l_quantity, pow(l_discount, k)) AS r FROM lineitem, (SELECT unnest([0.5::DOUBLE, 1.0, 2.0, 3.0]) AS k) GROUP BY ALL), "
     "m AS (SELECT a.unit, a.candidate, a.r, round((sum(a.r) OVER (PARTITION BY a.candidate) - a.r) / (count(a.r) OVER (PARTITION BY a.candidate) - 1), 12) AS m FROM s a) "
     "SELECT unit, candidate, round(r, 9) AS r FROM m QUALIFY row_number() OVER (PARTITION BY unit ORDER BY m DESC, candidate) = 1"
 )

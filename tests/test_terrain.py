@@ -114,3 +114,25 @@ def test_empty_and_single(spark):
     assert terrain.filled(empty, "h", checkpointed).count() == 0
     one = terrain.filled(spark.createDataFrame([(7, -3, 2.5)], empty.schema), "h", checkpointed).collect()
     assert [tuple(r) for r in one] == [(7, -3, 2.5, 2.5)]
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_neighbours_over_tile_edges(spark, tile):
+    cells = surface(0)
+    df = frame(spark, cells)
+    got = {(r["row"], r["col"]): r for r in spatial.steepest_neighbour(df, "h", 2.0, tile).filter("z is not null").collect()}
+    slopes = {(r["row"], r["col"]): r["slope"] for r in grid.slope_degrees(df, "h", 2.0, tile).collect()}
+    assert got.keys() == cells.keys() == slopes.keys()
+    for (r, c), z in cells.items():
+        best, steep, dx, dy = None, 0.0, 0.0, 0.0
+        for i, j in spatial.D8:
+            n = (r + i, c + j)
+            if n in cells:
+                drop = (z - cells[n]) / ((2**0.5 if i * j else 1.0) * 2.0)
+                if drop > steep:
+                    best, steep = n, drop
+                dx += j * (2 if i == 0 else 1) * (cells[n] - z)
+                dy -= i * (2 if j == 0 else 1) * (cells[n] - z)
+        row = got[r, c]
+        assert (None if best is None else best) == (None if row["nrow"] is None else (row["nrow"], row["ncol"]))
+        assert slopes[r, c] == pytest.approx(np.degrees(np.arctan(np.hypot(dx, dy) / 16)), abs=1e-9)
