@@ -3,7 +3,7 @@
 On a raster the covariance depends on row and column differences alone, so a product with it is a circular convolution on a
 raster of twice the size, and a circular convolution is a product of Fourier transforms. The two-dimensional transform is
 dealt over tasks: rows are transformed one by one, shuffled into blocks of columns, transformed down the columns, multiplied
-by the kernel's transform and brought back the same way. No task holds more than a row, or a block of columns; the product is
+by the kernel's transform and brought back the same way. No task holds more than some rows, or a block of columns; the product is
 exact (to rounding). Regions that do not covary are products apart, each from its own cells to its own cells.
 
 Where cells lie anywhere, or values are given at few of them, `masked_product` sums kernels directly, tile by tile.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strataflow.operators.priors import matern
 from strataflow.session import checkpointed
 
-#: Frequencies of a row that go together down the columns; cells along the side of a tile.
-BAND, TILE = 64, 64
+#: Frequencies of a row that go together down the columns; cells of rows that go together; cells along the side of a tile.
+BAND, STRIP, TILE = 64, 1 << 16, 64
 
 
 def even_size(n: int) -> int:
@@ -51,12 +51,12 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str]):
 
 
 def _bands(spectrum: np.ndarray) -> list[np.ndarray]:
-    return [spectrum[a : a + BAND] for a in range(0, len(spectrum), BAND)]
+    return [spectrum[..., a : a + BAND] for a in range(0, spectrum.shape[-1], BAND)]
 
 
 def _labelled(key: tuple, names: list[str], many: int, **columns: object) -> pa.Table:
     """A table of `many` rows that all have the key, and the columns."""
-    found = {n: pa.array([k.as_py()] * many, k.type) for n, k in zip(names, key)}
+    found = {n: pa.repeat(k, many) for n, k in zip(names, key)}
     return pa.table({**found, **columns})
 
 
@@ -91,35 +91,42 @@ def grid_product(fields: DataFrame, keys: list[str], shape: tuple[int, int], cel
     my, mx = (even_size(2 * n - 1) for n in shape)
     kinds, names = _kinds(fields, keys), keys
 
+    strip = max(1, STRIP // mx)  # rows that go together
+
     def across(key: tuple, table: pa.Table) -> pa.Table:
-        line, cols, values = np.zeros(mx), table["col"].to_numpy(), table["value"].to_numpy()
-        row = key[-1].as_py()
-        if not (0 <= row < ny and len(cols) and 0 <= cols.min() and cols.max() < nx):
-            raise ValueError(f"row {row}, columns {cols.min()} to {cols.max()} are not all in a raster of {ny} x {nx}")
-        np.add.at(line, cols, values)
-        bands = _bands(np.fft.rfft(line))
-        return _labelled(key, [*names, "row"], len(bands), band=pa.array(range(len(bands)), pa.int32()), part=[b.tobytes() for b in bands])
+        rows, cols, values = table["row"].to_numpy(), table["col"].to_numpy(), table["value"].to_numpy()
+        if len(rows) and not (0 <= rows.min() and rows.max() < ny and 0 <= cols.min() and cols.max() < nx):
+            raise ValueError(f"rows {rows.min()} to {rows.max()}, columns {cols.min()} to {cols.max()} are not all in a raster of {ny} x {nx}")
+        there, at = np.unique(rows, return_inverse=True)
+        lines = np.zeros((len(there), mx))
+        np.add.at(lines, (at, cols), values)
+        bands = _bands(np.fft.rfft(lines, axis=1))
+        return _labelled(key, [*names, "strip"], len(bands), band=pa.array(range(len(bands)), pa.int32()), rows=pa.array([there.tolist()] * len(bands), pa.list_(pa.int32())), part=[b.tobytes() for b in bands])
 
     def down(key: tuple, table: pa.Table, kernel: pa.Table) -> pa.Table:
         spectrum = np.frombuffer(kernel["spectrum"][0].as_py()).reshape(my, -1)
         whole = np.zeros((my, spectrum.shape[1]), complex)
-        for row, part in zip(table["row"].to_pylist(), table["part"].to_pylist()):
-            whole[row] = np.frombuffer(part, complex)
+        for rows, part in zip(table["rows"].to_pylist(), table["part"].to_pylist()):
+            whole[rows] = np.frombuffer(part, complex).reshape(len(rows), -1)
         back = np.fft.ifft(np.fft.fft(whole, axis=0) * spectrum, axis=0)[:ny]
-        return _labelled(key, [*names, "band"], ny, row=pa.array(range(ny), pa.int32()), part=[r.tobytes() for r in back])
+        parts = [back[a : a + strip].tobytes() for a in range(0, ny, strip)]
+        return _labelled(key, [*names, "band"], len(parts), strip=pa.array(range(len(parts)), pa.int32()), part=parts)
 
     def home(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table["band"].to_numpy())
+        first = key[-1].as_py() * strip
+        many = min(strip, ny - first)
         parts = table["part"].to_pylist()
-        line = np.fft.irfft(np.concatenate([np.frombuffer(parts[i], complex) for i in order]), mx)[:nx]
-        return _labelled(key, [*names, "row"], nx, col=pa.array(range(nx), pa.int32()), value=line)
+        order = np.argsort(table["band"].to_numpy())
+        lines = np.fft.irfft(np.concatenate([np.frombuffer(parts[i], complex).reshape(many, -1) for i in order], axis=1), mx, axis=1)[:, :nx]
+        row, col = np.indices(lines.shape, np.int32)
+        return _labelled(key[:-1], names, lines.size, row=(row + first).ravel(), col=col.ravel(), value=lines.ravel())
 
     known = fields.filter(F.col("value").isNotNull()).select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
-    strips = known.groupBy(*keys, "row").applyInArrow(across, kinds + "row int, band int, part binary")
+    strips = known.withColumn("strip", F.floor(F.col("row") / strip).cast("int")).groupBy(*keys, "strip").applyInArrow(across, kinds + "strip int, band int, rows array<int>, part binary")
     kernel = kernel_bands(fields.sparkSession, shape, cell, sigma, length, nu)
     asked = strips.select(*keys, "band").distinct().join(kernel, "band")
-    turned = paired(strips, asked, [*keys, "band"]).applyInArrow(down, kinds + "band int, row int, part binary")
-    return turned.groupBy(*keys, "row").applyInArrow(home, kinds + "row int, col int, value double")
+    turned = paired(strips, asked, [*keys, "band"]).applyInArrow(down, kinds + "band int, strip int, part binary")
+    return turned.groupBy(*keys, "strip").applyInArrow(home, kinds + "row int, col int, value double")
 
 
 def _scaled(cells: DataFrame, scale: str | None) -> Column:
