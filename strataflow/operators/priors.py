@@ -1,7 +1,8 @@
 """Observing a field with a Matern prior: footprints as weights of cells, what observations resolve, and fitted priors.
 
-Footprints are tables (obs, cell, w). The dense solves take one group (a region, a state) to a task as Arrow frames; their
-size is the number of observations of the group, which a network bounds, not the number of cells.
+Footprints are tables (obs, cell, w). The dense solves take one group to a task as Arrow frames: the fits are of the size of its
+points, which a network bounds; resolution_groups() is of cells x cells and for small groups, gridprior.grid_resolution()
+gives the same on rasters without it.
 """
 
 from __future__ import annotations

@@ -62,7 +62,7 @@ def station_series(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
-    """row, col, value of an ESRI ASCII grid; its NODATA value is NULL. A line keeps its place in the file by its offset."""
+    """row, col, value of an ESRI ASCII grid; its NODATA value is NULL. The file is one row, as a line's place in it counts; larger grids are flat binary ones (rasters)."""
     text = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\s*\n").alias("lines"))
     header = F.filter("lines", lambda x: x.rlike(r"^\s*[A-Za-z]"))
     body = F.filter("lines", lambda x: ~x.rlike(r"^\s*([A-Za-z]|$)"))
