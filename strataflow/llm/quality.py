@@ -3,10 +3,13 @@
 The model is an interpolated modified Kneser-Ney model for each language, trained on all trusted documents (labelled of
 good quality, or a list the caller gives). Its counts are tables: raw counts of the highest order, continuation counts
 below, and for each context how many continuations were seen once, twice, more often. These are shuffled by n-gram
-(sharded) and joined level by level into probabilities and back-off weights. The finished tables are dealt by language and
-the two characters before the last into shards of about SHARD entries, so all that a character's score needs is in one of
-them (entries of the lowest orders are in all). Each shard is sent to all workers, which hold one at a time: a document is
-scored where it lies, by each shard in turn, and none of the model is left out however large it is.
+(sharded) and joined level by level into probabilities and back-off weights.
+
+Documents are scored by joins too, so no part of the model is broadcast, collected or left out. They are dealt into blocks of
+about BLOCK characters; each block asks once for every different n-gram it holds. The different n-grams of all blocks are
+joined with the model level by level, from single characters up (the n-gram's own probability, or its context's back-off
+weight and the cost of its suffix), the costs are joined back to the blocks that asked, and each block meets its documents
+again, where a document's costs are summed.
 
 A document's score is its mean negative log-likelihood a character, drawn towards its language's median as if PRIOR more
 characters of median score had been read. One trusted document in HELD_OUT is kept out of the training, and these give
@@ -17,8 +20,6 @@ equal to the word before is held against the same kind of limit, and never under
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import materialize, numbered
+from strataflow.llm.common import discard, materialize, numbered
 
 ORDER, UNIFORM = 4, 1 / 4096
-SHARD, PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 1 << 21, 64, 2.0, (0.4, 0.9), 0.2, 5
+PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 64, 2.0, (0.4, 0.9), 0.2, 5
 START = "\x02"
-#: Bytes of documents scored together where a model has several shards.
-GATHER = 1 << 25
-#: Characters counted at once, the multiplier of the rolling hash, and what sets contexts apart from n-grams.
-_STEP, _MIX, _CONTEXT = 1 << 21, np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
+#: Characters of documents scored together; a row weighs ROW characters more than its text.
+BLOCK, ROW = 1 << 23, 64
+#: Characters counted at once, and the multiplier of the rolling hash.
+_STEP, _MIX = 1 << 21, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,45 +54,61 @@ def _last_places(bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
+def _gram_counts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different n-grams of the highest order in the texts, and how often each is there."""
+    codes, bounds = _codes(texts)
+    ends = _last_places(bounds)
+    if not len(ends):
+        return [], np.zeros(0, np.int64)
+    there = np.zeros(int(codes.max()) + 1, bool)
+    there[codes] = True
+    letters, small = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+    bits = max(1, int(len(letters) - 1).bit_length())
+    columns = [small[ends - (ORDER - 1 - k)] for k in range(ORDER)]
+    if bits * ORDER > 63:  # too many different characters for one number
+        found, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        parts = letters[found]
+    else:
+        key = np.zeros(len(ends), np.int64)
+        for column in columns:
+            key = (key << bits) | column
+        keys, counts = np.unique(key, return_counts=True)
+        parts = np.stack([letters[(keys >> (bits * (ORDER - 1 - k))) & ((1 << bits) - 1)] for k in range(ORDER)], 1)
+    whole = parts.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], counts
+
+
+def _steps(rows: list, size: int, text=lambda x: x) -> Iterator[list]:
+    """The rows in lists whose texts have about so many characters."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(text(row))
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
+def _by_lang(langs: list[str | None], texts: list[str | None]) -> dict[str, list[tuple[int, str]]]:
+    """Place and text of the rows of each language; nulls are ''."""
+    found: dict[str, list[tuple[int, str]]] = {}
+    for i, (lang, text) in enumerate(zip(langs, texts)):
+        found.setdefault(lang or "", []).append((i, text or ""))
+    return found
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n: raw counts of the highest order over all of docs(lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                while texts:
-                    some, size = [], 0
-                    while texts and size < _STEP:
-                        some.append(texts.pop())
-                        size += len(some[-1])
-                    codes, bounds = _codes(some)
-                    letters, small = np.unique(codes, return_inverse=True)
-                    ends = _last_places(bounds)
-                    if not len(ends):
-                        continue
-                    bits = max(1, int(len(letters) - 1).bit_length())
-                    columns = [small[ends - (ORDER - 1 - k)] for k in range(ORDER)]
-                    if bits * ORDER > 63:  # too many different characters for one number
-                        found, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
-                        parts = letters[found]
-                    else:
-                        key = np.zeros(len(ends), np.int64)
-                        for column in columns:
-                            key = (key << bits) | column
-                        keys, counts = np.unique(key, return_counts=True)
-                        parts = np.stack([letters[(keys >> (bits * (ORDER - 1 - k))) & ((1 << bits) - 1)] for k in range(ORDER)], 1)
-                    whole = parts.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(parts), pa.string()),
-                            pa.array([whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], pa.string()),
-                            pa.array(counts, pa.int64()),
-                        ],
-                        names=["lang", "gram", "n"],
-                    )
+            for lang, rows in _by_lang(batch.column(0).to_pylist(), batch.column(1).to_pylist()).items():
+                for some in _steps(rows, _STEP, lambda x: x[1]):
+                    grams, counts = _gram_counts([text for _, text in some])
+                    columns = [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
     counted = docs.mapInArrow(count, "lang string, gram string, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -99,11 +116,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """kind ('gram' or 'context'), lang, gram, value (log probability or log back-off weight) from count_grams()'s table."""
+    out, made = None, []
     tables = {ORDER: materialize(counts, f"grams{ORDER}")}
     for k in range(ORDER - 1, 0, -1):
         lower = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
         tables[k] = materialize(lower, f"grams{k}")
-    out, below = None, None
+    below = None
     for k in range(1, ORDER + 1):
         grams = tables[k]
         seen = [F.greatest(F.lit(1), F.count_if(F.col("n") == i)).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)]
@@ -139,199 +157,161 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
                 .join(suffix, ["lang", "suffix"])
                 .withColumn("p", F.col("own") + F.col("weight") * F.col("lower"))
             )
-        below = materialize(probs.select("lang", "gram", "n", "p"), f"probs{k}")
+        below = materialize(probs.select("lang", "gram", "p"), f"probs{k}")
+        made += [contexts, below]
         found = below.select(F.lit("gram").alias("kind"), "lang", "gram", F.log("p").alias("value")).unionByName(
             contexts.select(F.lit("context").alias("kind"), "lang", F.col("context").alias("gram"), F.log(F.least(F.lit(1.0), "weight")).alias("value"))
         )
         out = found if out is None else out.unionByName(found)
-    return out
+    model = materialize(out, "kneser-ney")
+    discard(*tables.values(), *made)
+    return model
 
 
-def _hash(codes: list[np.ndarray], seed: np.uint64) -> np.ndarray:
+def _hash(codes: list[np.ndarray]) -> np.ndarray:
     """Of n-grams given as columns of code points."""
-    out = np.full(len(codes[0]) if codes else 1, seed, np.uint64)
+    out = np.zeros(len(codes[0]), np.uint64)
     for c in codes:
         out = (out + c.astype(np.uint64) + np.uint64(1)) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(zlib.crc32(lang.encode()) + 1)
-
-
-class Lookup:
-    """Values by 64-bit key: two tables at hashed slots, and the few keys left over in order."""
+class Costs:
+    """Costs by 64-bit key of an n-gram: two tables at hashed slots, and the few keys left over in order."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, grams: list[str], costs: np.ndarray) -> None:
+        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), ORDER)
+        keys, values = _hash([codes[:, k] for k in range(ORDER)]), costs
         self.shift = np.uint64(64 - max(10, int(2 * len(keys)).bit_length()))
         self.tables = []
         for mix in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)):
             size = 1 << (64 - int(self.shift))
             slot = ((keys * mix) >> self.shift).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
-            key, value = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+            key, value = np.zeros(size, np.uint64), np.zeros(size)
             key[slot[first]], value[slot[first]] = keys[first], values[first]
             self.tables.append((mix, key, value))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, values = keys[rest], values[rest]
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys[order], values[order]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where missing) and whether each was found."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The cost of each; all are there."""
         (mix, key, value), (mix2, key2, value2) = self.tables
         slot = ((keys * mix) >> self.shift).astype(np.int64)
-        found = key[slot] == keys
-        out = np.where(found, value[slot], np.float32(0))
-        miss = np.flatnonzero(~found)
+        out = value[slot]
+        miss = np.flatnonzero(key[slot] != keys)
         if len(miss):
             rest = keys[miss]
             slot = ((rest * mix2) >> self.shift).astype(np.int64)
-            ok = key2[slot] == rest
-            out[miss[ok]], found[miss[ok]] = value2[slot[ok]], True
-            if len(self.keys):
-                miss, rest = miss[~ok], rest[~ok]
-                at = np.minimum(np.searchsorted(self.keys, rest), len(self.keys) - 1)
-                ok = self.keys[at] == rest
-                out[miss[ok]], found[miss[ok]] = self.values[at[ok]], True
-        return out, found
-
-
-def _encoded(batch: pa.RecordBatch, shards: int) -> pa.RecordBatch:
-    """key, value, shard (-1: all) of rows of kneser_ney()'s table."""
-    kinds, langs, grams = (batch.column(c).to_pylist() for c in ("kind", "lang", "gram"))
-    keys, shard = np.empty(len(kinds), np.uint64), np.full(len(kinds), -1, np.int32)
-    groups: dict[tuple[str, str, int], list[int]] = {}
-    for i, (kind, lang, gram) in enumerate(zip(kinds, langs, grams)):
-        groups.setdefault((kind, lang, len(gram)), []).append(i)
-    for (kind, lang, size), rows in groups.items():
-        codes = np.frombuffer("".join(grams[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), size)
-        found = np.broadcast_to(_hash([codes[:, k] for k in range(size)], _seed(lang)), len(rows))
-        keys[rows] = found ^ _CONTEXT if kind == "context" else found
-        before = codes if kind == "context" else codes[:, :-1]
-        if before.shape[1] >= 2:
-            shard[rows] = _shard(before[:, -2], before[:, -1], lang, shards)
-    value = batch.column("value").cast(pa.float32())
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), value, pa.array(shard, pa.int32())], names=["key", "value", "shard"])
-
-
-def keyed(model: DataFrame, shards: int) -> DataFrame:
-    """The entries of kneser_ney()'s table as _encoded()."""
-    return model.mapInArrow(lambda batches: (_encoded(b, shards) for b in batches), "key long, value float, shard int")
-
-
-def _shard(a: np.ndarray, b: np.ndarray, lang: str, shards: int) -> np.ndarray:
-    """Of entries by the two characters before the last."""
-    return ((_hash([a, b], _seed(lang)) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-
-
-class Scorer:
-    """Scores texts under one of so many shards of the tables of kneser_ney(), given as they are or as keyed()."""
-
-    def __init__(self, model: pa.Table, shard: int = 0, shards: int = 1) -> None:
-        if "key" not in model.column_names:
-            model = pa.Table.from_batches([_encoded(b, shards) for b in model.to_batches()])
-        self.lookup = Lookup(model.column("key").to_numpy().view(np.uint64), model.column("value").to_numpy())
-        self.shard, self.shards = shard, shards
-
-    def score(self, lang: str, texts: list[str]) -> np.ndarray:
-        """Sum of the negative log-likelihoods of each text's characters that are in the shard."""
+            out[miss] = value2[slot]
+            last = key2[slot] != rest
+            if last.any():
+                out[miss[last]] = self.values[np.searchsorted(self.keys, rest[last])]
+        return out
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """Sum of the costs of each text's characters."""
         codes, bounds = _codes(texts)
         at = _last_places(bounds)
-        if self.shards > 1:
-            at = at[_shard(codes[at - 2], codes[at - 1], lang, self.shards) == self.shard]
         total = np.zeros(len(codes))
-        seed, open_ = _seed(lang), at
-        for k in range(ORDER, 0, -1):
-            columns = [codes[open_ - j] for j in range(k - 1, -1, -1)]
-            value, found = self.lookup.find(_hash(columns, seed))
-            total[open_] -= value
-            open_ = open_[~found]
-            if not len(open_):
-                break
-            if k > 1:
-                value, _ = self.lookup.find(_hash([codes[open_ - j] for j in range(k - 1, 0, -1)], seed) ^ _CONTEXT)
-            else:
-                value = self.lookup.find(_hash([], seed) ^ _CONTEXT)[0] + np.log(UNIFORM)
-            total[open_] -= value
+        total[at] = self.find(_hash([codes[at - j] for j in range(ORDER - 1, -1, -1)]))
         sums = np.r_[0.0, np.cumsum(total)]
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def gram_costs(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """lang, gram, cost of the different grams(lang, gram) of the highest order, by joins with kneser_ney()'s table.
+
+    The cost is the negative log-likelihood of the last character after the others, null for a language that the model has
+    not. The gram '' costs 0 in a language that it has.
+    """
+    wanted = {ORDER: grams.filter(F.length("gram") == ORDER)}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).distinct()
+    below = None
+    for k in range(1, ORDER + 1):
+        own = model.filter((F.col("kind") == "gram") & (F.length("gram") == k)).select("lang", "gram", F.col("value").alias("found"))
+        weights = model.filter((F.col("kind") == "context") & (F.length("gram") == k - 1))
+        asked = wanted[k].join(own, ["lang", "gram"], "left").withColumn("context", F.substring("gram", 1, k - 1))
+        asked = asked.join(weights.select("lang", F.col("gram").alias("context"), F.col("value").alias("weight")), ["lang", "context"], "left")
+        if below is None:
+            cost = -F.col("weight") - float(np.log(UNIFORM))
+        else:
+            lower = below.select("lang", F.col("gram").alias("suffix"), F.col("cost").alias("lower"))
+            asked = asked.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, ["lang", "suffix"])
+            cost = F.col("lower") - F.coalesce("weight", F.lit(0.0))
+        below = asked.select("lang", "gram", F.coalesce(-F.col("found"), cost).alias("cost"))
+    known = model.filter((F.col("kind") == "context") & (F.col("gram") == "")).select("lang", F.lit(0.0).alias("cost"))
+    empty = grams.filter(F.col("gram") == "").join(known, "lang", "left").select("lang", "gram", "cost")
+    return below.unionByName(empty)
+
+
 def repeat_share(text: str) -> float:
     """Words that equal the word before them, as a share of all words but the first."""
     words = text.split()
     return sum(map(str.__eq__, words, words[1:])) / (len(words) - 1) if len(words) > 1 else 0.0
 
 
-_workers: dict[tuple[str, int], Scorer] = {}
 SCORES = ["_lm_chars", "_lm_nll", "_lm_repeats"]
 
 
-def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """docs with _lm_chars, _lm_nll (sum; null for a language without trusted text) and _lm_repeats."""
-    spark = docs.sparkSession
-    sizes = {r.lang: r.n for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    shards, known, name = max(1, -(-sum(sizes.values()) // SHARD)), frozenset(sizes), uuid.uuid4().hex
-    entries = materialize(keyed(model, shards).sortWithinPartitions("shard"), "quality-entries")
-    sent = [spark.sparkContext.broadcast(_collected(entries, s)) for s in range(shards)]
-    docs = docs.select("*", F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lm_lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_lm_text"))
-    keep = docs.columns[:-2]
-    schema = T.StructType(
-        docs.schema.fields[:-2]
-        + [T.StructField("_lm_chars", T.LongType()), T.StructField("_lm_nll", T.DoubleType()), T.StructField("_lm_repeats", T.DoubleType())]
-    )
+def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns keep, or all) with _lm_chars, _lm_nll (sum; null for a language without trusted text) and _lm_repeats, as a written table.
 
-    def scorer(s: int) -> Scorer:
-        """One shard is in memory at a time."""
-        if (name, s) not in _workers:
-            _workers.clear()
-            _workers[name, s] = Scorer(sent[s].value, s, shards)
-            sent[s].__dict__.pop("_value", None)
-        return _workers[name, s]
+    Blocks are drawn by a hash of the whole row, so that copies and rows without an id spread; rows equal in all columns share one.
+    """
+    keep = docs.columns if keep is None else keep
+    size = docs.agg(F.sum(F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)) + ROW)).first()[0] or 0
+    spread = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")], F.lit("block"))
+    dealt = docs.withColumn("_lm_block", F.pmod(spread, F.lit(-(-size // BLOCK) or 1)))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-        some: list[pa.RecordBatch] = []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found = None, {}
         for batch in batches:
-            some.append(batch)
-            if shards == 1 or sum(x.nbytes for x in some) >= GATHER:
-                yield some
-                some = []
-        if some:
-            yield some
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keep)
-        for group in gathered(batches):
-            batch = pa.Table.from_batches(group).combine_chunks().to_batches()
-            batch = batch[0] if batch else group[0]
-            langs, texts = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            nll: list[float | None] = [0.0 if x in known else None for x in langs]
-            for s in range(shards):
-                for lang in set(langs) & known:
-                    rows = [i for i, x in enumerate(langs) if x == lang]
-                    while rows:
-                        some, size = [], 0
-                        while rows and size < _STEP // 4:
-                            some.append(rows.pop())
-                            size += len(texts[some[-1]])
-                        for i, x in zip(some, scorer(s).score(lang, [texts[i] for i in some]).tolist()):
-                            nll[i] += x
-            extra = [
-                pa.array([len(x) for x in texts], pa.int64()),
-                pa.array(nll, pa.float64()),
-                pa.array([repeat_share(x) for x in texts], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *extra], names=[*keep, *SCORES])
-
-    return docs.mapInArrow(scored, schema)
-
-
-def _collected(entries: DataFrame, shard: int) -> pa.Table:
-    """One shard on the driver: about SHARD entries, and those that are in all."""
-    return entries.filter(F.col("shard").isin(shard, -1)).select("key", "value").toArrow()
+            if batch.num_rows:
+                block = batch.column(0)[0].as_py()
+            for lang, rows in _by_lang(batch.column(1).to_pylist(), batch.column(2).to_pylist()).items():
+                held = found.setdefault(lang, {""})
+                for some in _steps(rows, _STEP, lambda x: x[1]):
+                    held.update(_gram_counts([text for _, text in some])[0])
+        for lang, grams in found.items():
+            columns = [pa.array([block] * len(grams), pa.int64()), pa.array([lang] * len(grams), pa.string()), pa.array(sorted(grams), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "gram"])
+
+    texts = dealt.select("_lm_block", F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    asked = materialize(texts.groupBy("_lm_block").applyInArrow(ask, "block long, lang string, gram string"), "quality-asked")
+    grams = materialize(asked.select("lang", "gram").distinct(), "quality-grams")
+    costs = materialize(gram_costs(grams, model), "quality-costs")
+
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        n = docs.num_rows
+        chars, nll, repeats = np.zeros(n, np.int64), [None] * n, np.zeros(n)
+        by_lang = answers.column("lang").to_pandas().to_numpy()
+        for lang, rows in _by_lang(docs.column(lang_col).to_pylist(), docs.column(text_col).to_pylist()).items():
+            own = answers.filter(pa.array(by_lang == lang))
+            for i, text in rows:
+                chars[i], repeats[i] = len(text), repeat_share(text)
+            if own.column("cost").null_count:
+                continue
+            grams, values = own.column("gram").to_pylist(), own.column("cost").to_numpy()
+            whole = np.array([x != "" for x in grams], bool)
+            costs = Costs([x for x in grams if x], values[whole])
+            for some in _steps(rows, _STEP // 4, lambda x: x[1]):
+                for (i, _), x in zip(some, costs.of([text for _, text in some]).tolist()):
+                    nll[i] = x
+        columns = [docs.column(c) for c in keep]
+        return pa.table([*columns, pa.array(chars), pa.array(nll, pa.float64()), pa.array(repeats)], names=[*keep, *SCORES])
+
+    kinds = [T.LongType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kind) for c, kind in zip(SCORES, kinds)])
+    answers = asked.join(costs, ["lang", "gram"]).select("block", "lang", "gram", "cost")
+    scored = materialize(dealt.groupBy("_lm_block").cogroup(answers.groupBy("block")).applyInArrow(score, schema), "quality-scores")
+    discard(asked, grams, costs)
+    return scored
 
 
 def _held_out(id_col: str = "doc_id") -> Column:
@@ -396,9 +376,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted text at all every document is kept. Repeated rows give repeated rows; an empty table none.
     """
     trusted = materialize(trusted_ids(labels), "trusted")
-    model = materialize(train(docs, trusted), "kneser-ney")
+    model = train(docs, trusted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("text"))
-    scores = materialize(add_scores(rows, model).drop("text"), "quality-scores")
+    scores = add_scores(rows, model, keep=["doc_id", "lang"])
+    discard(model)
     bounds = materialize(limits(scores, trusted), "quality-limits")
     return judged(scores, bounds).select(
         "doc_id", "lang", F.col("_lm_chars").alias("n_chars"), "perplexity", "score", "limit", F.col("_lm_repeats").alias("repeats"), "keep"
@@ -414,8 +395,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_c
     """
     rows, (id_, lang, text) = numbered(docs, id_col, lang_col, text_col)
     trusted = materialize(trusted_ids(labels), "trusted")
-    model = materialize(train(rows, trusted, id_, lang, text), "kneser-ney")
-    scored = materialize(add_scores(rows, model, lang, text).withColumn("_lm_lang", F.coalesce(lang, F.lit(""))), "quality-docs")
+    model = train(rows, trusted, id_, lang, text)
+    scored = add_scores(rows, model, lang, text).withColumn("_lm_lang", F.coalesce(lang, F.lit("")))
+    discard(model)
     bounds = materialize(limits(scored.select(F.col(id_).cast("long").alias("doc_id"), F.col("_lm_lang").alias("lang"), *SCORES), trusted), "quality-limits")
     found = judged(scored.withColumn("lang", F.col("_lm_lang")), bounds)
     return found.filter("keep").select(*rows.columns).toDF(*docs.columns)
