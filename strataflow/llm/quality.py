@@ -33,8 +33,8 @@ from strataflow.llm.common import discard, materialize, numbered
 ORDER, UNIFORM = 4, 1 / 4096
 PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 64, 2.0, (0.4, 0.9), 0.2, 5
 START = "\x02"
-#: Characters of documents scored together; a row weighs ROW characters more than its text.
-BLOCK, ROW = 1 << 23, 64
+#: Characters of documents scored together (a row weighs ROW more than its text): large blocks ask less often, but a worker holds one.
+BLOCK, ROW = 1 << 25, 64
 #: Characters counted at once, and the multiplier of the rolling hash.
 _STEP, _MIX = 1 << 21, np.uint64(0x9E3779B97F4A7C15)
 

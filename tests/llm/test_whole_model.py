@@ -34,7 +34,7 @@ def test_large_models_are_not_cut(spark, monkeypatch):
     rows = {(r.kind, r.lang, r.gram): r.value for r in model.collect()}
     assert sum(kind == "gram" and len(gram) == quality.ORDER for kind, _, gram in rows) == counts.count()
     d = spark.createDataFrame([(i, text, lang) for i, (text, lang) in enumerate([*texts, ("abc", "none"), (None, "en")])], "doc_id long, text string, lang string")
-    for size in (1 << 23, 900, 50):
+    for size in (1 << 25, 900, 50):
         monkeypatch.setattr(quality, "BLOCK", size)
         got = {r.doc_id: r for r in quality.add_scores(d, model).collect()}
         assert len(got) == len(texts) + 2
