@@ -62,11 +62,12 @@ def _gram_counts(texts: list[str]) -> tuple[list[str], np.ndarray]:
         return [], np.zeros(0, np.int64)
     there = np.zeros(int(codes.max()) + 1, bool)
     there[codes] = True
-    letters, small = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+    letters, small = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[codes]
+    del codes
     bits = max(1, int(len(letters) - 1).bit_length())
-    columns = [small[ends - (ORDER - 1 - k)] for k in range(ORDER)]
+    columns = (small[ends - (ORDER - 1 - k)] for k in range(ORDER))
     if bits * ORDER > 63:  # too many different characters for one number
-        found, counts = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        found, counts = np.unique(np.stack([*columns], 1), axis=0, return_counts=True)
         parts = letters[found]
     else:
         key = np.zeros(len(ends), np.int64)
