@@ -152,18 +152,22 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def albers_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of EPSG:5070 metres: the inverse of albers(), the latitude by its series in the authalic one."""
+    """Longitude and latitude of EPSG:5070 metres: the inverse of albers(), the latitude by its series in the authalic one.
+
+    Both are NULL for a place that no point of the earth is projected to.
+    """
     e, e2, n, big, rho0 = _cone()
     up = rho0 - y
     rho = F.sqrt(x * x + up * up)
     q = (big - F.pow(rho * n / _AXIS, 2)) / n
     pole = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
-    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / pole)))
+    there = F.abs(q / pole) <= 1
+    beta = F.asin(F.when(there, q / pole))
     e4, e6 = e2 * e2, e2**3
     lat = (
         beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
     )
-    return _MERIDIAN + F.degrees(F.atan2(x, up) / n), F.degrees(lat)
+    return F.when(there, _MERIDIAN + F.degrees(F.atan2(x, up) / n)), F.degrees(lat)
 
 
 # -- state conversions

@@ -37,7 +37,10 @@ def area_weights(target: DataFrame, grid: Raster, source: Raster) -> DataFrame:
 
 
 def projected_weights(target: DataFrame, grid: Raster, source: Raster, project: Callable[[Column, Column], tuple[Column, Column]], points: int = 4) -> DataFrame:
-    """row, col, srow, scol, w: shares of points x points places inside each of target(row, col)'s cells, projected into the source's plane."""
+    """row, col, srow, scol, w: shares of points x points places inside each of target(row, col)'s cells, projected into the source's plane.
+
+    Places that project() gives no coordinates (NULL) have a share without a source cell.
+    """
     k = F.sequence(F.lit(0), F.lit(points - 1))
     each = target.select("row", "col", F.explode(k).alias("_i")).select("*", F.explode(k).alias("_j"))
     x = F.lit(grid.x0) + (F.col("col") + (F.col("_j") + 0.5) / points) * grid.dx
