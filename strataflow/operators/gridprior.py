@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators.priors import matern
-from strataflow.session import checkpointed
+from strataflow.session import checkpointed, spread
 
-#: Frequencies of a row that go together down the columns; cells of rows that go together; cells along the side of a tile.
-BAND, STRIP, TILE = 64, 1 << 16, 64
+#: Frequencies of a row that go together down the columns; cells of rows that go together; cells along the side of a tile;
+#: observations whose footprints go together.
+BAND, STRIP, TILE, BLOCK = 64, 1 << 16, 64, 256
 
 
 def even_size(n: int) -> int:
@@ -155,6 +156,58 @@ def observed_covariance(footprints: DataFrame, columns: DataFrame, keys: list[st
     return columns.join(seen, [*keys, "row", "col"]).groupBy(*keys, "obs", "other").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def _entries(footprints: DataFrame, cells: DataFrame, region: str | None, scale: str | None) -> DataFrame:
+    """footprints with v, their weight times the cell's scale (0 where there is no such cell), and _region, the cell's region."""
+    about = cells.select("row", "col", _scaled(cells, scale).alias("_scale"), (F.coalesce(F.col(region).cast("string"), F.lit("")) if region else F.lit("")).alias("_region"))
+    joined = footprints.join(about, ["row", "col"], "left")
+    return joined.withColumn("v", F.coalesce(F.col("w") * F.col("_scale"), F.lit(0.0))).drop("_scale")
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    return np.unique(np.array(table["_region"].to_pylist(), object).astype(str), return_inverse=True)[1] if len(table) else np.zeros(0, int)
+
+
+def footprint_covariance(
+    footprints: DataFrame, cells: DataFrame, keys: list[str], cell: tuple[float, float],
+    sigma: float, length: float, nu: float = 1.5, region: str | None = None, scale: str | None = None, block: int = BLOCK,
+) -> DataFrame:
+    """keys, obs, other, value: observed_covariance() of each pair obs <= other that shares a region, without the products on the raster.
+
+    footprints(keys, obs, row, col, w): kernels are summed between the entries of two observations, in pairs of blocks of `block`
+    observations. What is shuffled is of the footprints' size times the number of blocks, whatever the raster's size.
+    """
+    feet = _entries(footprints.select(*keys, "obs", "row", "col", F.col("w").cast("double").alias("w")), cells, region, scale).filter(F.col("_region").isNotNull())
+    many = max(1, -(-(feet.groupBy(*keys).agg(F.count_distinct("obs").alias("n")).agg(F.max("n")).first()[0] or 0) // block))
+    own = F.pmod(F.xxhash64("obs"), F.lit(many)).cast("int")
+    dealt = feet.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    dealt = dealt.select(*keys, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", "obs", "row", "col", "v", "_region")
+    kind = feet.schema["obs"].dataType.simpleString()
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = key[-2].as_py(), key[-1].as_py()
+        names, obs = np.unique(table["obs"].to_numpy(), return_inverse=True)
+        own, zone = table["_own"].to_numpy(), _codes(table)
+        y, x, v = table["row"].to_numpy() * cell[0], table["col"].to_numpy() * cell[1], table["v"].to_numpy()
+        found, shared = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), bool)
+        for z in np.unique(zone):
+            a, b = (np.flatnonzero((zone == z) & (own == k)) for k in (lo, hi))
+            if not len(a) or not len(b):
+                continue
+            b = b[np.argsort(obs[b], kind="stable")]
+            there, starts = np.unique(obs[b], return_index=True)
+            shared[np.ix_(np.unique(obs[a]), there)] = True
+            step = max(1, (1 << 20) // len(b))
+            for i in range(0, len(a), step):
+                some = a[i : i + step]
+                kernel = sigma**2 * matern(np.hypot(y[some, None] - y[b], x[some, None] - x[b]), length, nu) * v[b]
+                np.add.at(found, (obs[some][:, None], there), v[some, None] * np.add.reduceat(kernel, starts, axis=1))
+        i, j = np.nonzero(np.triu(shared) if lo == hi else shared)
+        return _labelled(key[:-2], keys, len(i), obs=pa.array(names[i], table["obs"].type), other=pa.array(names[j], table["obs"].type), value=found[i, j])
+
+    out = spread(dealt, *keys, "_lo", "_hi").groupBy(*keys, "_lo", "_hi").applyInArrow(pairs, _kinds(feet, keys) + f"obs {kind}, other {kind}, value double")
+    return out.select(*keys, F.least("obs", "other").alias("obs"), F.greatest("obs", "other").alias("other"), "value")
+
+
 def grid_resolution(
     cells: DataFrame, footprints: DataFrame, keys: list[str], shape: tuple[int, int], cell: tuple[float, float],
     sigma: float, length: float, nu: float = 1.5, region: str | None = None, scale: str | None = None, tile: int = TILE,
@@ -163,66 +216,82 @@ def grid_resolution(
 
     footprints(keys, obs, row, col, w, noise): an observation is the sum of w times its cells' values, with the noise variance.
     The width is the root mean square distance of the averaging kernel's absolute weights (null where there are none). Cells
-    that no observation reaches have resolved 0. Each key's observations are one dense matrix; cells come in tiles.
+    that no observation reaches have resolved 0. Each key's observations are one dense matrix; cells come in tiles, which sum the
+    kernels of the footprints themselves, so nothing is kept for an observation and a cell.
     """
-    feet = checkpointed(footprints.select(*keys, "obs", "row", "col", F.col("w").cast("double").alias("w"), F.col("noise").cast("double").alias("noise")))
-    columns = checkpointed(prior_product(feet.withColumnRenamed("w", "value").select(*keys, "obs", "row", "col", "value"), cells, [*keys, "obs"], shape, cell, sigma, length, nu, region, scale))
-    kinds, names = _kinds(feet, keys), keys
+    feet = checkpointed(footprints.select(*keys, "obs", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("w").cast("double").alias("w"), F.col("noise").cast("double").alias("noise")))
+    names, one = keys or ["_all"], F.lit(0).alias("_all")
+    entries = _entries(feet, cells, region, scale).select("*", *([] if keys else [one]))
     obs_kind = feet.schema["obs"].dataType.simpleString()
 
     def inverse(key: tuple, pairs: pa.Table, noise: pa.Table) -> pa.Table:
         obs = np.sort(noise["obs"].to_numpy())
         c = np.zeros((len(obs), len(obs)))
-        np.add.at(c, (np.searchsorted(obs, pairs["obs"].to_numpy()), np.searchsorted(obs, pairs["other"].to_numpy())), pairs["value"].to_numpy())
+        i, j = (np.searchsorted(obs, pairs[n].to_numpy()) for n in ("obs", "other"))
+        c[i, j] = c[j, i] = pairs["value"].to_numpy()
         by_obs = dict(zip(noise["obs"].to_pylist(), noise["noise"].to_pylist()))
-        whole = np.linalg.inv((c + c.T) / 2 + np.diag([by_obs[o] for o in obs.tolist()]))
+        whole = np.linalg.inv(c + np.diag([by_obs[o] for o in obs.tolist()]))
         return _labelled(key, names, 1, all_obs=[obs.tolist()], inverse=[whole.tobytes()])
 
-    noise = feet.groupBy(*keys, "obs").agg(F.max("noise").alias("noise"))
-    pairs = observed_covariance(feet, columns, keys)
-    solved = checkpointed(paired(pairs, noise, keys).applyInArrow(inverse, kinds + f"all_obs array<{obs_kind}>, inverse binary") if keys else _whole(pairs, noise, inverse, obs_kind))
+    noise = entries.groupBy(*names, "obs").agg(F.max("noise").alias("noise"))
+    pairs = footprint_covariance(feet, cells, keys, cell, sigma, length, nu, region, scale).select("*", *([] if keys else [one]))
+    kinds = _kinds(entries, names)
+    solved = checkpointed(paired(pairs, noise, names).applyInArrow(inverse, kinds + f"all_obs array<{obs_kind}>, inverse binary"))
+    seen = F.collect_list(F.struct("obs", "row", "col", "w", "v", F.coalesce("_region", F.lit("")).alias("_region")))  # a network's footprints
+    about = solved.join(entries.groupBy(*names).agg(seen.alias("feet")), names)
 
-    def tiles(df: DataFrame) -> list[Column]:
-        return [F.floor(F.col("row") / tile).cast("int").alias("_ty"), F.floor(F.col("col") / tile).cast("int").alias("_tx")]
-
-    here = cells.select("row", "col", _scaled(cells, scale).alias("_scale"), *([F.coalesce(F.col(region).cast("string"), F.lit("")).alias("_region")] if region else []))
-    seen = F.collect_list(F.struct("obs", "row", "col", "w"))  # a network's footprints
-    about = solved.join(feet.groupBy(*keys).agg(seen.alias("feet")), keys) if keys else solved.crossJoin(feet.agg(seen.alias("feet")))
-    placed = columns.select("*", *tiles(columns))
-    asked = placed.select(*keys, "_ty", "_tx").distinct().join(about, keys) if keys else placed.select("_ty", "_tx").distinct().crossJoin(about)
+    mark = F.coalesce(F.col(region).cast("string"), F.lit("")) if region else F.lit("")
+    here = cells.select("row", "col", _scaled(cells, scale).alias("_scale"), mark.alias("_region"), F.floor(F.col("row") / tile).cast("int").alias("_ty"), F.floor(F.col("col") / tile).cast("int").alias("_tx"))
+    asked = here.select("_ty", "_tx").distinct().crossJoin(about)
     variance = sigma**2
 
-    def smear(key: tuple, columns: pa.Table, about: pa.Table) -> pa.Table:
-        obs = np.array(about["all_obs"][0].as_py())
-        whole = np.frombuffer(about["inverse"][0].as_py()).reshape(len(obs), len(obs))
-        code = columns["row"].to_numpy().astype(np.int64) << 32 | columns["col"].to_numpy()
-        spots, at = np.unique(code, return_inverse=True)
-        h = np.zeros((len(spots), len(obs)))
-        np.add.at(h, (at, np.searchsorted(obs, columns["obs"].to_numpy())), columns["value"].to_numpy())
-        gain = h @ whole
-        foot = about["feet"].combine_chunks().values
-        foot_code = foot.field("row").to_numpy().astype(np.int64) << 32 | foot.field("col").to_numpy()
-        cell_codes, foot_at = np.unique(foot_code, return_inverse=True)
-        g = np.zeros((len(obs), len(cell_codes)))
-        np.add.at(g, (np.searchsorted(obs, foot.field("obs").to_numpy()), foot_at), foot.field("w").to_numpy())
-        weights = np.abs(gain @ g)
-        far = ((spots >> 32)[:, None] - (cell_codes >> 32)[None, :]) ** 2 * cell[0] ** 2 + ((spots & 0xFFFFFFFF)[:, None] - (cell_codes & 0xFFFFFFFF)[None, :]) ** 2 * cell[1] ** 2
-        total = weights.sum(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            width = np.sqrt((weights * far).sum(1) / total)
-        return _labelled(key[: len(names)], names, len(spots), row=(spots >> 32).astype(np.int32), col=(spots & 0xFFFFFFFF).astype(np.int32),
-                         removed=(gain * h).sum(1) / variance, width=pa.array(width, mask=~(total > 0)))
-
-    found = paired(placed, asked, [*keys, "_ty", "_tx"]).applyInArrow(smear, kinds + "row int, col int, removed double, width double")
-    every = here.crossJoin(F.broadcast(noise.select(*keys).distinct())) if keys else here  # a row a key
-    out = every.join(found, [*keys, "row", "col"], "left")
-    share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("removed") / (F.col("_scale") * F.col("_scale")))), F.lit(0.0))
-    return out.select(*keys, "row", "col", share.alias("resolved"), "width")
-
-
-def _whole(pairs: DataFrame, noise: DataFrame, inverse, obs_kind: str) -> DataFrame:
-    one = F.lit(0).alias("_all")
-    return paired(pairs.select("*", one), noise.select("*", one), ["_all"]).applyInArrow(inverse, f"all_obs array<{obs_kind}>, inverse binary")
+    def smear(key: tuple, here: pa.Table, about: pa.Table) -> pa.Table:
+        row, col = (here[n].to_numpy().astype(np.int64) for n in ("row", "col"))
+        scale, zone = here["_scale"].to_numpy(), np.array(here["_region"].to_pylist(), object).astype(str)
+        found = []
+        for k in range(len(about)):
+            obs = np.array(about["all_obs"][k].as_py())
+            whole = np.frombuffer(about["inverse"][k].as_py()).reshape(len(obs), len(obs))
+            foot = pa.Table.from_struct_array(pa.chunked_array([about["feet"][k].values]))
+            at = np.searchsorted(obs, foot["obs"].to_numpy())
+            foot_row, foot_col, v = (foot[n].to_numpy() for n in ("row", "col", "v"))
+            foot_zone = np.array(foot["_region"].to_pylist(), object).astype(str)
+            spots, spot = np.unique(np.stack([foot_row, foot_col], 1), axis=0, return_inverse=True)
+            g = np.zeros((len(obs), len(spots)))
+            np.add.at(g, (at, spot.ravel()), foot["w"].to_numpy())
+            h = np.zeros((len(row), len(obs)))
+            for z in np.unique(zone):
+                mine, theirs = np.flatnonzero(zone == z), np.flatnonzero((foot_zone == z) & (v != 0))
+                if not len(theirs):
+                    continue
+                theirs = theirs[np.argsort(at[theirs], kind="stable")]
+                there, starts = np.unique(at[theirs], return_index=True)
+                step = max(1, (1 << 20) // len(theirs))
+                for i in range(0, len(mine), step):
+                    some = mine[i : i + step]
+                    far = np.hypot((row[some, None] - foot_row[theirs]) * cell[0], (col[some, None] - foot_col[theirs]) * cell[1])
+                    kernel = sigma**2 * matern(far, length, nu) * v[theirs]
+                    h[some[:, None], there] = scale[some, None] * np.add.reduceat(kernel, starts, axis=1)
+            gain = h @ whole
+            total, wide = np.zeros(len(row)), np.zeros(len(row))
+            step, reached = max(1, (1 << 20) // max(1, len(spots))), np.flatnonzero(gain.any(1))
+            for i in range(0, len(reached), step):
+                some = reached[i : i + step]
+                weights = np.abs(gain[some] @ g)
+                far = ((row[some, None] - spots[:, 0]) * cell[0]) ** 2 + ((col[some, None] - spots[:, 1]) * cell[1]) ** 2
+                total[some], wide[some] = weights.sum(1), (weights * far).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                width = np.sqrt(wide / total)
+                share = np.clip((gain * h).sum(1) / variance / (scale * scale), 0, 1)
+            share[np.isnan(share)] = 0.0
+            found.append(_labelled([about[n][k] for n in keys], keys, len(row), row=here["row"], col=here["col"], resolved=share, width=pa.array(width, mask=~(total > 0))))
+        if not keys and not found:
+            found = [pa.table({"row": here["row"], "col": here["col"], "resolved": np.zeros(len(row)), "width": pa.nulls(len(row), pa.float64())})]
+        if not found:
+            return pa.table({**{n: pa.array([], about[n].type) for n in keys}, "row": here["row"].slice(0, 0), "col": here["col"].slice(0, 0), "resolved": pa.array([], pa.float64()), "width": pa.array([], pa.float64())})
+        return pa.concat_tables(found)
+
+    return paired(spread(here, "_ty", "_tx"), asked, ["_ty", "_tx"]).applyInArrow(smear, _kinds(feet, keys) + _kinds(cells, ["row", "col"]) + "resolved double, width double")
 
 
 # -- cells anywhere

@@ -26,6 +26,13 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "supplier").select(k.alias("pid"), (k * 37 % 100 * F.lit(0.4)).alias("px"), (k * 53 % 100 * F.lit(0.5)).alias("py"), (F.col("s_acctbal") / 1000).alias("v"))
 
 
+def places(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pid, px, py, n of the different places of stations, each named by its least pid, and (pid, place) of all stations."""
+    p = p.filter("pid is not null")
+    at = checkpointed(p.groupBy("px", "py").agg(F.min("pid").alias("place"), F.count_distinct("pid").alias("n")))
+    return at.select(F.col("place").alias("pid"), "px", "py", "n"), p.join(at, ["px", "py"]).select("pid", "place").distinct()
+
+
 def pairs(spark: SparkSession, sf: str, reach: float) -> DataFrame:
     cells = grid(spark, sf).select("cell", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
     return spatial.near_pairs(cells, points(spark, sf), reach)

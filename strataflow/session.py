@@ -43,6 +43,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by columns to some tasks a core, also where it is small: for rows that take much more work than room."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder that driver and executors share (spark.checkpoint.dir; an own one in local mode) and read back."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ import pytest
 from oracle import difference, tables
 
 from strataflow import plans
+from strataflow.operators import gridprior
 
 
 def made(folder, cells, stations):
@@ -22,3 +23,25 @@ def differs(spark, name, folder):
 
 def test_places_off_the_earth(spark, tmp_path):
     assert differs(spark, "regrid_projected", made(tmp_path, (40 * r + c for r in range(0, 1200, 12) for c in range(0, 40, 2)), [1])) == ""
+
+
+def test_footprint_covariance_of_many_blocks(spark):
+    """Pairs of blocks, regions, scales, keys, repeated entries and cells that there are not, against the products on the raster."""
+    rng = np.random.default_rng(5)
+    cells = spark.createDataFrame([(r, c, "ab"[c // 5 % 2] if (r + c) % 7 else None, 1 + 0.01 * r) for r in range(12) for c in range(15) if (r * c) % 11 != 3], "row int, col int, region string, scale double")
+    rows = [(k, f"o{rng.integers(0, 20)}", int(rng.integers(0, 12)), int(rng.integers(0, 15)), float(rng.random())) for k in (0, 1) for _ in range(70)]
+    feet = spark.createDataFrame(rows + rows[:3], "k int, obs string, row int, col int, w double")
+    for region, scale in ((None, None), ("region", "scale")):
+        columns = gridprior.prior_product(feet.withColumnRenamed("w", "value"), cells, ["k", "obs"], (12, 15), (0.7, 1.1), 1.3, 4.0, 1.5, region, scale)
+        want = {tuple(r[:3]): r[3] for r in gridprior.observed_covariance(feet, columns, ["k"]).filter("obs <= other").collect()}
+        for block in (3, 256):
+            got = {tuple(r[:3]): r[3] for r in gridprior.footprint_covariance(feet, cells, ["k"], (0.7, 1.1), 1.3, 4.0, 1.5, region, scale, block).collect()}
+            assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_stations_at_one_place(spark, tmp_path, monkeypatch):
+    """Each pair of stations is there, while the covariances asked for are of places only."""
+    asked, whole = [], gridprior.footprint_covariance
+    monkeypatch.setattr(gridprior, "footprint_covariance", lambda feet, *a, **b: asked.append(feet.select("obs").distinct().count()) or whole(feet, *a, **b))
+    folder = made(tmp_path, range(2500), [100 * k + j for k in range(4) for j in (0, 7, 9, 31)])
+    assert differs(spark, "observed_prior", folder) == "" and asked == [4]
