@@ -231,7 +231,7 @@ def grid_resolution(
         c[i, j] = c[j, i] = pairs["value"].to_numpy()
         by_obs = dict(zip(noise["obs"].to_pylist(), noise["noise"].to_pylist()))
         whole = np.linalg.inv(c + np.diag([by_obs[o] for o in obs.tolist()]))
-        return _labelled(key, names, 1, all_obs=[obs.tolist()], inverse=[whole.tobytes()])
+        return _labelled(key, names, 1, all_obs=pa.array([obs.tolist()], pa.list_(noise["obs"].type)), inverse=[whole.tobytes()])
 
     noise = entries.groupBy(*names, "obs").agg(F.max("noise").alias("noise"))
     pairs = footprint_covariance(feet, cells, keys, cell, sigma, length, nu, region, scale).select("*", *([] if keys else [one]))
