@@ -121,15 +121,19 @@ def bilinear(coarse: DataFrame, fine: DataFrame, value: str, k: int, out: str |
     out = out or value
     u, v = (F.col("row") + 0.5) / k - 0.5, (F.col("col") + 0.5) / k - 0.5
     r, c = F.floor(u).cast("int"), F.floor(v).cast("int")
-    corners = F.array(*[
-        F.struct((r + i).alias("r"), (c + j).alias("c"), ((u - r if i else 1 - (u - r)) * (v - c if j else 1 - (v - c))).alias("w"))
-        for i in (0, 1) for j in (0, 1)
-    ])
-    asks = fine.select("row", "col", F.explode(corners).alias("_n")).select("row", "col", F.col("_n.r").alias("_r"), F.col("_n.c").alias("_c"), F.col("_n.w").alias("_w"))
-    have = coarse.filter(F.col(value).isNotNull()).select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
-    found = asks.join(have, ["_r", "_c"]).groupBy("row", "col").agg(F.sum(F.col("_w")).alias("_w"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
-    value_at = found.select("row", "col", F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).alias(out))
-    return fine.join(value_at, ["row", "col"], "left")
+    # Each coarse cell goes to the four squares between centres that it is a corner of, so that fine cells are joined once.
+    steps = [(i, j) for i in (0, 1) for j in (0, 1)]
+    squares = F.array(*[F.struct((F.col("row") - i).alias("r"), (F.col("col") - j).alias("c"), F.lit(k).alias("k")) for k, (i, j) in enumerate(steps)])
+    have = coarse.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.explode(squares).alias("_q"))
+    have = have.groupBy(F.col("_q.r").alias("_r"), F.col("_q.c").alias("_c")).agg(*[F.max(F.when(F.col("_q.k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)])
+    found = fine.withColumns({"_u": u - r, "_w": v - c, "_r": r, "_c": c}).join(have, ["_r", "_c"], "left")
+    weights = [(F.col("_u") if i else 1 - F.col("_u")) * (F.col("_w") if j else 1 - F.col("_w")) for i, j in steps]
+    total, summed = F.lit(0.0), F.lit(0.0)
+    for k, w in enumerate(weights):
+        total = total + F.when(F.col(f"_v{k}").isNotNull(), w).otherwise(0.0)
+        summed = summed + F.coalesce(w * F.col(f"_v{k}"), F.lit(0.0))
+    kept = [F.col(x) for x in fine.columns if x not in ("row", "col")]
+    return found.select("row", "col", *kept, F.when(total > 0, summed / total).alias(out))
 
 
 def nearest(coarse: DataFrame, fine: DataFrame, value: str, k: int, out: str | None = None) -> DataFrame:

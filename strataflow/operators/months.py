@@ -183,8 +183,12 @@ def drawn(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
 
 def grid_difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row: n, rms, max_abs of a - b over the cells of both."""
-    both = a.select("row", "col", F.col(value).alias("_a")).join(b.select("row", "col", F.col(value).alias("_b")), ["row", "col"])
-    d = F.col("_a") - F.col("_b")
+    return difference_of(a.select("row", "col", F.col(value).alias("_a")).join(b.select("row", "col", F.col(value).alias("_b")), ["row", "col"]), "_a", "_b")
+
+
+def difference_of(both: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, rms, max_abs of the column a less the column b."""
+    d = F.col(a) - F.col(b)
     return both.agg(F.count(d).alias("n"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_abs"))
 
 

@@ -342,8 +342,8 @@ def thinned_checkerboard(spark: SparkSession, sf: str) -> DataFrame:
 @query(BILINEAR + "SELECT count(*) AS n, round(sqrt(avg((b.v - g.z) * (b.v - g.z))), 6) AS rms, round(max(abs(b.v - g.z)), 6) AS max_abs FROM b JOIN g USING (row, col)")
 def grid_convergence(spark: SparkSession, sf: str) -> DataFrame:
     fine = part(spark, sf)
-    up = grid.bilinear(grid.averaged(fine, "z", 5), fine.select("row", "col"), "z", 5)
-    return months.grid_difference(up, fine, "z").select("n", R("rms").alias("rms"), R("max_abs").alias("max_abs"))
+    up = grid.bilinear(grid.averaged(fine, "z", 5), fine.select("row", "col", "z"), "z", 5, "up")
+    return months.difference_of(up, "up", "z").select("n", R("rms").alias("rms"), R("max_abs").alias("max_abs"))
 
 
 SITES = (
