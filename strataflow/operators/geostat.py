@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,7 +77,19 @@ def blue(cx: np.ndarray, cy: np.ndarray, px: np.ndarray, py: np.ndarray, v: np.n
 
 
 def blue_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, noise: str, sigma: float, length: float, block: float = BLOCK) -> DataFrame:
-    """keys, cell, mean, reduction, dfs, group by group, in blocks of cells."""
+    """keys, cell, mean, reduction, dfs, group by group, in blocks of cells.
+
+    Observations at one place are one: their mean weighted by 1 / noise^2, with the noise of that mean, gives the same update.
+    Ones without noise go before the others at their place. A task's matrices are of a group's different places.
+    """
+    sure = F.max(F.col(noise) == 0).over(Window.partitionBy(*keys, "px", "py"))
+    weight = F.when(F.col("_sure"), 1.0).otherwise(1 / F.col("_s2"))
+    given = obs.filter(F.col(value).isNotNull()).withColumn("_sure", sure).filter(~F.coalesce("_sure", F.lit(False)) | (F.col(noise) == 0))
+    given = given.select(*keys, "px", "py", "_sure", F.col(value).cast("double").alias("_v"), (F.col(noise).cast("double") * F.col(noise).cast("double")).alias("_s2"))
+    sums = given.groupBy(*keys, "px", "py").agg(F.first("_sure").alias("_sure"), F.sum(weight).alias("_w"), F.sum(weight * F.col("_v")).alias("_wv"), F.count("*").alias("_n"), F.first("_v").alias("_v"), F.first("_s2").alias("_s2"))
+    alone = F.col("_n") == 1
+    merged_value, merged_noise = F.when(alone, F.col("_v")).otherwise(F.col("_wv") / F.col("_w")), F.when(F.col("_sure"), 0.0).when(alone, F.sqrt("_s2")).otherwise(F.sqrt(1 / F.col("_w")))
+    places = sums.select(*keys, "px", "py", merged_value.alias(value), merged_noise.alias(noise))
 
     def solve(key: tuple, o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         o = o.dropna(subset=[value])
@@ -88,4 +100,4 @@ def blue_groups(obs: DataFrame, cells: DataFrame, keys: list[str], value: str, n
 
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "cell long", "mean double", "reduction double", "dfs double"])
-    return by_block(cells, obs, keys, block).applyInPandas(solve, schema)
+    return by_block(cells, places, keys, block).applyInPandas(solve, schema)
