@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _log_mean(a: Column, b: Column) -> Column:
     return F.greatest(F.when(close, 0.5 * (a + b)).otherwise((b - a) / F.ln(F.when(close, 2.0).otherwise(b / F.greatest(a, F.lit(1e-9))))), F.lit(1e-9))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
@@ -24,19 +31,25 @@ def profile_velocity(profile: Column, top: float = 30.0) -> Column:
 
     The first sample holds up to the surface, the last one down to top. NULL for an empty profile.
     """
-    p = F.array_sort(profile)
-    p = F.when(p[0]["z"] > 0, F.concat(F.array(F.struct(F.lit(0.0).alias("z"), p[0]["vs"].alias("vs"))), p)).otherwise(p)
-    last = F.element_at(p, -1)
-    p = F.when(last["z"] < top, F.concat(p, F.array(F.struct(F.lit(top).alias("z"), last["vs"].alias("vs"))))).otherwise(p)
 
-    def time(i: Column) -> Column:
-        a, b = F.get(p, i - 1), F.get(p, i)
+    def from_surface(p: Column) -> Column:
+        return F.when(p[0]["z"] > 0, F.concat(F.array(F.struct(F.lit(0.0).alias("z"), p[0]["vs"].alias("vs"))), p)).otherwise(p)
+
+    def down(p: Column) -> Column:
+        last = F.element_at(p, -1)
+        return F.when(last["z"] < top, F.concat(p, F.array(F.struct(F.lit(top).alias("z"), last["vs"].alias("vs"))))).otherwise(p)
+
+    def time(a: Column, b: Column) -> Column:
         cut = b["z"] > top
         v2 = F.when(cut, a["vs"] + (top - a["z"]) / (b["z"] - a["z"]) * (b["vs"] - a["vs"])).otherwise(b["vs"])
-        return F.when(a["z"] < top, (F.least(b["z"], F.lit(top)) - a["z"]) / _log_mean(a["vs"], v2)).otherwise(0.0)
+        return F.when(a["z"] < top, (F.least(b["z"], F.lit(top)) - a["z"]) / _let(v2, lambda v: _log_mean(a["vs"], v))).otherwise(0.0)
+
+    def travel(p: Column) -> Column:
+        return _sum(F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), time))
 
-    travel = _sum(F.transform(F.sequence(F.lit(1), F.size(p) - 1), time))
-    return F.when(F.size(profile) > 0, top / F.greatest(travel, F.lit(1e-9)))
+    filled = F.when(F.size(profile) > 0, profile)
+    found = _let(F.array_sort(filled), lambda p: _let(from_surface(p), lambda p: _let(down(p), lambda p: top / F.greatest(travel(p), F.lit(1e-9)))))
+    return F.when(F.size(profile) > 0, found)
 
 
 def buried_profile_velocity(profile: Column, top: float = 30.0, least: float = 1.0) -> Column:
