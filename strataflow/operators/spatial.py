@@ -132,9 +132,29 @@ def inverse_distance(pairs: DataFrame, keys: list[str], value: str) -> DataFrame
 
 
 def semivariogram(points: DataFrame, value: str, reach: float, lags: int) -> DataFrame:
-    """lag, gamma, n over pairs of points (pid, px, py) within reach."""
-    other = points.select(F.col("pid").alias("qid"), F.col("px").alias("x"), F.col("py").alias("y"), F.col(value).alias("_v2"))
-    pairs = near_pairs(other, points, reach).filter("pid < qid")
-    return pairs.filter(F.col("d") < reach).groupBy(F.floor(F.col("d") / (reach / lags)).cast("int").alias("lag")).agg(
-        F.avg(0.5 * (F.col(value) - F.col("_v2")) * (F.col(value) - F.col("_v2"))).alias("gamma"), F.count("*").alias("n")
-    )
+    """lag, gamma, n over pairs of points (pid, px, py) within reach, of different pid; gamma is of the pairs that have both values.
+
+    Points at one place count by their number, mean and squares about it, from which the sums over all their pairs follow.
+    """
+    known = points.select("pid", "px", "py", F.col(value).cast("double").alias("_v")).filter("pid is not null and px is not null and py is not null")
+
+    def found(keys: list[str]) -> DataFrame:
+        """lag, n, k, g of all pairs of rows with the same keys: their number, that of pairs with both values, and the sum of half their squares."""
+        sums = known.groupBy(*keys, "px", "py").agg(F.count("*").alias("n"), F.count("_v").alias("k"), F.coalesce(F.avg("_v"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("s"))
+        other = sums.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("px").alias("x"), F.col("py").alias("y"), *[F.col(c).alias(f"_{c}") for c in "nkms"])
+        pairs = near_pairs(other, sums, reach).filter(F.struct("px", "py") <= F.struct("x", "y")).filter(F.col("d") < reach)
+        for c in keys:
+            pairs = pairs.filter(F.col(c) == F.col(f"_{c}"))
+        one = (F.col("px") == F.col("x")) & (F.col("py") == F.col("y"))
+        n, k = (F.when(one, F.col(c) * (F.col(c) - 1) / 2).otherwise(F.col(c) * F.col(f"_{c}")) for c in "nk")
+        apart = F.col("_k") * F.col("s") + F.col("k") * F.col("_s") + F.col("k") * F.col("_k") * (F.col("m") - F.col("_m")) * (F.col("m") - F.col("_m"))
+        g = F.when(one, F.col("k") * F.col("s")).otherwise(apart) / 2
+        return pairs.select(F.floor(F.col("d") / (reach / lags)).cast("int").alias("lag"), n.cast("long").alias("n"), k.cast("long").alias("k"), g.alias("g"))
+
+    # Pairs of rows of one pid are no pairs of points.
+    pids = known.groupBy("pid").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("pid")
+    every = found([])
+    known = known.join(pids, "pid", "left_semi")
+    every = every.unionByName(found(["pid"]).select("lag", *[(-F.col(c)).alias(c) for c in "nkg"]))
+    sums = every.groupBy("lag").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("g").alias("g")).filter("n > 0")
+    return sums.select("lag", F.when(F.col("k") > 0, F.col("g") / F.col("k")).alias("gamma"), "n")
