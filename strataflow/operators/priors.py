@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.operators.spatial import near_pairs
+from strataflow.session import spread
 
 #: What a well may observe, and the one kind that observes the water table.
 TARGETS, WATER_TABLE = ("water_table", "aquifer_head", "unknown"), "water_table"
@@ -159,20 +160,59 @@ def reml(xy: np.ndarray, y: np.ndarray, length: float, nu: float, nugget: float)
     return free * (math.log(s2) + 1 + math.log(2 * math.pi)) + 2 * float(np.log(np.diag(factor)).sum()) + math.log(xtx), s2, beta
 
 
-def _descend(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.4, most: int = 200, tolerance: float = 1e-4) -> tuple[np.ndarray, float, bool]:
-    """A compass search: the best of steps along each axis, halved when none is better."""
-    here, best = start, f(start)
+def reml_losses(d: np.ndarray, y: np.ndarray, lengths: np.ndarray, nu: float, nuggets: np.ndarray) -> np.ndarray:
+    """The first value of reml() for each length and nugget, of the distances d; their matrices are factored together.
+
+    The factor of K with the rows 1 and y below it has the solutions for 1 and y in these rows, whatever their diagonal.
+    """
+    n, out = len(y), []
+    low = np.tril_indices(n, -1)
+    step = max(1, (1 << 20) // (n * n))
+    for i in range(0, len(lengths), step):
+        a, many = nuggets[i : i + step], len(nuggets[i : i + step])
+        k = np.zeros((many, n + 2, n + 2))
+        k[:, low[0], low[1]] = (1 - a)[:, None] * matern(d[low] / lengths[i : i + step, None], 1.0, nu)
+        k[:, range(n), range(n)] = (1 - a + a + JITTER)[:, None]
+        k[:, n, :n], k[:, n + 1, :n] = 1.0, y
+        k[:, [n, n + 1], [n, n + 1]] = 1e200
+        factor = _factors(k)
+        u, v = factor[:, n, :n], factor[:, n + 1, :n]
+        with np.errstate(all="ignore"):
+            xtx = (u * u).sum(1)
+            beta = (u * v).sum(1) / xtx
+            s2 = ((v - beta[:, None] * u) ** 2).sum(1) / (n - 1)
+            logs = np.log(factor[:, range(n), range(n)]).sum(1)
+            loss = (n - 1) * (np.log(s2) + 1 + math.log(2 * math.pi)) + 2 * logs + np.log(xtx)
+        out.append(np.where(np.isfinite(s2) & (s2 > 0) & np.isfinite(loss), loss, math.inf))
+    return np.concatenate(out)
+
+
+def _factors(k: np.ndarray) -> np.ndarray:
+    """Cholesky factors of the matrices; NaN where there is none."""
+    try:
+        return np.linalg.cholesky(k)
+    except np.linalg.LinAlgError:
+        return np.concatenate([_factors(x[None]) for x in k]) if len(k) > 1 else np.full(k.shape, math.nan)
+
+
+def _descend(f: Callable[[np.ndarray], np.ndarray], starts: np.ndarray, step: float = 0.4, most: int = 200, tolerance: float = 1e-4) -> list[tuple[np.ndarray, float, bool]]:
+    """A compass search from each start: the best of steps along each axis, halved when none is better. f takes the tries of all together."""
+    here, best = starts.copy(), f(starts)
+    steps, open_ = np.full(len(starts), step), np.ones(len(starts), bool)
+    axes = np.array([s * e for e in np.eye(starts.shape[1]) for s in (1, -1)])
     for _ in range(most):
-        tries = [here + s * step * e for e in np.eye(len(here)) for s in (1, -1)]
-        found = [f(t) for t in tries]
-        k = int(np.argmin(found))
-        if found[k] < best - 1e-9:
-            here, best = tries[k], found[k]
-        else:
-            step /= 2
-            if step < tolerance:
-                return here, best, True
-    return here, best, False
+        live = np.flatnonzero(open_)
+        if not len(live):
+            break
+        tries = here[live, None] + steps[live, None, None] * axes
+        found = f(tries.reshape(-1, starts.shape[1])).reshape(len(live), -1)
+        k = found.argmin(1)
+        least = found[np.arange(len(live)), k]
+        better = least < best[live] - 1e-9
+        here[live[better]], best[live[better]] = tries[better, k[better]], least[better]
+        steps[live[~better]] /= 2
+        open_[live[~better]] = steps[live[~better]] >= tolerance
+    return [(h, float(b), not o) for h, b, o in zip(here, best, open_)]
 
 
 def fit_matern(xy: np.ndarray, y: np.ndarray, nu: float, lengths: tuple[float, float] = (0.5, 200.0), nuggets: tuple[float, float] = (1e-4, 0.95), starts: int = 5) -> dict[str, float]:
@@ -183,11 +223,14 @@ def fit_matern(xy: np.ndarray, y: np.ndarray, nu: float, lengths: tuple[float, f
     def given(t: np.ndarray) -> tuple[float, float]:
         return float(np.clip(np.exp(t[0]), *lengths)), float(np.clip(1 / (1 + np.exp(-np.clip(t[1], -50, 50))), *nuggets))
 
-    def loss(t: np.ndarray) -> float:
-        length, a = given(t)
-        return reml(xy, y, length, nu, a)[0]
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+
+    def losses(tries: np.ndarray) -> np.ndarray:
+        # Tries at the same length and nugget are one.
+        each, at = np.unique([given(t) for t in tries], axis=0, return_inverse=True)
+        return reml_losses(d, y, each[:, 0], nu, each[:, 1])[at.ravel()]
 
-    found = [_descend(loss, np.array([math.log(x), math.log(a / (1 - a))])) for x in np.geomspace(2 * lengths[0], lengths[1] / 2, starts) for a in (0.1, 0.4)]
+    found = _descend(losses, np.array([[math.log(x), math.log(a / (1 - a))] for x in np.geomspace(2 * lengths[0], lengths[1] / 2, starts) for a in (0.1, 0.4)]))
     t, best, done = min(found, key=lambda r: r[1])
     if not math.isfinite(best):
         raise RuntimeError(f"no fit for smoothness {nu}")
@@ -212,7 +255,7 @@ def matern_groups(points: DataFrame, keys: list[str], value: str, nus: tuple[flo
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{c} double" for c in FIT_COLUMNS)])
-    return points.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(points, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def best_smoothness(fits: DataFrame, keys: list[str]) -> DataFrame:
