@@ -28,8 +28,8 @@ from strataflow.llm.common import materialize
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 
-#: Examples that trees are fitted to at most (those of least hash), one in HELD_OUT of them kept to set the limits.
-SAMPLE, HELD_OUT, PRECISION, FEWEST = 20_000, 2, 0.99, 8
+#: One in HELD_OUT of the examples is kept to set the limits; all others are what trees are fitted to.
+HELD_OUT, PRECISION, FEWEST = 2, 0.99, 8
 TREES, DEPTH = 12, 3
 #: Characters before a span that are its context.
 CONTEXT = 32
@@ -189,7 +189,7 @@ def spoilt(kind: Column, m: Column) -> Column:
 
 
 def examples(spans: DataFrame) -> DataFrame:
-    """label, features (f) and number of at most SAMPLE different spans of spans(base, refused, loose), those of least hash."""
+    """label, features (f) and number of all different spans of spans(base, refused, loose)."""
 
     def wrong(v: Column) -> Column:
         return F.struct(F.lit(0.0).alias("label"), v.withField("m", spoilt(v["kind"], v["m"])).alias("v"))
@@ -198,8 +198,8 @@ def examples(spans: DataFrame) -> DataFrame:
     right, refused = F.transform("base", lambda v: F.struct(F.lit(1.0).alias("label"), v.alias("v"))), F.transform(seen, lambda v: F.struct(F.lit(0.0).alias("label"), v.alias("v")))
     each = spans.select(F.explode(F.concat(right, F.transform("base", wrong), refused)).alias("x")).select("x.label", "x.v")
     each = each.groupBy("label", "v.kind", "v.m", "v.before", "v.after").agg(F.count("*").alias("n"))
-    # Equal examples are one; the hash tells which ones go into the sample, whatever the order of rows.
-    each = each.withColumn("hash", F.xxhash64("m", "before", "after", "kind", "label")).orderBy("hash", "label", "m").limit(SAMPLE)
+    # Equal examples are one; the hash tells which ones are held out, whatever the order of rows.
+    each = each.withColumn("hash", F.xxhash64("m", "before", "after", "kind", "label")).sortWithinPartitions("hash", "label", "m")
     return each.select("label", features(F.struct("kind", "m", "before", "after")).alias("f"), "n", "hash")
 
 
@@ -237,7 +237,7 @@ def _node(java: object) -> tuple:
 
 
 def fit(spans: DataFrame) -> Model:
-    """Trees and limits from at most SAMPLE examples; a table without examples of both labels gives a model that takes nothing."""
+    """Trees and limits from all examples; a table without examples of both labels gives a model that takes nothing."""
     sample = materialize(examples(spans), "pii-examples")
     held = F.pmod("hash", F.lit(HELD_OUT)) == 0
     taught = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.filter(~held).select("label", F.col("n").cast("double").alias("n"), "f.*"))

@@ -100,3 +100,11 @@ def test_running_sums(spark):
 
 def test_empty(spark):
     assert pii.pii_report(docs(spark, [])).count() == 0
+
+
+def test_examples_are_all_of_them(spark):
+    """More than 20,000: each address once as it is and once spoilt."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(10_300).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail to a"), "id", F.lit("@example.org now")).alias("text"))
+    assert pii.examples(pii.spans_of(rows)).count() == 20_600
