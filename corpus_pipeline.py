@@ -3,7 +3,8 @@
 Stages, in order; each gets what the one before kept, and all but the last return the columns of documents:
 
 1. quality     documents go that a language model of trusted text finds unlikely for their language (or that repeat)
-2. near_dedup  one document of each group of near copies stays (exact Jaccard of five-word shingles, 0.8 or more)
+2. near_dedup  one document of each group of near copies stays (SimHash links held against the exact Jaccard of five-word
+               shingles, 0.8 or more; an exact join adds the links that fingerprints miss)
 3. mixing      sources to their target weights: a document is left out, taken once or taken twice
 4. encode      SentencePiece ids
 
@@ -41,7 +42,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One row of each component of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Links come from SimHash (op8's fingerprints and links) and from an exact join of what those leave apart.
+    """
     _prepared(spark)
     return drop_near_copies(docs, shingle=5)
 

@@ -1,13 +1,15 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: every pair of SHARE or more is a link.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of word shingles: every pair of SHARE or more is a link.
 
-Two sets of Jaccard 4/5 or more have a common element among the first n - ceil(4n/5) + 1 of each, in any order that all
+SimHash comes first: what it links (fingerprints of three-word shingles within 3 bits, as in op8) is held against the full
+shingle sets, and what stays makes the first groups. Fingerprints miss most pairs near SHARE, so an exact prefix join finds
+the links between these groups. Two sets of Jaccard 4/5 or more have a common element among the first n - ceil(4n/5) + 1 of each, in any order that all
 sets share (n: the set's own size). These prefixes are shuffled by shingle, so texts that share a bucket are the candidates
 and no pair is lost; each is then held against its full shingle sets. Sizes and places in the prefixes rule out most
 candidates before that. The order puts shingles last that many texts hold: a sample of texts names them. Which they are
 decides how many candidates there are, never which links are found.
 
-Candidates come in two rounds so that a group of m near copies does not make m x m of them: first each text with the first
-of its bucket, then only pairs that the links of the first round have not joined.
+The join's candidates come in two rounds so that a group of m near copies does not make m x m of them: first each text with
+the first of its bucket, then the others; each round takes only pairs that the links before it have not joined.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataflow.llm.common import discard, materialize, numbered, row_hash
-from strataflow.llm.simhash import components, shingle_hashes, word_line
+from strataflow.llm.simhash import components, linked_nodes, shingle_hashes, word_line
 
 #: The least Jaccard similarity of a link, as a fraction.
 SHARE = (4, 5)
@@ -139,19 +141,33 @@ def _kept(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, bytes], bo
     return materialize(both.mapInArrow(compared, "a long, b long"), name, spark_sql_execution_arrow_maxRecordsPerBatch="1000")
 
 
+def _alike_pairs(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs(a, b) of nodes whose texts' shingle sets are similar enough."""
+    sets = _of_nodes(pairs, rows, lambda text: shingle_set(text, shingle).tobytes(), "near-sets")
+    found = _kept(pairs, sets, lambda x, y: alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "near-verified")
+    discard(sets)
+    return found
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose texts' shingle sets are similar enough.
+    """_alike_pairs() of many pairs that are not.
 
-    Sketches, a sixteenth of the sets' size at most, rule out most of the others before the sets themselves are shuffled.
+    Sketches, a sixteenth of the sets' size at most, rule out most of these before the sets themselves are shuffled.
     """
     sketches = _of_nodes(pairs, rows, lambda text: sketch(shingle_set(text, shingle)), "near-sketches")
     likely = _kept(pairs, sketches, may_be_alike, "near-likely")
-    sets = _of_nodes(likely, rows, lambda text: shingle_set(text, shingle).tobytes(), "near-sets")
-    found = _kept(likely, sets, lambda x, y: alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), "near-verified")
-    discard(sketches, sets, likely)
+    found = _alike_pairs(likely, rows, shingle)
+    discard(sketches, likely)
     return found
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose nodes are not in one of groups(fp, label); a node may have none."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("fp").alias(end), F.col("label").alias(f"{end}_group")), end, "left")
+    return pairs.filter(F.coalesce(F.col("a_group") != F.col("b_group"), F.lit(True))).select("a", "b")
+
+
 def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and their ranks from 1, the most frequent last."""
     some = rows.filter(F.pmod("node", F.lit(SAMPLED)) == 0)
@@ -169,6 +185,10 @@ def near_components(rows: DataFrame, shingle: int = 5) -> DataFrame:
     Links are all pairs of nodes whose sets of so many words have Jaccard SHARE or more.
     """
     rows = rows.select("node", "text")
+    linked = materialize(linked_nodes(rows), "near-linked")
+    likened = _alike_pairs(linked, rows, shingle)
+    ends = materialize(likened.select(F.explode(F.array("a", "b")).alias("fp")).distinct().withColumn("label", F.col("fp")), "near-ends")
+    groups = materialize(components(likened, ends), "near-groups")
     often, rank = _frequent(rows, shingle)
 
     def placed(node: int, text: str) -> list[pa.Array]:
@@ -193,8 +213,8 @@ def near_components(rows: DataFrame, shingle: int = 5) -> DataFrame:
     nodes = materialize(rows.select(F.col("node").alias("fp")).distinct().withColumn("label", F.col("fp")), "near-nodes")
 
     stars = buckets.filter((F.col("node") > F.col("node0")) & _may_reach("n", "pos", "n0", "pos0")).select(F.col("node").alias("a"), F.col("node0").alias("b")).distinct()
-    found = _verified(materialize(stars, "near-stars"), rows, shingle)
-    # What the stars have joined needs no more pairs.
+    found = materialize(likened.unionByName(_verified(materialize(_apart(stars, groups), "near-stars"), rows, shingle)), "near-found")
+    # What these have joined needs no more pairs.
     inside = materialize(buckets.select(F.col("node").alias("fp")).distinct().withColumn("label", F.col("fp")), "near-inside")
     joined = components(found, inside).select(F.col("fp").alias("node"), F.col("label").alias("group"))
     named = materialize(buckets.join(joined, "node").select("token", "node", "n", "pos", "node0", "group"), "near-named")

@@ -61,15 +61,16 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def add_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", shingle: int = 3) -> DataFrame:
-    """docs with a column of 64-bit fingerprints (as signed long); a null text counts as empty."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+def add_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", shingle: int = 3, drop_text: bool = False) -> DataFrame:
+    """docs with a column of 64-bit fingerprints (as signed long), without the text if so asked; a null text counts as empty."""
     at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if i != at or not drop_text]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(name, T.LongType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x or "", shingle) for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(hashed, schema)
 
@@ -207,6 +208,19 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return near.unionByName(far).distinct()
 
 
+def linked_nodes(rows: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+    """a, b: pairs of nodes of rows(node, text), a > b, whose components are those of all fingerprints within the radius.
+
+    Equal nodes have equal word lines. Nodes of one fingerprint are linked to the smallest of them, and these along links().
+    """
+    prints = materialize(add_fingerprint(rows.select("node", "text"), "text", "fp", shingle, drop_text=True).distinct(), "simhash-prints")
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "simhash-first")
+    x, y = (first.select(F.col("fp").alias(n), F.col("first").alias(f"{n}_first")) for n in ("a", "b"))
+    across = links(first.select("fp"), radius).join(x, "a").join(y, "b").select(F.greatest("a_first", "b_first").alias("a"), F.least("a_first", "b_first").alias("b"))
+    within = prints.join(first, "fp").filter("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return across.unionByName(within)
+
+
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """fp, label: the smallest label of each component; edges(a, b) over labels(fp, label), every node labelled.
 

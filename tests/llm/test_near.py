@@ -114,3 +114,27 @@ def test_sketches_rule_out_no_link():
                 ruled += not near.may_be_alike(near.sketch(a), near.sketch(b))
     assert ruled > 50
     assert near.sketch(np.arange(1 << 20, dtype=np.uint64) << np.uint64(40)) == b"" and near.may_be_alike(b"", b"\x01" * 64)
+
+
+def test_pipeline_stage_goes_through_simhash(spark, monkeypatch):
+    """SimHash's links come first, the exact check follows, and the join is asked only about what these leave apart."""
+    import corpus_pipeline
+    from strataflow.llm import simhash
+
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(900)]
+    base = [rng.choice(words) for _ in range(400)]
+    texts = [" ".join(base), " ".join(base) + " end", "x y z " * 200 + "one", "x y z " * 200 + "two", " ".join(reversed(base))]
+    prints = [simhash.fingerprint(x) for x in texts]
+    near_bits = {(i, j) for i in range(5) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert near_bits == {(1, 0), (3, 2)}
+    linked = simhash.linked_nodes(spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()
+    assert {(r.a, r.b) for r in linked} == near_bits
+
+    asked = []
+    verified = near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *a: asked.extend(pairs.collect()) or verified(pairs, *a))
+    d = docs(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])
+    # 2 and 3 differ in few bits, but share few of their shingles
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()) == [0, 2, 3, 4]
+    assert asked == []
