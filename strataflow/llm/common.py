@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +55,7 @@ def materialize(df: DataFrame, name: str, **conf: str) -> DataFrame:
 
 
 #: Texts that go to a Python worker together, at most.
-TEXTS = 2000
+TEXTS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -60,6 +65,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXTS))
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: a worker that waits for its next task would keep it beside the others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, a function of batches, that gives memory back when a task or group is done."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote of these, when nothing reads them any more."""
     for table in tables:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import discard, materialize, numbered, row_hash
+from strataflow.llm.common import discard, lean, materialize, numbered, row_hash
 from strataflow.llm.simhash import components, linked_nodes, shingle_hashes, word_line
 
 #: The least Jaccard similarity of a link, as a fraction.
@@ -97,7 +97,7 @@ def _per_text(rows: DataFrame, schema: str, emit: Callable[[int, str], list[pa.A
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=names)
 
-    return rows.mapInArrow(mapped, schema)
+    return rows.mapInArrow(lean(mapped), schema)
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -138,7 +138,7 @@ def _kept(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, bytes], bo
 
     # Few pairs at a time: each carries two values.
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(compared, "a long, b long"), name, spark_sql_execution_arrow_maxRecordsPerBatch="1000")
+    return materialize(both.mapInArrow(lean(compared), "a long, b long"), name, spark_sql_execution_arrow_maxRecordsPerBatch="1000")
 
 
 def _alike_pairs(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -247,7 +247,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=names)
 
     # Row numbers are fixed by writing them out.
-    scored = materialize(docs.mapInArrow(lined, schema).withColumn("_near_row", F.monotonically_increasing_id()), "near-docs")
+    scored = materialize(docs.mapInArrow(lean(lined), schema).withColumn("_near_row", F.monotonically_increasing_id()), "near-docs")
     found = materialize(near_components(scored.select(F.col("_near_node").alias("node"), F.col(f"`{text_col}`").alias("text")), shingle), "near-components")
     ids = F.col(f"`{id_col}`")
     keyed = scored.select("_near_node", F.struct(ids.isNull().alias("none"), ids.alias("id"), row_hash(docs).alias("hash"), "_near_row").alias("key"))
@@ -264,7 +264,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
             for batch in batches:
                 yield batch.filter(pa.array(_may_want(bits, batch.column(node_at)) == inside))
 
-        return scored.mapInArrow(mapped, scored.schema)
+        return scored.mapInArrow(lean(mapped), scored.schema)
 
     node_at = scored.columns.index("_near_node")
     alone = best.join(groups.select("label"), "label", "left_anti").select(F.col("key._near_row").alias("_near_row"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import materialize
+from strataflow.llm.common import lean, materialize
 
 SPACE = "▁"
 NEG = float("-inf")
@@ -528,7 +528,7 @@ def encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["key", "no", "ids"])
 
     chunks = materialize(chunks, "piece-chunks")
-    found = materialize(chunks.mapInArrow(matrices, f"key long, no int, matrix {_MATRIX}"), "piece-matrices")
+    found = materialize(chunks.mapInArrow(lean(matrices), f"key long, no int, matrix {_MATRIX}"), "piece-matrices")
     found = found.withColumn("block", F.floor(F.col("no") / FAN_IN).cast("int"))
     blocks = found.groupBy("key", "block").applyInArrow(product, f"key long, block int, matrix {_MATRIX}")
     ends = blocks.groupBy("key").applyInArrow(edges_of_blocks, f"key long, block int, first {_STATE}, last {_STATE}")
@@ -537,7 +537,7 @@ def encode_chunks(chunks: DataFrame, path: str) -> DataFrame:
         .cogroup(ends.groupBy("key", "block"))
         .applyInArrow(edges_of_chunks, f"key long, no int, first {_STATE}, last {_STATE}")
     )
-    return chunks.join(edges, ["key", "no"]).mapInArrow(traced, "key long, no int, ids binary")
+    return chunks.join(edges, ["key", "no"]).mapInArrow(lean(traced), "key long, no int, ids binary")
 
 
 def _ids_array(parts: list[bytes]) -> pa.ListArray:
@@ -603,7 +603,7 @@ def encode_documents(
         got = _reported(m, pa.array([row["doc_id"]], pa.int64()), [row["text"]], [len(parts)], [b"".join(parts)])
         return pa.Table.from_batches([got])
 
-    few = rows.filter(~giant).mapInArrow(short, f"doc_id long, {_REPORT}")
+    few = rows.filter(~giant).mapInArrow(lean(short), f"doc_id long, {_REPORT}")
     giants = materialize(rows.filter(giant).withColumn("key", F.monotonically_increasing_id()), "piece-giants")
     chunks = giants.select("key", "text").mapInArrow(split, "key long, no int, before string, body string, after string")
     # Chunks of a text go to different tasks.

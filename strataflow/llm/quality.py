@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import discard, materialize, numbered
+from strataflow.llm.common import discard, give_back, lean, materialize, numbered
 
 ORDER, UNIFORM = 4, 1 / 4096
 PRIOR, SPREAD, MARGINS, REPEATS, HELD_OUT = 64, 2.0, (0.4, 0.9), 0.2, 5
@@ -111,7 +111,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     columns = [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
-    counted = docs.mapInArrow(count, "lang string, gram string, n long")
+    counted = docs.mapInArrow(lean(count), "lang string, gram string, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -284,7 +284,7 @@ def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_c
             yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "gram"])
 
     texts = dealt.select("_lm_block", F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    asked = materialize(texts.groupBy("_lm_block").applyInArrow(ask, "block long, lang string, gram string"), "quality-asked")
+    asked = materialize(texts.groupBy("_lm_block").applyInArrow(lean(ask), "block long, lang string, gram string"), "quality-asked")
     grams = materialize(asked.select("lang", "gram").distinct(), "quality-grams")
     costs = materialize(gram_costs(grams, model), "quality-costs")
 
@@ -304,6 +304,8 @@ def add_scores(docs: DataFrame, model: DataFrame, lang_col: str = "lang", text_c
             for some in _steps(rows, _STEP // 4, lambda x: x[1]):
                 for (i, _), x in zip(some, costs.of([text for _, text in some]).tolist()):
                     nll[i] = x
+            del own, grams, values, costs
+            give_back()
         columns = [docs.column(c) for c in keep]
         return pa.table([*columns, pa.array(chars), pa.array(nll, pa.float64()), pa.array(repeats)], names=[*keep, *SCORES])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataflow.llm.common import materialize, numbered, row_hash
+from strataflow.llm.common import lean, materialize, numbered, row_hash
 
 BITS, TILE = 64, 4096
 _WORD_BYTES = bytes(b if b not in b"\t\n\x0b\x0c\r" else 32 for b in range(256))
@@ -72,7 +72,7 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finger
             found = np.array([fingerprint(x or "", shingle) for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(hashed, schema)
+    return docs.mapInArrow(lean(hashed), schema)
 
 
 class Forest:
