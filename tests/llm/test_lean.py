@@ -15,8 +15,10 @@ def _held_mb():
 def test_lean_gives_memory_back():
     def grows(batches):
         for batch in batches:
-            parts = [bytes([65 + i % 26]) * 60_000 for i in range(4000)]  # below malloc's limit for mappings of their own
-            kept.append(bytes(200))  # what stays lies above what goes
+            parts = []
+            for i in range(4000):
+                parts.append(bytes([65 + i % 26]) * 60_000)  # below malloc's limit for mappings of their own
+                kept.append(bytes([65 + i % 26]) * 2000)  # what stays lies between what goes
             yield batch
             del parts
 
