@@ -14,7 +14,8 @@ associative, so they are multiplied in a tree; once every edge's state is known,
 
 Inside a chunk a piece never goes over the beginning of a word (a meta space after another character), unless the model
 has such pieces. All paths meet at these cuts: a matrix is the column of what comes before the first cut times the row of
-what comes after the last, and the words between are encoded once, from a bounded memory of words.
+what comes after the last, and the words between are encoded once, from a bounded memory of words. Words are cut further
+where no piece holds the two characters at the cut side by side (mostly letters and punctuation): all paths meet there too.
 """
 
 from __future__ import annotations
@@ -103,8 +104,8 @@ class PieceModel:
             self.trie[p] = i
         self.longest = max((len(self.piece[i]) for i in normal), default=1)
         over = [i for i in normal if SPACE in self.piece[i].lstrip(SPACE)]
-        #: Where a new word begins: no piece goes over these places.
-        self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not over else None
+        #: Words, or parts of words: no piece goes over the places between them.
+        self.word = self._parts(normal) if not over else None
         self.split: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
@@ -121,6 +122,28 @@ class PieceModel:
             elif not sp.is_control(i):
                 self.text[i] = p.replace(SPACE, " ").encode()
 
+    def _parts(self, normal: list[int]) -> re.Pattern:
+        """Parts of words, with the meta spaces before them, made of characters that pieces connect with each other, or of others.
+
+        Characters side by side in a piece are connected; the largest set of connected ones (letters, as a rule) is one kind.
+        """
+        up: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        for i in normal:
+            p = self.piece[i].lstrip(SPACE)
+            for a, b in zip(p, p[1:]):
+                up[root(a)] = root(b)
+        sets: dict[str, list[str]] = {}
+        for c in up:
+            sets.setdefault(root(c), []).append(c)
+        kind = "".join(map(re.escape, max(sets.values(), key=len, default=[])))
+        return re.compile(f"{SPACE}*[{kind}]+|{SPACE}*[^{kind}{SPACE}]+|{SPACE}+" if kind else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
     # -- BPE: which neighbours merging leaves alone
 
     def _merges(self, normal: list[int]) -> None:
@@ -294,6 +317,10 @@ class PieceModel:
         text = self.normal(text)
         if self.word is None or not self.fallback:
             return self.ids_of(self.trace(self.forward(text, 0, len(text), None)[1], len(text))) if text else b""
+        return self.encode_words(text)
+
+    def encode_words(self, text: str) -> bytes:
+        """Ids of a normalised text that is words."""
         words = self.word.findall(text)
         try:
             return b"".join(map(self.words.__getitem__, words))
@@ -324,8 +351,15 @@ class PieceModel:
         """The first and the last beginning of a word in [begin, stop); paths meet there."""
         if self.word is None:
             return None
-        found = [i for i in range(max(begin, 1), stop) if text[i] == SPACE != text[i - 1]]
-        return (found[0], found[-1]) if found else None
+        first = text.find(SPACE, max(begin, 1), stop)
+        while first > 0 and text[first - 1] == SPACE:
+            first = text.find(SPACE, first + 1, stop)
+        if first < 0:
+            return None
+        last = text.rfind(SPACE, first, stop)
+        while text[last - 1] == SPACE:
+            last = text.rfind(SPACE, first, last)
+        return first, last
 
     def transfer(self, text: str, begin: int, stop: int) -> list[tuple[State | None, State | None, float]]:
         """The chunk's matrix as (left state, right state, score), without the entries of -inf.
@@ -399,7 +433,7 @@ class PieceModel:
             _, back = self.forward(text, start, max(goal, start), piece)
             return self.ids_of(self.trace(back, goal - start)) + end
         head = self.trace(self.forward(text[: cut[0]], start, cut[0], piece)[1], cut[0] - start)
-        words = b"".join(map(self.encode_word, self.word.findall(text[cut[0] : cut[1]])))
+        words = self.encode_words(text[cut[0] : cut[1]])
         tail = self.trace(self.forward(text, cut[1], max(goal, cut[1]), None)[1], goal - cut[1])
         return self.ids_of(head) + words + self.ids_of(tail) + end
 
