@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import zlib
@@ -49,11 +50,28 @@ def materialize(df: DataFrame, name: str, **conf: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+#: The share of the driver's heap at which its garbage is collected between writes.
+HEAP = 0.55
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown past HEAP.
+
+    Small tables that were broadcast lie in the old generation until a full collection, and Spark removes their blocks only
+    then: a run of many small jobs would grow to the whole heap, most of it free. The collection gives it back.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        gc.collect()  # Python's references hold plans in the JVM
+        spark._jvm.System.gc()
+
+
 #: Texts that go to a Python worker together, at most.
 TEXTS = 500
 
