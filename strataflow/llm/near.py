@@ -8,8 +8,11 @@ and no pair is lost; each is then held against its full shingle sets. Sizes and
 candidates before that. The order puts shingles last that many texts hold: a sample of texts names them. Which they are
 decides how many candidates there are, never which links are found.
 
-The join's candidates come in two rounds so that a group of m near copies does not make m x m of them: first each text with
-the first of its bucket, then the others; each round takes only pairs that the links before it have not joined.
+The join's candidates come in rounds so that a group of m near copies does not make m x m of them: first each text with its
+bucket's hub, then the others; each round takes only pairs that the links before it have not joined. The hub is the text in
+whose prefix the bucket's shingle comes first: rare shingles stand before it, so it has the fewest of its own and lies nearest
+to what the group shares. Where the hubs leave too many pairs apart, others are drawn, as long as that helps. The last round
+takes all pairs that are still apart: texts that share most of their prefixes and are not alike are compared each with each.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SHARE = (4, 5)
 SAMPLED, OFTEN, NAMED = 8, 3, 1 << 16
 #: Bits that say which texts may be wanted: what they let through is joined exactly, so only texts in question are shuffled.
 SLOTS = 1 << 24
+#: More hubs are drawn while the last round would take over so many pairs a row of the buckets, and a draw saves a quarter of them.
+ROOM = 4
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -168,6 +173,37 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce(F.col("a_group") != F.col("b_group"), F.lit(True))).select("a", "b")
 
 
+def _grouped(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """buckets(token, node, n, pos, node0) with the group that the pairs found put each node into."""
+    inside = materialize(buckets.select(F.col("node").alias("fp")).distinct().withColumn("label", F.col("fp")), "near-inside")
+    joined = components(found, inside).select(F.col("fp").alias("node"), F.col("label").alias("group"))
+    return materialize(buckets.join(joined, "node").select("token", "node", "n", "pos", "node0", "group"), "near-named")
+
+
+def _left_apart(named: DataFrame) -> tuple[int, int]:
+    """How many rows of named can be similar enough to a row of their size, and how many pairs of one bucket and different groups these make.
+
+    It decides only whether hubs are drawn again; pairs of unlike sizes may reach from other places, so it is about right, not exact.
+    """
+    reach = F.col("pos") * (SHARE[0] + SHARE[1]) <= F.col("n") * (SHARE[1] - SHARE[0])
+    groups = named.filter(reach).groupBy("token", "group").agg(F.count("*").alias("k"))
+    buckets = groups.groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    rows, pairs = buckets.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return int(rows or 0), int(pairs or 0)
+
+
+def _pairs(shared: DataFrame, x: str, y: str) -> DataFrame:
+    """a, b: the different pairs in the columns x and y, the larger node first."""
+    return shared.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def _drawn(named: DataFrame, turn: int) -> DataFrame:
+    """a, b: each node with a hub that is drawn for its bucket, if they are in different groups and may be similar enough."""
+    hub = F.min(F.struct(F.xxhash64("token", "node", F.lit(turn)).alias("draw"), "node", "n", "pos", "group")).alias("hub")
+    hubs = named.groupBy("token").agg(hub).select("token", *[F.col(f"hub.{c}").alias(f"{c}_hub") for c in ("node", "n", "pos", "group")])
+    return _pairs(named.join(hubs, "token").filter((F.col("group") != F.col("group_hub")) & _may_reach("n", "pos", "n_hub", "pos_hub")), "node", "node_hub")
+
+
 def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and their ranks from 1, the most frequent last."""
     some = rows.filter(F.pmod("node", F.lit(SAMPLED)) == 0)
@@ -204,25 +240,33 @@ def near_components(rows: DataFrame, shingle: int = 5) -> DataFrame:
 
     placed_rows = _per_text(rows, "token long, node long, n int, pos int", placed)
     bucket = Window.partitionBy("token")
-    first = F.min(F.struct("node", "n", "pos")).over(bucket)
-    shared = placed_rows.withColumn("first", first).withColumn("last", F.max("node").over(bucket)).filter(F.col("first.node") < F.col("last"))
+    first = F.min(F.struct("pos", "node", "n")).over(bucket)
+    ends = {"least": F.min("node").over(bucket), "last": F.max("node").over(bucket)}
+    shared = placed_rows.withColumn("first", first).withColumns(ends).filter("least < last")
     buckets = materialize(
         shared.dropDuplicates(["token", "node"]).select("token", "node", "n", "pos", F.col("first.node").alias("node0"), F.col("first.n").alias("n0"), F.col("first.pos").alias("pos0")),
         "near-buckets",
     )
     nodes = materialize(rows.select(F.col("node").alias("fp")).distinct().withColumn("label", F.col("fp")), "near-nodes")
 
-    stars = buckets.filter((F.col("node") > F.col("node0")) & _may_reach("n", "pos", "n0", "pos0")).select(F.col("node").alias("a"), F.col("node0").alias("b")).distinct()
-    found = materialize(likened.unionByName(_verified(materialize(_apart(stars, groups), "near-stars"), rows, shingle)), "near-found")
+    stars = buckets.filter((F.col("node") != F.col("node0")) & _may_reach("n", "pos", "n0", "pos0"))
+    asked = materialize(_apart(_pairs(stars, "node", "node0"), groups), "near-stars")
+    found = materialize(likened.unionByName(_verified(asked, rows, shingle)), "near-found")
     # What these have joined needs no more pairs.
-    inside = materialize(buckets.select(F.col("node").alias("fp")).distinct().withColumn("label", F.col("fp")), "near-inside")
-    joined = components(found, inside).select(F.col("fp").alias("node"), F.col("label").alias("group"))
-    named = materialize(buckets.join(joined, "node").select("token", "node", "n", "pos", "node0", "group"), "near-named")
-    discard(buckets)
-    x = named.filter("node > node0").select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "group")])
-    y = named.filter("node > node0").select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "group")])
+    named = _grouped(buckets, found)
+    discard(buckets, asked)
+    size, apart = _left_apart(named)
+    before, turn = 2 * apart, 0
+    while apart > ROOM * size and 4 * apart <= 3 * before:
+        turn += 1
+        asked = materialize(_drawn(named, turn), "near-drawn")
+        found = materialize(found.unionByName(_verified(asked, rows, shingle)), "near-found")
+        old, named = named, _grouped(named.drop("group"), found)
+        discard(old, asked)
+        before, apart = apart, _left_apart(named)[1]
+    x, y = (named.filter("node <> node0").select("token", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "pos", "group")]) for k in (1, 2))
     pairs = x.join(y, (x["token"] == y["token"]) & (F.col("node1") < F.col("node2")) & (F.col("group1") != F.col("group2")) & _may_reach("n1", "pos1", "n2", "pos2"))
-    more = materialize(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), "near-pairs")
+    more = materialize(_pairs(pairs, "node1", "node2"), "near-pairs")
     edges = materialize(found.unionByName(_verified(more, rows, shingle)), "near-edges")
     discard(named, more)
     return components(edges, nodes).select(F.col("fp").alias("node"), "label")

@@ -116,6 +116,45 @@ def test_sketches_rule_out_no_link():
     assert near.sketch(np.arange(1 << 20, dtype=np.uint64) << np.uint64(40)) == b"" and near.may_be_alike(b"", b"\x01" * 64)
 
 
+def asked_pairs(monkeypatch):
+    """What _verified() is asked, round by round."""
+    asked, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    return asked
+
+
+def edited(rng, vocabulary, base, edits):
+    words = list(base)
+    for k in rng.sample(range(len(words) // 10), edits):
+        words[10 * k + 5] = rng.choice(vocabulary)
+    return " ".join(words)
+
+
+def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies that are like the text they come from and not like each other: pairs grow with the group, not its square."""
+    rng = random.Random(4)
+    vocabulary = [f"u{k}" for k in range(5000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [edited(rng, vocabulary, base, 3) for _ in range(160)] + [" ".join(base)]
+    sets = {i: shingles(x) for i, x in enumerate(texts)}
+    assert sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in range(160) for j in range(i)) < 2000
+    asked = asked_pairs(monkeypatch)
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    assert {(r.node, r.label) for r in near.near_components(rows).collect()} == {(i, 0) for i in range(161)}
+    assert sum(asked) < 6 * len(texts)
+
+
+def test_drawn_hubs_change_no_component(spark, monkeypatch):
+    texts = sorted({x.lower(): x for x in edited_texts()}.values())
+    want = components_of({i: shingles(x) for i, x in enumerate(texts)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    monkeypatch.setattr(near, "ROOM", 0)
+    monkeypatch.setattr(near, "SAMPLED", 1)
+    asked = asked_pairs(monkeypatch)
+    assert {r.node: r.label for r in near.near_components(rows).collect()} == want
+    assert len(asked) > 2  # hubs were drawn
+
+
 def test_pipeline_stage_goes_through_simhash(spark, monkeypatch):
     """SimHash's links come first, the exact check follows, and the join is asked only about what these leave apart."""
     import corpus_pipeline
